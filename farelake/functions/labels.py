@@ -89,14 +89,17 @@ def map_lookup(mapping: dict[str, str], key: Column) -> Column:
     return F.try_element_at(lit_map, key)
 
 
+WHITESPACE = " \t\n\r\x0b\x0c"
+
+
 def strip_ws(c: Column) -> Column:
-    """Python ``str.strip()``: trim all leading/trailing whitespace, not only spaces."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Python ``str.strip()``: trim ASCII whitespace at both ends (``btrim``, no regex)."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def normalize_airline(c: Column) -> Column:
     """Map on trimmed case-folded text, else original with '_' -> ' ' (not trimmed)."""
-    return F.coalesce(map_lookup(AIRLINE_MAP, F.lower(strip_ws(c))), F.regexp_replace(c, "_", " "))
+    return F.coalesce(map_lookup(AIRLINE_MAP, F.lower(strip_ws(c))), F.replace(c, F.lit("_"), F.lit(" ")))
 
 
 def normalize_stops(c: Column) -> Column:
@@ -112,26 +115,38 @@ def normalize_label(c: Column, mapping: dict[str, str]) -> Column:
     return F.coalesce(map_lookup(mapping, k1), map_lookup(mapping, folded), text)
 
 
-def _hour_bin(hour: Column) -> Column:
-    out = None
+def _hour_labels() -> list[str]:
+    labels = ["Night"] * 24
     for lo, hi, label in HOUR_BINS:
-        cond = (hour >= lo) & (hour < hi)
-        out = F.when(cond, label) if out is None else out.when(cond, label)
-    return out.otherwise("Night")
+        for h in range(lo, hi):
+            labels[h] = label
+    return labels
+
+
+def _hour_bin(hour: Column) -> Column:
+    """Hour -> bin by one array lookup; hours outside 0..23 are Night."""
+    arr = F.array(*[F.lit(x) for x in _hour_labels()])
+    return F.when((hour >= 0) & (hour < 24), F.element_at(arr, (hour + 1).cast("int"))).otherwise("Night")
+
+
+# Clock text in the first whitespace token, or in the second when the first has no ':'.
+CLOCK0 = r"^[^\s]*:"
+HOUR0 = r"^([^\s:]*):"
+CLOCK1 = r"^[^\s:]+\s+[^\s]*:"
+HOUR1 = r"^[^\s:]+\s+([^\s:]*):"
+INT_TEXT = r"^[+-]?[0-9]+$"
 
 
 def normalize_time_bin(c: Column) -> Column:
     """Label variants, else clock 'HH:MM' in token 0 or 1, else title case with '_' -> ' '."""
     text = strip_ws(c)
-    norm = F.regexp_replace(F.lower(text), "[-_]", " ")
+    norm = F.translate(F.lower(text), "-_", "  ")
     canon = map_lookup({v.lower(): v for v in TIME_MAP.values()}, norm)
-    parts = F.split(text, r"\s+")
-    p0 = F.try_element_at(parts, F.lit(1))
-    p1 = F.try_element_at(parts, F.lit(2))
-    clock = F.when(p0.contains(":"), p0).when(p1.contains(":"), p1)
-    hour_txt = strip_ws(F.substring_index(clock, ":", 1))
-    hour = F.when(hour_txt.rlike(r"^[+-]?[0-9]+$"), hour_txt.try_cast("int"))
-    fallback = F.initcap(F.regexp_replace(text, "_", " "))
+    h0 = F.regexp_extract(text, HOUR0, 1)
+    h1 = F.regexp_extract(text, HOUR1, 1)
+    hour_txt = F.when(text.rlike(CLOCK0), h0).when(text.rlike(CLOCK1), h1)
+    hour = F.when(hour_txt.rlike(INT_TEXT), hour_txt.try_cast("int"))
+    fallback = F.initcap(F.replace(text, F.lit("_"), F.lit(" ")))
     return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(
         F.coalesce(canon, F.when(hour.isNotNull(), _hour_bin(hour)), fallback)
     )

@@ -18,13 +18,19 @@ MAX_BROADCAST_ROWS = 200_000
 DEFAULT_SEARCH_LIMIT = 8
 
 
+_BOUND_CHECKS: dict[tuple[int, int], bool] = {}
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only after proving the row bound; otherwise leave the choice to the planner.
 
-    ``limit(max_rows + 1).count()`` stops reading as soon as the bound is exceeded.
+    ``limit(max_rows + 1).count()`` stops reading as soon as the bound is exceeded. The
+    verdict is memoised per semantic plan, so a dimension is checked once per session.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    key = (df.semanticHash(), max_rows)
+    if key not in _BOUND_CHECKS:
+        _BOUND_CHECKS[key] = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if _BOUND_CHECKS[key] else df
 
 
 def airport_dimension(raw: DataFrame) -> DataFrame:
@@ -153,8 +159,10 @@ def add_geographic_features(
     )
     out = df.join(s, df[source_col] == s["_sq"], "left").drop("_sq")
     out = out.join(t, out[dest_col] == t["_dq"], "left").drop("_dq")
+    # Rounded to micrometres so A->B and B->A are bit-identical (libm noise differs by engine).
     return out.withColumn(
-        "distance_km", G.haversine_km(F.col("source_lat"), F.col("source_lon"), F.col("destination_lat"), F.col("destination_lon"))
+        "distance_km",
+        F.round(G.haversine_km(F.col("source_lat"), F.col("source_lon"), F.col("destination_lat"), F.col("destination_lon")), 6),
     )
 
 

@@ -43,7 +43,7 @@ def money_pct(x: str, p: float) -> str:
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({x}, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
 
 
 def initcap(x: str) -> str:
@@ -73,12 +73,12 @@ def city_sql(c: str) -> str:
 
 def time_sql(c: str) -> str:
     text = strip(c)
-    norm = f"regexp_replace(lower({text}), '[-_]', ' ', 'g')"
+    norm = f"translate(lower({text}), '-_', '  ')"
     canon = case_map({v.lower(): v for v in L.TIME_MAP.values()}, norm)
     parts = f"string_split_regex({text}, '\\s+')"
     p0, p1 = f"({parts})[1]", f"({parts})[2]"
     clock = f"CASE WHEN contains({p0}, ':') THEN {p0} WHEN contains({p1}, ':') THEN {p1} END"
-    ht = strip(f"split_part({clock}, ':', 1)")
+    ht = f"split_part({clock}, ':', 1)"
     hour = f"CASE WHEN regexp_full_match({ht}, '[+-]?[0-9]+') THEN TRY_CAST({ht} AS INTEGER) END"
     bins = "CASE " + " ".join(f"WHEN {hour} >= {lo} AND {hour} < {hi} THEN {q(lab)}" for lo, hi, lab in L.HOUR_BINS) + " ELSE 'Night' END"
     fallback = initcap(f"replace({text}, '_', ' ')")
@@ -165,7 +165,7 @@ place_resolved AS (
 fares_geo AS (
   SELECT t.*, s.latitude AS source_lat, s.longitude AS source_lon,
          d.latitude AS destination_lat, d.longitude AS destination_lon,
-         {haversine_sql('s.latitude', 's.longitude', 'd.latitude', 'd.longitude')} AS distance_km
+         {rnd(haversine_sql('s.latitude', 's.longitude', 'd.latitude', 'd.longitude'), 6)} AS distance_km
   FROM tickets t LEFT JOIN place_resolved s ON t.source_city = s.q LEFT JOIN place_resolved d ON t.destination_city = d.q),
 fares AS (
   SELECT *,
