@@ -18,7 +18,7 @@ MAX_BROADCAST_ROWS = 200_000
 DEFAULT_SEARCH_LIMIT = 8
 
 
-_BOUND_CHECKS: dict[tuple[int, int], bool] = {}
+_BOUND_CHECKS: dict[tuple, bool] = {}
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -27,7 +27,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Data
     ``limit(max_rows + 1).count()`` stops reading as soon as the bound is exceeded. The
     verdict is memoised per semantic plan, so a dimension is checked once per session.
     """
-    key = (df.semanticHash(), max_rows)
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
     if key not in _BOUND_CHECKS:
         _BOUND_CHECKS[key] = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if _BOUND_CHECKS[key] else df
@@ -127,6 +127,9 @@ def resolve(queries: DataFrame, dim: DataFrame, index: DataFrame, query_col: str
     )
 
 
+_RESOLVED: dict[tuple, DataFrame] = {}
+
+
 def add_geographic_features(
     df: DataFrame,
     dim: DataFrame,
@@ -134,17 +137,29 @@ def add_geographic_features(
     source_col: str = "source_city",
     dest_col: str = "destination_city",
     strict: bool = False,
+    materialize: bool = True,
 ) -> DataFrame:
     """source/destination coordinates and ``distance_km``.
 
-    Distinct place strings are resolved once (a small aggregate), then joined back by
-    exact string; the planner broadcasts that small side by its measured size.
-    ``strict=True`` mirrors the reference's failure on unresolved places (one count job).
+    Distinct place strings are resolved once (a partial-aggregated pass over the facts),
+    written to the checkpoint dir (reliable, survives executor loss), then broadcast
+    behind a row-count check and joined back by exact string: the fact table itself is
+    never shuffled for enrichment, so a city holding a third of all rows costs nothing extra.
+    ``strict=True`` mirrors the reference's failure on unresolved places.
     """
     names = df.select(F.explode(F.array(F.col(source_col), F.col(dest_col))).alias("q")).filter(
         F.col("q").isNotNull()
     )
-    res = resolve(names, dim, index)
+    if materialize:
+        from farelake.session import cut_lineage
+
+        app = df.sparkSession.sparkContext.applicationId
+        key = (app, names.semanticHash(), dim.semanticHash(), index.semanticHash())
+        if key not in _RESOLVED:
+            _RESOLVED[key] = bounded_broadcast(cut_lineage(resolve(names, dim, index).coalesce(1)))
+        res = _RESOLVED[key]
+    else:
+        res = resolve(names, dim, index)
     if strict:
         bad = res.filter(F.col("iata").isNull()).limit(1).collect()
         if bad:

@@ -39,3 +39,7 @@ def fares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enriched tickets (A5 output shape)."""
     geo = locations.add_geographic_features(tickets(spark, sf_dir), airports(spark, sf_dir), name_index(spark, sf_dir))
     return add_engineered_features(geo)
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapter.requests(spark, sf_dir)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from farelake.functions import features as FE
 from farelake.functions import geo as G
 from farelake.functions import labels as L
-from farelake.sources.adapter import AIRPORTS_SQL, RAW_TICKETS_SQL
+from farelake.sources.adapter import AIRPORTS_SQL, RAW_TICKETS_SQL, REQUESTS_SQL
 
 
 def q(s: str) -> str:
@@ -178,7 +178,7 @@ fares AS (
     airline || '_' || source_city || '_' || destination_city AS airline_route_id
   FROM fares_geo)"""
 
-BASE_CTES = ",\n".join([AIRPORTS_SQL, RAW_TICKETS_SQL, TICKETS_SQL, DIM_SQL, GEO_SQL])
+BASE_CTES = ",\n".join([AIRPORTS_SQL, RAW_TICKETS_SQL, TICKETS_SQL, DIM_SQL, GEO_SQL, REQUESTS_SQL])
 
 
 def with_base(final_sql: str, extra_ctes: str = "") -> str:

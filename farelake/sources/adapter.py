@@ -212,3 +212,66 @@ raw_tickets_final AS (
          WHEN l_suppkey % 13 = 0 THEN 'dep ' || _clock_arr ELSE _clock_arr END AS arrival_time,
     destination_city, class, duration, days_left, CAST(price AS DOUBLE) AS price
   FROM raw_tickets)"""
+
+
+# --- Estimate requests (A5 shape) from events ---
+REQUEST_AIRLINES = RAW_AIRLINES + ["Zoom Air", "Sky_Express"]
+REQUEST_TIMES = ["Morning", "early_morning", "Evening", "night", "Afternoon", "Late_Night", "dawn"]
+REQUEST_STOPS = {"view": "zero", "click": "one", "signup": "two_or_more", "purchase": "1 stop", "error": "several"}
+REQUEST_CLASSES = ["Business", "Economy", "First"]
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fare-estimate requests: one per event; IATA or city per endpoint, some invalid on purpose."""
+    ev = table(spark, sf_dir, "events")
+    e, u = F.col("event_id"), F.col("user_id")
+    k = F.get_json_object(F.col("props"), "$.k").try_cast("int")
+    src_city = _pick(CITIES, F.pmod(e, F.lit(25)))
+    stops = F.coalesce(
+        F.try_element_at(F.create_map(*[F.lit(x) for kv in REQUEST_STOPS.items() for x in kv]), F.col("event_type")),
+        F.col("event_type"),
+    )
+    return ev.select(
+        e.alias("request_id"),
+        u.alias("session_id"),
+        F.col("ts"),
+        _pick(REQUEST_AIRLINES, F.pmod(e, F.lit(27))).alias("airline"),
+        F.when((F.pmod(e, F.lit(5)) == 0) | (F.pmod(e, F.lit(97)) == 0), F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("N"), F.lpad(F.pmod(e, F.lit(25)).cast("string"), 2, "0")))
+        .alias("source_iata"),
+        F.when(F.pmod(e, F.lit(97)) == 0, F.lit(None).cast("string"))
+        .when(F.pmod(e, F.lit(10)) == 0, F.lower(src_city))
+        .when(F.pmod(e, F.lit(5)) == 0, src_city)
+        .alias("source_city"),
+        F.when(F.pmod(u, F.lit(7)) == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("N"), F.lpad(F.pmod(u, F.lit(25)).cast("string"), 2, "0")))
+        .alias("destination_iata"),
+        F.when(F.pmod(u, F.lit(7)) == 0, _pick(CITIES, F.pmod(u, F.lit(25)))).alias("destination_city"),
+        _pick(REQUEST_TIMES, F.pmod(e, F.lit(7))).alias("departure_time"),
+        _pick(REQUEST_TIMES, F.pmod(e + u, F.lit(7))).alias("arrival_time"),
+        stops.alias("stops"),
+        _pick(REQUEST_CLASSES, F.pmod(k, F.lit(3))).alias("class"),
+        (F.col("value") / 8.0).alias("duration"),
+        (k * 4 - 10).alias("days_left"),
+    )
+
+
+def _sql_case(mapping: dict, key: str) -> str:
+    return "CASE " + key + " " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in mapping.items()) + f" ELSE {key} END"
+
+
+REQUESTS_SQL = f"""requests AS (
+  SELECT event_id AS request_id, user_id AS session_id, ts,
+    {_sql_pick(REQUEST_AIRLINES, 'event_id % 27')} AS airline,
+    CASE WHEN event_id % 5 = 0 OR event_id % 97 = 0 THEN NULL ELSE 'N' || lpad(CAST(event_id % 25 AS VARCHAR), 2, '0') END AS source_iata,
+    CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 10 = 0 THEN lower({_sql_pick(CITIES, 'event_id % 25')})
+         WHEN event_id % 5 = 0 THEN {_sql_pick(CITIES, 'event_id % 25')} END AS source_city,
+    CASE WHEN user_id % 7 = 0 THEN NULL ELSE 'N' || lpad(CAST(user_id % 25 AS VARCHAR), 2, '0') END AS destination_iata,
+    CASE WHEN user_id % 7 = 0 THEN {_sql_pick(CITIES, 'user_id % 25')} END AS destination_city,
+    {_sql_pick(REQUEST_TIMES, 'event_id % 7')} AS departure_time,
+    {_sql_pick(REQUEST_TIMES, '(event_id + user_id) % 7')} AS arrival_time,
+    {_sql_case(REQUEST_STOPS, 'event_type')} AS stops,
+    {_sql_pick(REQUEST_CLASSES, "CAST(json_extract_string(props, '$.k') AS INTEGER) % 3")} AS class,
+    value / 8.0 AS duration,
+    CAST(json_extract_string(props, '$.k') AS INTEGER) * 4 - 10 AS days_left
+  FROM events)"""
