@@ -19,7 +19,7 @@ def q(s: str) -> str:
 
 def rnd(x: str, n: int) -> str:
     """Spark ``round`` semantics (HALF_UP on the decimal rendering) in DuckDB."""
-    return f"CAST(round(CAST({x} AS DECIMAL(38, 10)), {n}) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST(({x}) AS VARCHAR) AS DECIMAL(38, 18)), {n}) AS DOUBLE)"
 
 
 def cents(x: str) -> str:

@@ -1 +1,229 @@
-"""Queries: placeholder."""
+"""Fare-estimate queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from farelake.operators import calibrate as CAL
+from farelake.operators import comparables as CMP
+from farelake.operators import estimate as EST
+from farelake.operators import models as M
+from farelake.operators import profile as P
+from farelake.plans import datasets as D
+from farelake.plans.oracle_base import money_pct, rnd, with_base
+from farelake.plans.oracle_requests import REQUESTS_VALID_SQL, comparables_sql, loro_1d_sql, observations_sql
+from farelake.plans.q_comparables import valid_requests
+from farelake.plans.registry import register
+from farelake.sources import adapter
+
+
+@register(
+    "j1_request_validation",
+    sql=with_base("SELECT request_id, len(reasons) = 0 AS valid, array_to_string(reasons, '|') AS reasons FROM req_valid", REQUESTS_VALID_SQL),
+)
+def j1_request_validation(spark, sf):
+    """Field, location and domain validation of every request; reasons kept (quarantine, not dropped)."""
+    v = valid_requests(spark, sf)
+    return v.select("request_id", "valid", F.array_join("reasons", "|").alias("reasons"))
+
+
+@register(
+    "j2_normalised_requests",
+    sql=with_base(
+        """SELECT request_id, airline_n, class_n, departure_time_n, arrival_time_n, stops_n, src_iata, dst_iata, distance_km,
+  ood AS out_of_training_distribution,
+  CASE WHEN distance_km < 80.0 OR distance_km > 3600.0 THEN 'Out-of-distribution estimate'
+       WHEN ood THEN 'Limited historical coverage' ELSE 'Good historical coverage' END AS reliability_tier
+FROM req_valid WHERE len(reasons) = 0""",
+        REQUESTS_VALID_SQL,
+    ),
+)
+def j2_normalised_requests(spark, sf):
+    """Canonical airline/class/time/stops, IATA endpoints, distance, OOD flag and reliability tier of valid requests."""
+    v = valid_requests(spark, sf).filter("valid")
+    return v.select(
+        "request_id", "airline_n", "class_n", "departure_time_n", "arrival_time_n", "stops_n", "src_iata", "dst_iata",
+        "distance_km", "out_of_training_distribution", "reliability_tier",
+    )
+
+
+def _estimates(spark, sf, feats=CAL.LOG_HIST_FEATURES):
+    f = D.fares(spark, sf)
+    coefs = M.fit_class_loglinear(f)
+    obs = CAL.observation_records(f, coefs)
+    cal = CAL.calibrator(obs, feats)
+    v = valid_requests(spark, sf).filter("valid")
+    priced = EST.price_chain(v, coefs, cal)
+    return EST.bands(priced, P.price_terciles(f))
+
+
+_CAL_1D_SQL = observations_sql() + ",\n" + loro_1d_sql("route", "lr") + """,
+none_m AS (SELECT avg(abs(market_fare - hist_pred)) AS mae_none FROM obs),
+fac AS (SELECT median(market_fare / hist_pred) AS factor FROM obs),
+infl_m AS (SELECT avg(abs(market_fare - hist_pred * factor)) AS mae_inflation FROM obs, fac),
+ridge_m AS (SELECT avg(abs(market_fare - oof_pred)) AS mae_ridge FROM lr_oof),
+sel AS (
+  SELECT mae_none, mae_inflation, mae_ridge, factor,
+    CASE WHEN mae_ridge < mae_none THEN 'ridge' WHEN mae_inflation < mae_none THEN 'global_inflation' ELSE 'none' END AS best_model
+  FROM none_m, infl_m, ridge_m, fac),
+calib AS (
+  SELECT sel.*, CASE best_model WHEN 'ridge' THEN mae_ridge WHEN 'global_inflation' THEN mae_inflation ELSE mae_none END AS mae,
+    CASE WHEN best_model = 'ridge' AND mae_ridge < 0.85 * mae_none THEN 'validated_loro' ELSE 'experimental' END AS status,
+    (t.sy / t.n) - (t.sx / t.n) * ((t.sxy - t.n * (t.sx / t.n) * (t.sy / t.n)) / ((t.sxx - t.n * (t.sx / t.n) * (t.sx / t.n)) + 0.5)) AS b0,
+    (t.sxy - t.n * (t.sx / t.n) * (t.sy / t.n)) / ((t.sxx - t.n * (t.sx / t.n) * (t.sx / t.n)) + 0.5) AS b1
+  FROM sel, lr_t t)"""
+
+_EST_SQL = REQUESTS_VALID_SQL + ",\n" + _CAL_1D_SQL + f""",
+priced AS (
+  SELECT v.request_id, v.class_n, v.distance_km, v.days_left,
+    greatest(exp(c.intercept + c.slope * v.distance_km) - 1, 500.0) AS raw_model_price
+  FROM req_valid v JOIN coefs c ON c.model_class = v.class_n WHERE len(v.reasons) = 0),
+priced2 AS (SELECT *, greatest(500.0, {rnd('raw_model_price * 1.01388', 2)}) AS hist_baseline FROM priced),
+priced3 AS (
+  SELECT p.*, k.mae, k.status, CASE WHEN k.best_model = 'ridge'
+      THEN greatest(500.0, {rnd('exp(k.b0 + k.b1 * ln(greatest(500.0, p.hist_baseline)))', 2)})
+      ELSE greatest(500.0, {rnd('p.hist_baseline * k.factor', 2)}) END AS cal
+  FROM priced2 p, calib k),
+priced4 AS (SELECT *, greatest(500.0, {rnd('cal', 2)}) AS predicted_price FROM priced3),
+terc AS (SELECT {rnd(money_pct('price', 0.33), 4)} AS budget_max, {rnd(money_pct('price', 0.66), 4)} AS high_min FROM fares),
+banded AS (
+  SELECT p.*, {rnd('p.mae', 2)} AS error_band,
+    {rnd(f"greatest(500.0, p.predicted_price - {rnd('p.mae', 2)})", 2)} AS low,
+    {rnd(f"p.predicted_price + {rnd('p.mae', 2)}", 2)} AS high,
+    CASE WHEN p.predicted_price <= t.budget_max THEN 'Budget' WHEN p.predicted_price >= t.high_min THEN 'High' ELSE 'Average' END AS fare_band,
+    {rnd('p.predicted_price - p.hist_baseline', 2)} AS macro_adjustment_inr,
+    {rnd('p.predicted_price / greatest(1.0, p.hist_baseline)', 3)} AS inflation_multiplier
+  FROM priced4 p, terc t)"""
+
+
+@register(
+    "j3_price_chain",
+    sql=with_base("SELECT request_id, round(raw_model_price, 2) AS raw_model_price, hist_baseline, predicted_price FROM priced4", _EST_SQL),
+)
+def j3_price_chain(spark, sf):
+    """Router -> smearing -> floor -> market calibration (LORO-selected, one-feature ridge) -> floor."""
+    e = _estimates(spark, sf)
+    return e.select("request_id", F.round("raw_model_price", 2).alias("raw_model_price"), "hist_baseline", "predicted_price")
+
+
+@register(
+    "j4_j6_bands",
+    sql=with_base("SELECT request_id, error_band, low, high, fare_band, macro_adjustment_inr, inflation_multiplier FROM banded", _EST_SQL),
+)
+def j4_j6_bands(spark, sf):
+    """Error band (± LORO MAE, low >= 500), fare band from terciles, adjustment amount and multiplier."""
+    e = _estimates(spark, sf)
+    return e.select("request_id", "error_band", "low", "high", "fare_band", "macro_adjustment_inr", "inflation_multiplier")
+
+
+@register(
+    "j7_difference_from_comparables",
+    sql=with_base(
+        f"""SELECT b.request_id, s.median, {rnd('b.predicted_price - s.median', 2)} AS difference_from_median,
+  {rnd('b.hist_baseline - s.median', 2)} AS difference_from_historical_median, s.route_match
+FROM banded b JOIN comp_summary s ON s.qid = b.request_id""",
+        _EST_SQL + ",\n" + comparables_sql(CMP.PREDICTION_K),
+    ),
+)
+def j7_difference_from_comparables(spark, sf):
+    """Estimate minus the median of its 6 nearest comparables (calibrated and historical)."""
+    e = _estimates(spark, sf)
+    q = EST.comparable_queries(valid_requests(spark, sf))
+    s = CMP.summarize(CMP.nearest_comparables(q, D.fares(spark, sf), k=CMP.PREDICTION_K), q).withColumnRenamed("qid", "request_id")
+    j = e.join(s, "request_id")
+    return j.select(
+        "request_id", "median",
+        F.round(F.col("predicted_price") - F.col("median"), 2).alias("difference_from_median"),
+        F.round(F.col("hist_baseline") - F.col("median"), 2).alias("difference_from_historical_median"),
+        "route_match",
+    )
+
+
+@register("j8_estimate_table", sql=None)
+def j8_estimate_table(spark, sf):
+    """Batch estimate table: nested response row per valid request (J3-J9); same transform runs per stream micro-batch."""
+    e = _estimates(spark, sf)
+    q = EST.comparable_queries(valid_requests(spark, sf))
+    s = CMP.summarize(CMP.nearest_comparables(q, D.fares(spark, sf), k=CMP.PREDICTION_K), q)
+    return EST.response_rows(e, s)
+
+
+@register("j3_price_chain_full_calibrator", sql=None)
+def j3_price_chain_full_calibrator(spark, sf):
+    """Price chain with the five-feature calibrator (ridge solved per fold from sufficient statistics)."""
+    e = _estimates(spark, sf, CAL.FULL_FEATURES)
+    return e.select("request_id", "hist_baseline", "predicted_price", "low", "high", "fare_band")
+
+
+@register(
+    "j10_latest_per_session",
+    sql=with_base(
+        """SELECT session_id, request_id, CAST(position AS INTEGER) AS position FROM (
+  SELECT session_id, request_id, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, request_id DESC) AS position FROM requests)
+WHERE position <= 20"""
+    ),
+)
+def j10_latest_per_session(spark, sf):
+    """Newest 20 requests per session (row_number over ts desc; partial WindowGroupLimit before the shuffle)."""
+    r = EST.latest_per_session(D.requests(spark, sf), 20)
+    return r.select("session_id", "request_id", "position")
+
+
+OFFERS_SQL = """offers AS (
+  SELECT l_orderkey AS query_id,
+    CASE WHEN l_linenumber = 5 THEN 'n/a' ELSE CAST(l_extendedprice AS VARCHAR) END AS amount,
+    CASE WHEN l_linenumber = 3 THEN '' ELSE 'C' || CAST(l_suppkey % 30 AS VARCHAR) END AS carrier FROM lineitem)"""
+
+
+@register(
+    "j12_offer_statistics",
+    sql=with_base(
+        """SELECT query_id, CAST(count(*) AS INTEGER) AS live_offers_count, min(a) AS lowest_fare,
+  list_sort(list(a))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median_fare, max(a) AS highest_fare,
+  coalesce(array_to_string(list_sort(list(DISTINCT carrier) FILTER (WHERE carrier <> '')), '|'), '') AS carriers
+FROM (SELECT query_id, TRY_CAST(amount AS DOUBLE) AS a, carrier FROM offers) WHERE a IS NOT NULL GROUP BY query_id""",
+        OFFERS_SQL,
+    ),
+)
+def j12_offer_statistics(spark, sf):
+    """Offer statistics per query: count, lowest, upper median sorted[n//2], highest, carriers (unparsable skipped)."""
+    li = D.table(spark, sf, "lineitem") if hasattr(D, "table") else None
+    from farelake.sources.tables import table
+
+    li = table(spark, sf, "lineitem")
+    offers = li.select(
+        F.col("l_orderkey").alias("query_id"),
+        F.when(F.col("l_linenumber") == 5, F.lit("n/a")).otherwise(F.col("l_extendedprice").cast("string")).alias("amount"),
+        F.when(F.col("l_linenumber") == 3, F.lit("")).otherwise(F.concat(F.lit("C"), F.pmod("l_suppkey", F.lit(30)).cast("string"))).alias("carrier"),
+    )
+    return EST.offer_stats(offers)
+
+
+@register(
+    "j13_presentation",
+    sql=with_base(
+        """SELECT airline, flight, price,
+  CASE WHEN price IS NULL THEN '—' ELSE
+    (CASE WHEN round(price, 0) < 0 THEN '-' ELSE '' END) || '₹' ||
+    (CASE WHEN length(v) > 3 THEN regexp_replace(reverse(regexp_replace(reverse(substr(v, 1, length(v) - 3)), '(\\d\\d)', '\\1,', 'g')), '^,', '')
+          || ',' || substr(v, length(v) - 2, 3) ELSE v END) END AS price_inr,
+  '~' || CAST(CAST(round(distance_km, 0) AS BIGINT) AS VARCHAR) || ' km' AS distance_text,
+  CASE WHEN floor(duration) = 0 THEN CAST(CAST(round((duration - floor(duration)) * 60) AS BIGINT) AS VARCHAR) || 'm'
+       ELSE CAST(CAST(floor(duration) AS BIGINT) AS VARCHAR) || 'h ' || CAST(CAST(round((duration - floor(duration)) * 60) AS BIGINT) AS VARCHAR) || 'm' END AS duration_text,
+  CASE stops WHEN 'zero' THEN 'Non-stop' WHEN 'one' THEN '1 Stop' WHEN 'two_or_more' THEN '2+ Stops' ELSE coalesce(stops, '—') END AS stops_text
+FROM (SELECT *, CAST(abs(CAST(round(price, 0) AS BIGINT)) AS VARCHAR) AS v FROM fares)"""
+    ),
+)
+def j13_presentation(spark, sf):
+    """Presentation columns: INR with Indian digit grouping, ~km, 'Xh Ym', stops label; NULL -> dash."""
+    f = D.fares(spark, sf).select("airline", "flight", "price", "distance_km", "duration", "stops")
+    f = EST.format_inr_col(f, "price", "price_inr")
+    h = F.floor("duration")
+    m = F.round((F.col("duration") - h) * 60).cast("long").cast("string")
+    return f.select(
+        "airline", "flight", "price", "price_inr",
+        F.concat(F.lit("~"), F.round("distance_km", 0).cast("long").cast("string"), F.lit(" km")).alias("distance_text"),
+        F.when(h == 0, F.concat(m, F.lit("m"))).otherwise(F.concat(h.cast("long").cast("string"), F.lit("h "), m, F.lit("m"))).alias("duration_text"),
+        F.when(F.col("stops") == "zero", "Non-stop").when(F.col("stops") == "one", "1 Stop").when(F.col("stops") == "two_or_more", "2+ Stops")
+        .otherwise(F.coalesce("stops", F.lit("—"))).alias("stops_text"),
+    )
