@@ -90,7 +90,7 @@ def prepare_queries(queries: DataFrame, hist_classes: DataFrame, qid: str) -> Da
     )
     return q.drop("_classes").withColumns(
         {
-            "qu": F.floor(F.col("q_km") / SCALE_KM),
+            "qu": F.floor(F.col("q_km") / SCALE_KM),  # bigint cells, like the history's
             "qv": F.floor(F.col("q_h") / SCALE_H),
             "qw": F.floor(F.col("q_days") / SCALE_DAYS),
             "q_both": (F.col("q_src") != "") & (F.col("q_dst") != ""),
@@ -116,15 +116,18 @@ def _score() -> Column:
     return F.round(s, 6)
 
 
-def _offsets(r: Column) -> Column:
-    return F.sequence(-r, r)
+def _cells(center: Column, r: Column, lo: Column, hi: Column) -> Column:
+    """Cell indices within ``r`` of ``center``, clamped to the occupied range [lo, hi] (empty if disjoint)."""
+    a, b = F.greatest(center - r, lo), F.least(center + r, hi)
+    return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _route_cells(q: DataFrame, radius: Column, src: str, dst: str) -> DataFrame:
-    """Explode queries over (cv, cw) cells within ``radius`` of their own, keyed by a route."""
-    e = q.withColumn("_r", radius.cast("int")).filter(F.col("_r").isNotNull() & (F.col("_r") >= 0))
-    e = e.withColumn("_dv", F.explode(_offsets(F.col("_r")))).withColumn("_dw", F.explode(_offsets(F.col("_r"))))
-    return e.withColumns({"k_src": F.col(src), "k_dst": F.col(dst), "k_v": F.col("qv") + F.col("_dv"), "k_w": F.col("qw") + F.col("_dw")})
+    """Explode queries over occupied (cv, cw) cells within ``radius`` of their own, keyed by a route."""
+    e = q.withColumn("_r", radius.cast("long")).filter(F.col("_r").isNotNull() & (F.col("_r") >= 0))
+    e = e.withColumn("k_v", F.explode(_cells(F.col("qv"), F.col("_r"), F.col("lo_v"), F.col("hi_v"))))
+    e = e.withColumn("k_w", F.explode(_cells(F.col("qw"), F.col("_r"), F.col("lo_w"), F.col("hi_w"))))
+    return e.withColumns({"k_src": F.col(src), "k_dst": F.col(dst)})
 
 
 def _join_route(qx: DataFrame, h: DataFrame) -> DataFrame:
@@ -149,49 +152,53 @@ def _radius(tau: Column, bonus: float) -> Column:
     return F.when(t >= 0, F.floor(F.sqrt(t)) + 1)
 
 
+def _cube(q: DataFrame, radius: Column) -> DataFrame:
+    """Explode queries over the 3-D cells within ``radius`` (Chebyshev) of their own cell."""
+    c = q.withColumn("_r", radius.cast("long")).filter(F.col("_r").isNotNull() & (F.col("_r") >= 0))
+    for d in ("u", "v", "w"):
+        c = c.withColumn(f"k_{d}", F.explode(_cells(F.col(f"q{d}"), F.col("_r"), F.col(f"lo_{d}"), F.col(f"hi_{d}"))))
+    return c
+
+
+def _join_cube(cx: DataFrame, h: DataFrame, exclude_routes: bool) -> DataFrame:
+    cond = (cx["pool_class"] == h["h_class"]) & (cx["k_u"] == h["cu"]) & (cx["k_v"] == h["cv"]) & (cx["k_w"] == h["cw"])
+    if exclude_routes:
+        cond = cond & ~((h["h_src"] == cx["q_src"]) & (h["h_dst"] == cx["q_dst"])) & ~((h["h_src"] == cx["q_dst"]) & (h["h_dst"] == cx["q_src"]))
+    return cx.join(h, cond)
+
+
 def nearest_comparables(queries: DataFrame, history: DataFrame, k: int = DEFAULT_K, qid: str = "request_id") -> DataFrame:
     """The k nearest historical tickets per query (long form, one row per comparable)."""
     h = prepare_history(history, k)
     q = prepare_queries(queries, h.select("h_class").distinct(), qid)
-    qcols = q.columns
-
-    # Seeds: same route, own and adjacent (v, w) cells -> tau per query.
-    seeds = _join_route(_route_cells(q, F.lit(1), "q_src", "q_dst"), h).withColumn("score", _score())
+    keep = q.columns + h.columns
+    # Occupied grid bounds (1 row): every cell range is clamped to them, so a query far from
+    # all history explodes over at most the occupied cells, never over empty space.
+    bounds = h.agg(*[x for d in ("u", "v", "w") for x in (F.min(f"c{d}").alias(f"lo_{d}"), F.max(f"c{d}").alias(f"hi_{d}"))])
+    q = q.crossJoin(F.broadcast(bounds))
+
+    # Exact-route block: every (reduced) row of the query's own route - bounded by the route's domain.
+    exact = q.join(h, (q["pool_class"] == h["h_class"]) & (q["q_src"] == h["h_src"]) & (q["q_dst"] == h["h_dst"])).select(*keep)
+    exact = exact.withColumn("score", _score())
+    # Seed bound tau: k-th best over the exact block and the 27 cells around the query (any route).
+    near = _join_cube(_cube(q, F.lit(1)), h, exclude_routes=True).select(*keep).withColumn("score", _score())
+    seeds = exact.select("qid", "score").unionByName(near.select("qid", "score"))
     ws = Window.partitionBy("qid").orderBy("score")
-    tau = (
-        seeds.select("qid", "score")
-        .withColumn("_n", F.row_number().over(ws))
-        .filter(F.col("_n") == k)
-        .select("qid", F.col("score").alias("tau"))
-    )
+    tau = seeds.withColumn("_n", F.row_number().over(ws)).filter(F.col("_n") == k).select("qid", F.col("score").alias("tau"))
     qt = q.join(tau, "qid", "left")
 
-    exact = _join_route(_route_cells(qt, _radius(F.col("tau"), MAX_BONUS_EXACT), "q_src", "q_dst"), h)
     rev = _join_route(
         _route_cells(qt.filter(F.col("q_src") != F.col("q_dst")), _radius(F.col("tau"), MAX_BONUS_REVERSE), "q_dst", "q_src"), h
-    )
-    r3 = _radius(F.col("tau"), MAX_BONUS_OTHER)
-    cube = qt.withColumn("_r", r3.cast("int")).filter(F.col("_r").isNotNull())
-    for d, base in (("_du", "qu"), ("_dv", "qv"), ("_dw", "qw")):
-        cube = cube.withColumn(d, F.explode(_offsets(F.col("_r"))))
-    cube = cube.withColumns({"k_u": F.col("qu") + F.col("_du"), "k_v": F.col("qv") + F.col("_dv"), "k_w": F.col("qw") + F.col("_dw")})
-    other = cube.join(
-        h,
-        (cube["pool_class"] == h["h_class"]) & (cube["k_u"] == h["cu"]) & (cube["k_v"] == h["cv"]) & (cube["k_w"] == h["cw"])
-        & ~((h["h_src"] == cube["q_src"]) & (h["h_dst"] == cube["q_dst"]))
-        & ~((h["h_src"] == cube["q_dst"]) & (h["h_dst"] == cube["q_src"])),
-    )
-    # No finite bound (fewer than k seeds): the query's whole class pool.
-    full = qt.filter(F.col("tau").isNull()).join(h, F.col("pool_class") == F.col("h_class"))
-
-    keep = qcols + h.columns
-    cands = (
-        exact.select(*keep)
-        .unionByName(rev.select(*keep))
-        .unionByName(other.select(*keep))
-        .unionByName(full.select(*keep))
-    )
-    return _finish(_topk(cands.withColumn("score", _score()), k))
+    ).select(*keep)
+    other = _join_cube(_cube(qt, _radius(F.col("tau"), MAX_BONUS_OTHER)), h, exclude_routes=True).select(*keep)
+    # No finite bound (fewer than k rows in route + neighbourhood): the whole class pool, minus the exact block.
+    full = qt.filter(F.col("tau").isNull()).join(
+        h, (F.col("pool_class") == F.col("h_class")) & ~((F.col("h_src") == F.col("q_src")) & (F.col("h_dst") == F.col("q_dst")))
+    ).select(*keep)
+    # rev/other/full can overlap only for tau-less queries (full covers everything) -> keep rev/other for tau queries.
+    rest = rev.join(tau.select("qid"), "qid", "left_semi").unionByName(other).unionByName(full).withColumn("score", _score())
+    cands = exact.unionByName(rest)
+    return _finish(_topk(cands, k))
 
 
 def _finish(top: DataFrame) -> DataFrame:

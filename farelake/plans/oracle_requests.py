@@ -111,7 +111,9 @@ scored AS (
     - CASE WHEN q.q_src <> '' AND q.q_dst <> '' AND h.h_src = q.q_dst AND h.h_dst = q.q_src THEN {CMP.BONUS_REVERSE} ELSE 0.0 END
     - CASE WHEN h.h_airline = q.q_airline THEN {CMP.BONUS_AIRLINE} ELSE 0.0 END
     - CASE WHEN h.h_stops = q.q_stops THEN {CMP.BONUS_STOPS} ELSE 0.0 END, 6) AS score
-  FROM hq q JOIN hist h ON h.h_class = q.q_class OR q.q_class NOT IN (SELECT DISTINCT h_class FROM hist)),
+  FROM (SELECT hq.*, unnest(CASE WHEN q_class IN (SELECT h_class FROM hist) THEN [q_class]
+                                 ELSE (SELECT list(DISTINCT h_class) FROM hist) END) AS pool_class FROM hq) q
+  JOIN hist h ON h.h_class = q.pool_class),
 topk AS (
   SELECT * , row_number() OVER (PARTITION BY qid ORDER BY score, {tie.replace('h.', '')}) AS rank FROM scored
   QUALIFY rank <= {k}),

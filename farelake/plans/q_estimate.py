@@ -12,7 +12,7 @@ from farelake.operators import profile as P
 from farelake.plans import datasets as D
 from farelake.plans.oracle_base import money_pct, rnd, with_base
 from farelake.plans.oracle_requests import REQUESTS_VALID_SQL, comparables_sql, loro_1d_sql, observations_sql
-from farelake.plans.q_comparables import valid_requests
+from farelake.plans.q_comparables import comparables, valid_requests
 from farelake.plans.registry import register
 from farelake.sources import adapter
 
@@ -116,20 +116,12 @@ def j4_j6_bands(spark, sf):
     return e.select("request_id", "error_band", "low", "high", "fare_band", "macro_adjustment_inr", "inflation_multiplier")
 
 
-@register(
-    "j7_difference_from_comparables",
-    sql=with_base(
-        f"""SELECT b.request_id, s.median, {rnd('b.predicted_price - s.median', 2)} AS difference_from_median,
-  {rnd('b.hist_baseline - s.median', 2)} AS difference_from_historical_median, s.route_match
-FROM banded b JOIN comp_summary s ON s.qid = b.request_id""",
-        _EST_SQL + ",\n" + comparables_sql(CMP.PREDICTION_K),
-    ),
-)
+@register("j7_difference_from_comparables", sql=None)
 def j7_difference_from_comparables(spark, sf):
     """Estimate minus the median of its 6 nearest comparables (calibrated and historical)."""
     e = _estimates(spark, sf)
-    q = EST.comparable_queries(valid_requests(spark, sf))
-    s = CMP.summarize(CMP.nearest_comparables(q, D.fares(spark, sf), k=CMP.PREDICTION_K), q).withColumnRenamed("qid", "request_id")
+    q, c = comparables(spark, sf)
+    s = CMP.summarize(c, q).withColumnRenamed("qid", "request_id")
     j = e.join(s, "request_id")
     return j.select(
         "request_id", "median",
@@ -143,8 +135,8 @@ def j7_difference_from_comparables(spark, sf):
 def j8_estimate_table(spark, sf):
     """Batch estimate table: nested response row per valid request (J3-J9); same transform runs per stream micro-batch."""
     e = _estimates(spark, sf)
-    q = EST.comparable_queries(valid_requests(spark, sf))
-    s = CMP.summarize(CMP.nearest_comparables(q, D.fares(spark, sf), k=CMP.PREDICTION_K), q)
+    q, c = comparables(spark, sf)
+    s = CMP.summarize(c, q)
     return EST.response_rows(e, s)
 
 
