@@ -219,3 +219,25 @@ def j13_presentation(spark, sf):
         F.when(F.col("stops") == "zero", "Non-stop").when(F.col("stops") == "one", "1 Stop").when(F.col("stops") == "two_or_more", "2+ Stops")
         .otherwise(F.coalesce("stops", F.lit("—"))).alias("stops_text"),
     )
+
+
+@register(
+    "j8_stream_request_validation",
+    sql=with_base("SELECT request_id, len(reasons) = 0 AS valid, array_to_string(reasons, '|') AS reasons FROM req_valid", REQUESTS_VALID_SQL),
+)
+def j8_stream_request_validation(spark, sf):
+    """Streaming mode: events as a file stream (availableNow), validated per micro-batch; equals the batch result."""
+    from farelake.sources.tables import table
+    from farelake.streaming.estimates import run_file_stream
+
+    f = D.fares(spark, sf)
+    cat = EST.catalogue(f)
+    dim, idx = D.airports(spark, sf), D.name_index(spark, sf)
+    schema = table(spark, sf, "events").schema
+
+    def transform(batch):
+        v = EST.validate_requests(adapter.requests_from_events(batch), cat, dim, idx)
+        return v.select("request_id", "valid", F.array_join("reasons", "|").alias("reasons"))
+
+    out = run_file_stream(spark, sf, "events.parquet", schema, transform, "request-validation")
+    return spark.read.parquet(out).select("request_id", "valid", "reasons")

@@ -223,7 +223,11 @@ REQUEST_CLASSES = ["Business", "Economy", "First"]
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fare-estimate requests: one per event; IATA or city per endpoint, some invalid on purpose."""
-    ev = table(spark, sf_dir, "events")
+    return requests_from_events(table(spark, sf_dir, "events"))
+
+
+def requests_from_events(ev: DataFrame) -> DataFrame:
+    """Row-wise derivation (no aggregation), so it also runs on a stream micro-batch."""
     e, u = F.col("event_id"), F.col("user_id")
     k = F.get_json_object(F.col("props"), "$.k").try_cast("int")
     src_city = _pick(CITIES, F.pmod(e, F.lit(25)))
