@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farelake.llm import q_chat_format, q_language_mix, q_minhash_dedup, q_packing, q_quality_rules, q_secret_scans, q_source_mix, q_warc, q_winnowing
+from farelake.llm import q_chat_format, q_language_mix, q_minhash_dedup, q_packing, q_quality_rules, q_secret_scans, q_source_mix, q_surrogates, q_warc, q_winnowing
 
-MODULES = [q_language_mix, q_chat_format, q_quality_rules, q_winnowing, q_secret_scans, q_source_mix, q_warc, q_minhash_dedup, q_packing]
+MODULES = [q_language_mix, q_chat_format, q_quality_rules, q_surrogates, q_winnowing, q_secret_scans, q_source_mix, q_warc, q_minhash_dedup, q_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
