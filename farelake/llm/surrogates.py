@@ -74,11 +74,17 @@ def kind_of(mention: Column) -> Column:
     return out.otherwise("name")
 
 
+def _country(mention: Column) -> Column:
+    """A phone number's country code, as far as it is written."""
+    return F.regexp_extract(mention, r"^\+(1|7|\d{1,3}(?=[ .(-])|\d{2})", 1)
+
+
 def canonical(kind: Column, mention: Column) -> Column:
-    """What all ways of writing an entity share: a number's digits, an IBAN without spaces, lower case, a
-    name without its title's dot."""
+    """What all ways of writing an entity share: a number's digits (a phone's without its country code), an IBAN
+    without spaces, lower case, a name without its title's dot."""
     bare = F.regexp_replace(mention, "[^0-9]", "")
-    return F.when(kind.isin("card", "ssn", "phone"), bare).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).when(kind == "name", F.replace(mention, F.lit("."), F.lit(""))).otherwise(F.lower(mention))
+    national = F.substring(bare, F.length(_country(mention)) + 1, F.length(bare))
+    return F.when(kind == "phone", national).when(kind.isin("card", "ssn"), bare).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).when(kind == "name", F.replace(mention, F.lit("."), F.lit(""))).otherwise(F.lower(mention))
 
 
 def _stream(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
@@ -96,22 +102,19 @@ def _pick(values: list[str], i: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), i.cast("int"))
 
 
-def _drawn_char(c: Column, stream: Column, i: Column) -> Column:
-    """A character of the same class, case and script; any other as it is."""
+def _drawn_char(c: Column, n: Column) -> Column:
+    """A character of the same class, case and script as ``c``, the ``n``-th of its alphabet; any other as it is.
+    Letters with marks become plain letters of the Latin script."""
     low = F.lower(c)
-    out = F.when(c.rlike("^[0-9]$"), _draw(stream, i, 10).cast("string"))
-    for letters in ALPHABETS.values():
-        new = F.substring(F.lit(letters), (_draw(stream, i, len(letters)) + 1).cast("int"), F.lit(1))
-        out = out.when(F.instr(F.lit(letters), low) > 0, F.when(c == low, new).otherwise(F.upper(new)))
-    # letters with marks: plain ones of the Latin script
-    plain = F.substring(F.lit(ALPHABETS["latin"]), (_draw(stream, i, 26) + 1).cast("int"), F.lit(1))
-    return out.when(c.rlike(r"^\p{L}$"), F.when(c == low, plain).otherwise(F.upper(plain))).otherwise(c)
+    letters = F.when(F.instr(F.lit("0123456789"), c) > 0, "0123456789").when(F.instr(F.lit(ALPHABETS["cyrillic"]), low) > 0, ALPHABETS["cyrillic"]).when(F.instr(F.lit(ALPHABETS["greek"]), low) > 0, ALPHABETS["greek"]).when(c.rlike(r"^\p{L}$"), ALPHABETS["latin"])
+    new = F.substring(letters, F.pmod(n, F.length(letters)).cast("int") + 1, F.lit(1))
+    return F.coalesce(F.when(c == low, new).otherwise(F.upper(new)), c)
 
 
 def _redrawn(entity: Column, stream: Column, kept: Column) -> Column:
     """Every character after the first ``kept`` redrawn in its class."""
     chars = F.split(entity, "")
-    return F.array_join(F.transform(chars, lambda c, i: F.when(i < kept, c).otherwise(_drawn_char(c, stream, i))), "")
+    return F.array_join(F.transform(chars, lambda c, i: F.when(i < kept, c).otherwise(_drawn_char(c, _draw(stream, i, 4096)))), "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -145,31 +148,53 @@ def _syllables(script: str, stream: Column):
     return lambda i: _pick(SYLLABLES[script], _draw(stream, i, len(SYLLABLES[script])))
 
 
-def surrogate(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
+def _drawn(kind: Column, entity: Column, attempt: Column, stream: Column) -> Column:
     """Canonical form of the surrogate of a canonical entity."""
-    stream = _stream(key, kind, entity, attempt)
     last_dot = F.length(entity) - F.length(F.substring_index(entity, ".", -1)) - 1
-    email = F.concat(_redrawn(F.substring(entity, F.lit(1), last_dot), stream, F.lit(0)), F.substring(entity, last_dot + 1, F.length(entity)))
-    body = _redrawn(F.substring(entity, F.lit(1), F.length(entity) - 1), stream, F.lit(1))
-    check = _luhn(body)
-    valid = _luhn(F.substring(entity, F.lit(1), F.length(entity) - 1)).cast("string") == F.substring(entity, -1, 1)
-    card = F.concat(body, F.when(valid, check).otherwise(F.pmod(check + 1 + _draw(stream, F.lit(20), 9), F.lit(10))).cast("string"))
-    phone = _redrawn(entity, stream, F.greatest(F.length(entity) - 10, F.lit(0)))  # ten digits after the country code
+    # which characters are redrawn: from ``first`` on, up to ``end``
+    first = F.when(kind == "card", 1).when(kind == "iban", 2).otherwise(0)
+    end = F.when(kind == "email", last_dot).when(kind == "card", F.length(entity) - 1).otherwise(F.length(entity))
+    body = _redrawn(F.substring(entity, F.lit(1), end), stream, first)
+    tail = F.substring(entity, end + 1, F.length(entity))
     ip = F.array_join(F.transform(F.split(entity, r"\."), lambda p, i: (_draw(stream, i, 254) + 1).cast("string")), ".")
-    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "ssn", _redrawn(entity, stream, F.lit(0))).when(kind == "iban", _redrawn(entity, stream, F.lit(2))).otherwise(_name(entity, stream, attempt))
+    return F.when(kind == "name", _name(entity, stream, attempt)).when(kind == "ip", ip).when(kind == "card", F.concat(body, _check_digit(entity, body, stream))).when(kind == "phone", F.concat((_draw(stream, F.lit(30), 8) + 2).cast("string"), F.substring(body, F.lit(2), F.length(body)))).otherwise(F.concat(body, tail))
+
+
+def _check_digit(entity: Column, body: Column, stream: Column) -> Column:
+    """The last digit of a card: valid if the entity's is."""
+    ends = F.transform(F.array(body, F.substring(entity, F.lit(1), F.length(entity) - 1)), _luhn)
+    valid = F.get(ends, F.lit(1)).cast("string") == F.substring(entity, -1, 1)
+    return F.pmod(F.get(ends, F.lit(0)) + F.when(valid, 0).otherwise(1 + _draw(stream, F.lit(20), 9)), F.lit(10)).cast("string")
+
+
+def surrogates_of(key: str, entities: Column) -> Column:
+    """An array of structs with kind, entity and attempt, each with ``made`` in place of the attempt. The keyed
+    digits of an entity are made once, before everything that is drawn from them."""
+    streamed = F.transform(entities, lambda e: F.struct(e.alias("e"), _stream(key, e["kind"], e["entity"], e["attempt"]).alias("stream")))
+    return F.transform(streamed, lambda x: F.struct(x["e"].alias("e"), _drawn(x["e"]["kind"], x["e"]["entity"], x["e"]["attempt"], x["stream"]).alias("made")))
 
 
 def written_like(mention: Column, kind: Column, made: Column) -> Column:
     """The canonical surrogate in the mention's own way of writing."""
     chars = F.split(mention, "")
     before = lambda i, what: F.regexp_count(F.substring(mention, F.lit(1), (i + 1).cast("int")), F.lit(what))
-    numbered = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(made, before(i, "[0-9]").cast("int"), F.lit(1))).otherwise(c)), "")
+    code = F.when(kind == "phone", F.length(_country(mention))).otherwise(0)
+    numbered = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$") & (before(i, "[0-9]") > code), F.substring(made, (before(i, "[0-9]") - code).cast("int"), F.lit(1))).otherwise(c)), "")
     spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(made, before(i, "[^ ]").cast("int"), F.lit(1)))), "")
     cased = F.array_join(F.transform(chars, lambda c, i: F.when(c != F.lower(c), F.upper(F.substring(made, (i + 1).cast("int"), F.lit(1)))).otherwise(F.substring(made, (i + 1).cast("int"), F.lit(1)))), "")
     dotted = F.when(F.instr(mention, ". ") > 0, F.regexp_replace(made, "^([^ ]+) ", "$1. ")).otherwise(made)
     return F.when(kind.isin("card", "ssn", "phone"), numbered).when(kind == "iban", spaced).when(kind == "email", cased).when(kind == "name", dotted).otherwise(made)
 
 
+def _first(column: Column) -> Column:
+    return F.get(column, F.lit(0))
+
+
+def _of_row(key: str) -> Column:
+    """The surrogate of a row's kind, entity and attempt."""
+    return _first(surrogates_of(key, F.array(F.struct("kind", "entity", "attempt"))))["made"]
+
+
 def _mentions(text: Column) -> Column:
     """Distinct (kind, entity) of a text."""
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
@@ -180,7 +205,7 @@ def _mentions(text: Column) -> Column:
 def retries(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY) -> DataFrame | None:
     """(kind, entity, attempt) of the entities whose first surrogate collides; None if there are none."""
     entities = docs.where(F.col(text).rlike(HINT)).select(F.explode(_mentions(F.col(text))).alias("e")).select("e.kind", "e.entity").groupBy("kind", "entity").agg(F.lit(0).alias("attempt"))
-    entities = stored(entities.withColumn("made", surrogate(key, F.col("kind"), F.col("entity"), F.col("attempt"))), "entities")
+    entities = stored(entities.withColumn("made", _of_row(key)), "entities")
     real = entities.select("kind", F.col("entity").alias("made"))
     bad = None
     while True:
@@ -192,7 +217,7 @@ def retries(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY) -> Data
             return None if bad is None else entities.where("attempt > 0").select("kind", "entity", "attempt")
         bad = again
         next_ = entities.join(again.withColumn("retry", F.lit(1)), ["kind", "entity"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("retry", F.lit(0)))
-        entities = stored(next_.withColumn("made", F.when(F.col("retry") == 1, surrogate(key, F.col("kind"), F.col("entity"), F.col("attempt"))).otherwise(F.col("made"))).drop("retry"), "entities")
+        entities = stored(next_.withColumn("made", F.when(F.col("retry") == 1, _of_row(key)).otherwise(F.col("made"))).drop("retry"), "entities")
 
 
 def pseudonymised(docs: DataFrame, doc_key: str = "doc_id", text: str = "text", key: str = DEFAULT_KEY, found: str = "_entities") -> DataFrame:
@@ -211,13 +236,11 @@ def pseudonymised(docs: DataFrame, doc_key: str = "doc_id", text: str = "text",
     mentions = F.when(column.rlike(HINT), F.regexp_extract_all(column, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("_found", mentions).withColumn("_tries", again)
 
-    def replaced(m: Column) -> Column:
-        kind = kind_of(m)
-        entity = canonical(kind, m)
-        attempt = F.coalesce(F.element_at("_tries", F.concat_ws("|", kind, entity)), F.lit(0))
-        return F.struct(kind.alias("kind"), written_like(m, kind, surrogate(key, kind, entity, attempt)).alias("surrogate"))
-
-    rows = rows.withColumn(found, F.transform("_found", replaced))
+    each = F.transform("_found", lambda m: F.struct(m.alias("mention"), kind_of(m).alias("kind")))
+    each = F.transform(each, lambda e: F.struct(e["mention"].alias("mention"), e["kind"].alias("kind"), canonical(e["kind"], e["mention"]).alias("entity")))
+    each = F.transform(each, lambda e: F.struct(e["mention"].alias("mention"), e["kind"].alias("kind"), e["entity"].alias("entity"), F.coalesce(F.element_at("_tries", F.concat_ws("|", e["kind"], e["entity"])), F.lit(0)).alias("attempt")))
+    rows = rows.withColumn("_made", surrogates_of(key, each))
+    rows = rows.withColumn(found, F.transform("_made", lambda x: F.struct(x["e"]["kind"].alias("kind"), written_like(x["e"]["mention"], x["e"]["kind"], x["made"]).alias("surrogate"))))
     between = F.when(F.size("_found") > 0, F.split(column, ANY, -1))
     joined = F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(b["surrogate"], F.lit("")))), "")
     return rows.withColumn(text, F.when(F.size("_found") > 0, joined).otherwise(column)).select(*(F.col(f"`{c}`") for c in names), found)
