@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from farelake.functions import stats as S
-from farelake.operators.locations import bounded_broadcast
 from farelake.operators.splits import row_key
 
 DESCRIBE_STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
@@ -88,7 +87,7 @@ def correlations(df: DataFrame, cols: list[str], hue: str) -> DataFrame:
 def box_stats(df: DataFrame, group: str, col: str) -> DataFrame:
     """Mean, quartiles and 1.5 IQR whiskers per group (two passes; quartiles joined back)."""
     q = df.groupBy(group).agg(F.percentile(col, [0.25, 0.5, 0.75]).alias("_q"))
-    qb = bounded_broadcast(q.select(F.col(group).alias("_g"), "_q"))
+    qb = q.select(F.col(group).alias("_g"), "_q")
     j = df.join(qb, df[group].eqNullSafe(qb["_g"]))
     q1, q3 = F.col("_q")[0], F.col("_q")[2]
     x = F.col(col)

@@ -39,7 +39,7 @@ def _blank(c: Column) -> Column:
 
 def _endpoint(req: DataFrame, iata_col: str, city_col: str, prefix: str, dim: DataFrame, index: DataFrame) -> DataFrame:
     """IATA preferred (exact), else resolve the city (cascade); NULL iata when not found."""
-    geo = LO.bounded_broadcast(dim.select("iata", "city", "latitude", "longitude"))
+    geo = dim.select("iata", "city", "latitude", "longitude")
     by_code = req.join(
         geo.select(F.col("iata").alias("_ci"), F.col("city").alias("_cc"), F.col("latitude").alias("_clat"), F.col("longitude").alias("_clon")),
         F.upper(L.strip_ws(F.col(iata_col))) == F.col("_ci"),
@@ -136,7 +136,7 @@ def price_chain(valid: DataFrame, coefs: DataFrame, calib: DataFrame) -> DataFra
     ``coefs``: per-class (model_class, slope, intercept) of the closed-form router;
     ``calib``: 1-row calibrator (``fitted``, coefficient columns b0..b5, ``factor``, ``mae``).
     """
-    c = LO.bounded_broadcast(coefs)
+    c = coefs
     v = valid.withColumn("model_class", F.col("class_n")).join(c, "model_class", "left")
     raw = F.greatest(F.expm1(F.col("intercept") + F.col("slope") * F.col("distance_km")), F.lit(PRICE_FLOOR))
     v = v.withColumn("raw_model_price", raw)

@@ -1,8 +1,7 @@
 """Location dimension, name resolution, search and geographic columns.
 
-The airport dimension is a reference table (hundreds to a few thousand rows), so it is
-broadcast behind an explicit row-count check (``bounded_broadcast``). Fact tables never
-resolve names row by row: only the *distinct* place strings are resolved, then joined back.
+Joins with the airport dimension carry no hint: Spark sees the size of each side and broadcasts a small one.
+Fact tables never resolve names row by row: only the *distinct* place strings are resolved, then joined back.
 """
 
 from __future__ import annotations
@@ -12,27 +11,11 @@ from pyspark.sql import functions as F
 
 from farelake.functions import geo as G
 from farelake.functions.labels import KNOWN_TRAINING_CITIES, strip_ws
+from farelake.session import written_table
 
-# Largest dimension we are willing to ship to every executor.
-MAX_BROADCAST_ROWS = 200_000
 DEFAULT_SEARCH_LIMIT = 8
 
 
-_BOUND_CHECKS: dict[tuple, bool] = {}
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after proving the row bound; otherwise leave the choice to the planner.
-
-    ``limit(max_rows + 1).count()`` stops reading as soon as the bound is exceeded. The
-    verdict is memoised per semantic plan, so a dimension is checked once per session.
-    """
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
-    if key not in _BOUND_CHECKS:
-        _BOUND_CHECKS[key] = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if _BOUND_CHECKS[key] else df
-
-
 def airport_dimension(raw: DataFrame) -> DataFrame:
     """Normalise IATA/city, coerce coordinates, drop rows without them, first row per IATA.
 
@@ -94,13 +77,13 @@ def _search_score(q: Column) -> Column:
 def search(queries: DataFrame, dim: DataFrame, limit: int = DEFAULT_SEARCH_LIMIT, query_col: str = "q") -> DataFrame:
     """Ranked search for many queries at once; top ``limit`` per query.
 
-    Queries x (broadcast, bounded) dimension with the score as join condition, then a
+    Queries x dimension with the score as join condition, then a
     per-query ``row_number`` (planned as a partial + final WindowGroupLimit).
     Order: score, city, file order. Blank queries return nothing.
     """
     qs = queries.select(F.col(query_col).alias("_query")).distinct()
     qs = qs.withColumn("_qk", F.lower(strip_ws(F.col("_query")))).filter(F.length("_qk") >= 1)
-    d = bounded_broadcast(dim)
+    d = dim
     scored = qs.join(d, _search_score(F.col("_qk")).isNotNull()).withColumn("score", _search_score(F.col("_qk")))
     w = Window.partitionBy("_query").orderBy("score", "city", "seq")
     ranked = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
@@ -116,20 +99,17 @@ def resolve(queries: DataFrame, dim: DataFrame, index: DataFrame, query_col: str
     """
     qs = queries.select(F.col(query_col).alias("q")).distinct()
     keyed = qs.withColumn("_key", F.lower(strip_ws(F.col("q"))))
-    exact = keyed.join(bounded_broadcast(index), keyed["_key"] == index["key"], "left").select(
+    exact = keyed.join(index, keyed["_key"] == index["key"], "left").select(
         "q", F.col("iata").alias("_exact")
     )
-    hits = search(qs, dim, limit=1).select("q", F.col("iata").alias("_hit"))
+    hits = search(exact.filter("_exact IS NULL").select("q"), dim, limit=1).select("q", F.col("iata").alias("_hit"))
     picked = exact.join(hits, "q", "left").select("q", F.coalesce("_exact", "_hit").alias("iata"))
-    geo = bounded_broadcast(dim.select("iata", "city", "latitude", "longitude"))
+    geo = dim.select("iata", "city", "latitude", "longitude")
     return picked.join(geo, "iata", "left").select(
         F.col("q").alias(query_col), "iata", F.col("city").alias("resolved_city"), "latitude", "longitude"
     )
 
 
-_RESOLVED: dict[tuple, DataFrame] = {}
-
-
 def add_geographic_features(
     df: DataFrame,
     dim: DataFrame,
@@ -141,25 +121,17 @@ def add_geographic_features(
 ) -> DataFrame:
     """source/destination coordinates and ``distance_km``.
 
-    Distinct place strings are resolved once (a partial-aggregated pass over the facts),
-    written to the checkpoint dir (reliable, survives executor loss), then broadcast
-    behind a row-count check and joined back by exact string: the fact table itself is
-    never shuffled for enrichment, so a city holding a third of all rows costs nothing extra.
+    Distinct place strings are resolved once (a partial-aggregated pass over the facts) and written as a
+    table to the shared folder. Spark knows that table's size, so it joins it back by broadcast while it is
+    small, without moving the facts.
     ``strict=True`` mirrors the reference's failure on unresolved places.
     """
     names = df.select(F.explode(F.array(F.col(source_col), F.col(dest_col))).alias("q")).filter(
         F.col("q").isNotNull()
     )
+    res = resolve(names, dim, index)
     if materialize:
-        from farelake.session import cut_lineage
-
-        app = df.sparkSession.sparkContext.applicationId
-        key = (app, names.semanticHash(), dim.semanticHash(), index.semanticHash())
-        if key not in _RESOLVED:
-            _RESOLVED[key] = bounded_broadcast(cut_lineage(resolve(names, dim, index).coalesce(1)))
-        res = _RESOLVED[key]
-    else:
-        res = resolve(names, dim, index)
+        res = written_table(res, "places")
     if strict:
         bad = res.filter(F.col("iata").isNull()).limit(1).collect()
         if bad:
@@ -191,7 +163,7 @@ def unresolved_places(df: DataFrame, dim: DataFrame, index: DataFrame, cols=("so
 
 def route_distances(pairs: DataFrame, dim: DataFrame, src: str = "source_iata", dst: str = "destination_iata") -> DataFrame:
     """Distance for IATA pairs (rounded 2) with a reason when rejected."""
-    d = bounded_broadcast(dim.select("iata", "latitude", "longitude"))
+    d = dim.select("iata", "latitude", "longitude")
     a = d.select(F.col("iata").alias("_a"), F.col("latitude").alias("_alat"), F.col("longitude").alias("_alon"))
     b = d.select(F.col("iata").alias("_b"), F.col("latitude").alias("_blat"), F.col("longitude").alias("_blon"))
     p = pairs.withColumns({"_ks": F.upper(strip_ws(F.col(src))), "_kd": F.upper(strip_ws(F.col(dst)))})
@@ -209,9 +181,7 @@ def route_distances(pairs: DataFrame, dim: DataFrame, src: str = "source_iata",
 def distance_matrix(dim: DataFrame) -> DataFrame:
     """D9 full matrix over the (bounded) dimension: ordered pairs of distinct airports."""
     a = dim.select(F.col("iata").alias("source_iata"), F.col("latitude").alias("_alat"), F.col("longitude").alias("_alon"))
-    b = bounded_broadcast(
-        dim.select(F.col("iata").alias("destination_iata"), F.col("latitude").alias("_blat"), F.col("longitude").alias("_blon"))
-    )
+    b = dim.select(F.col("iata").alias("destination_iata"), F.col("latitude").alias("_blat"), F.col("longitude").alias("_blon"))
     j = a.join(b, F.col("source_iata") != F.col("destination_iata"))
     return j.select(
         "source_iata",

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farelake.functions.features import PRICE_FLOOR
-from farelake.operators.locations import bounded_broadcast
 
 ROUTED_CLASSES = ["Economy", "Business"]
 
@@ -37,7 +36,7 @@ def fit_class_loglinear(train: DataFrame, x: str = "distance_km", y: str = "pric
 
 def route_predict(df: DataFrame, coefs: DataFrame, x: str = "distance_km", out: str = "pred") -> DataFrame:
     """Route each row to its class model, back-transform with expm1, floor at 500."""
-    c = bounded_broadcast(coefs)
+    c = coefs
     j = df.withColumn("model_class", routed_class(F.col("class"))).join(c, "model_class", "left")
     pred = F.greatest(F.expm1(F.col("intercept") + F.col("slope") * F.col(x)), F.lit(PRICE_FLOOR))
     return j.withColumn(out, pred).drop("slope", "intercept")

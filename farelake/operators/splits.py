@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farelake.functions.stats import cents
-from farelake.operators.locations import bounded_broadcast
 
 SEED = 42
 TEST_SIZE = 0.2
@@ -62,7 +61,7 @@ def first_n(g: DataFrame, key: str, n_take: DataFrame | int, bucket_len: int = 5
         hist = hist.withColumn("_take", F.lit(n_take).cast("long"))
     else:
         hist = hist.crossJoin(n_take.select(F.col("_take").cast("long").alias("_take")))
-    hb = bounded_broadcast(hist)
+    hb = hist
     j = g.join(hb, "_bucket")
     boundary = (F.col("_before") < F.col("_take")) & (F.col("_before") + F.col("_bn") > F.col("_take"))
     # The boundary bucket's distinct rows only: running copies by key -> copies taken per key.
@@ -75,7 +74,7 @@ def first_n(g: DataFrame, key: str, n_take: DataFrame | int, bucket_len: int = 5
             F.least(F.col("_copies"), F.greatest(F.lit(0), F.col("_take") - F.col("_before") - F.col("_rb"))).alias("_ehead"),
         )
     )
-    out = j.join(bounded_broadcast(edge), F.col(key) == F.col("_ekey"), "left")
+    out = j.join(edge, F.col(key) == F.col("_ekey"), "left")
     head = (
         F.when(F.col("_ekey").isNotNull(), F.col("_ehead"))
         .when(F.col("_before") + F.col("_bn") <= F.col("_take"), F.col("_copies"))
@@ -128,7 +127,7 @@ def held_out_groups(df: DataFrame, group: Column, test_size: float = TEST_SIZE,
 
 def group_holdout(df: DataFrame, group: Column, test_size: float = TEST_SIZE, seed: int = SEED) -> DataFrame:
     """label every row train/test by membership of its group in the held-out set."""
-    held = bounded_broadcast(held_out_groups(df, group, test_size, seed).withColumn("_held", F.lit(True)))
+    held = held_out_groups(df, group, test_size, seed).withColumn("_held", F.lit(True))
     out = df.withColumn("grp", group).join(held, "grp", "left")
     return out.withColumn("split", F.when(F.col("_held"), "test").otherwise("train")).drop("_held")
 

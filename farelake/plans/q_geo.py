@@ -38,7 +38,7 @@ def d3_lookup_iata(spark, sf):
     """Exact IATA lookup of request codes; missing -> found = false."""
     r = D.requests(spark, sf).filter(F.col("source_iata").isNotNull())
     codes = r.groupBy(F.col("source_iata").alias("code")).agg(F.count("*").alias("n_requests"))
-    dim = LO.bounded_broadcast(D.airports(spark, sf).select("iata", "city"))
+    dim = D.airports(spark, sf).select("iata", "city")
     j = codes.join(dim, F.upper(strip_ws(F.col("code"))) == dim["iata"], "left")
     return j.select("code", "n_requests", F.col("iata").isNotNull().alias("found"), "city")
 
@@ -55,7 +55,7 @@ def d4_lookup_city(spark, sf):
     """Exact city/alias lookup (case-folded) of request city names."""
     r = D.requests(spark, sf).filter(F.col("source_city").isNotNull())
     names = r.groupBy(F.col("source_city").alias("name")).agg(F.count("*").alias("n_requests"))
-    idx = LO.bounded_broadcast(D.name_index(spark, sf))
+    idx = D.name_index(spark, sf)
     j = names.join(idx, F.lower(strip_ws(F.col("name"))) == idx["key"], "left")
     return j.select("name", "n_requests", "iata")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,18 +42,39 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint dir; create a scratch one only when unset (tests)."""
+    """The shared folder that the session names in ``spark.checkpoint.dir``.
+
+    A local session (tests, bench) without one gets a scratch folder: its executors are the driver's own threads.
+    On a cluster that would be each machine's own disk, so there a missing setting is an error.
+    """
     current = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="farelake-ckpt-", dir=os.environ.get("FARELAKE_SCRATCH", "/tmp"))
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    if not current:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="farelake-ckpt-", dir=os.environ.get("FARELAKE_SCRATCH", "/tmp"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(current)
+    return current
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss) into the configured checkpoint dir."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written_table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet to the shared folder and read it back: later plans start from files, with
+    column pruning, filters pushed down and sizes that Spark knows when it picks a join."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    out = df.write.partitionBy(partition_by) if partition_by else df.write
+    out.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
+
+
+def table_state(spark: SparkSession, folder: str) -> tuple:
+    """Size and change time of what lies in a folder, so that a table derived from it is not used for new data."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in store.listStatus(path)))
