@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from statistics import NormalDist
 
 from pyspark.sql import Column
@@ -23,14 +22,6 @@ def money_avg(c) -> Column:
     return F.avg(cents(c)) / 100.0
 
 
-def money_median(c) -> Column:
-    return F.percentile(cents(c), 0.5) / 100.0
-
-
-def money_percentile(c, p: float) -> Column:
-    return F.percentile(cents(c), p) / 100.0
-
-
 def regression_metrics(y: Column, pred: Column, guard_sst: bool = False) -> list[Column]:
     """G13/G14 in one aggregate: MAE, MSE, RMSE, R² (SST guarded by 1e-8 when asked).
 
@@ -61,9 +52,3 @@ def chi2_quantile_wh(p: float, dof: Column) -> Column:
     k = dof.cast("double")
     base = 1 - 2 / (9 * k) + z * F.sqrt(2 / (9 * k))
     return k * base * base * base
-
-
-def chi2_quantile_wh_scalar(p: float, k: float) -> float:
-    z = NormalDist().inv_cdf(p)
-    b = 1 - 2 / (9 * k) + z * math.sqrt(2 / (9 * k))
-    return k * b**3

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from farelake.operators import ranks as R
 from farelake.functions import geo as G
 from farelake.functions.features import PRICE_FLOOR, SMEARING_FACTOR
 from farelake.functions.stats import regression_metrics
@@ -138,7 +139,7 @@ def out_of_fold(obs_f: DataFrame, coefs: DataFrame, group_col: str, feats: list[
 
 def global_factor(obs: DataFrame) -> DataFrame:
     """H3: median market/historical ratio (1 row)."""
-    return obs.agg(F.median(F.col("market_fare") / F.col("hist_pred")).alias("factor"))
+    return R.quantiles(obs.select((F.col("market_fare") / F.col("hist_pred")).alias("ratio")), [], "ratio", {"factor": 0.5})
 
 
 def candidate_table(obs: DataFrame, feats: list[str], alpha: float = RIDGE_ALPHA) -> DataFrame:

@@ -10,20 +10,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from farelake.functions import stats as S
+from farelake.operators import ranks as R
 from farelake.operators.splits import row_key
 
 DESCRIBE_STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """K1: pandas-style describe in one aggregate (exact interpolated quartiles)."""
+    """K1: pandas-style describe (exact interpolated quartiles)."""
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        q = F.percentile(x, [0.25, 0.5, 0.75])
-        exprs = [F.count(x).cast("double"), F.avg(x), F.stddev_samp(x), F.min(x), q[0], q[1], q[2], F.max(x)]
-        aggs += [F.round(e, 4).alias(f"{c}__{i}") for i, e in enumerate(exprs)]
-    wide = df.agg(*aggs)
+        aggs += [F.count(x).cast("double").alias(f"{c}_n"), F.avg(x).alias(f"{c}_avg"), F.stddev_samp(x).alias(f"{c}_std"), F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max")]
+    wide = df.agg(*aggs).crossJoin(F.broadcast(R.column_quantiles(df, cols, {"q1": 0.25, "q2": 0.5, "q3": 0.75})))  # one row each
+    parts = lambda c: [f"{c}_n", f"{c}_avg", f"{c}_std", f"{c}_min", f"{c}.q1", f"{c}.q2", f"{c}.q3", f"{c}_max"]
+    wide = wide.select(*(F.round(F.col(e), 4).alias(f"{c}__{i}") for c in cols for i, e in enumerate(parts(c))))
     pairs = ", ".join(f"'{c}', '{s}', `{c}__{i}`" for c in cols for i, s in enumerate(DESCRIBE_STATS))
     return wide.selectExpr(f"stack({len(cols) * len(DESCRIBE_STATS)}, {pairs}) AS (column, stat, value)")
 
@@ -86,8 +87,8 @@ def correlations(df: DataFrame, cols: list[str], hue: str) -> DataFrame:
 
 def box_stats(df: DataFrame, group: str, col: str) -> DataFrame:
     """Mean, quartiles and 1.5 IQR whiskers per group (two passes; quartiles joined back)."""
-    q = df.groupBy(group).agg(F.percentile(col, [0.25, 0.5, 0.75]).alias("_q"))
-    qb = q.select(F.col(group).alias("_g"), "_q")
+    q = R.quantiles(df, [group], col, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    qb = q.select(F.col(group).alias("_g"), F.array("q1", "q2", "q3").alias("_q"))
     j = df.join(qb, df[group].eqNullSafe(qb["_g"]))
     q1, q3 = F.col("_q")[0], F.col("_q")[2]
     x = F.col(col)

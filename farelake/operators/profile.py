@@ -1,10 +1,8 @@
 """Data-quality profile (C1-C10) as long-form tables.
 
 Each report is one aggregate pass (all columns in a single ``agg``) followed by a
-``stack`` to (column, metric, value) rows — never one job per column.
-Exact quantiles use ``percentile`` (a value->count map per group, bounded by the
-column's distinct values); ``approx=True`` switches to ``percentile_approx`` sketches
-for very wide or high-cardinality tables.
+``stack`` to (column, metric, value) rows — never one job per column. Quantiles are exact
+and distributed (``ranks``).
 """
 
 from __future__ import annotations
@@ -13,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from farelake.functions.stats import cents
+from farelake.operators import ranks as R
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -54,31 +55,25 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return n.crossJoin(d).withColumn("duplicate_rows", F.col("rows") - F.col("distinct_rows"))
 
 
-def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
-    """C4: distinct non-NULL values per column."""
-    fn = (lambda c: F.approx_count_distinct(c, 0.01)) if approx else F.count_distinct
-    wide = df.agg(*[fn(F.col(f"`{c}`")).alias(f"u_{c}") for c in df.columns])
-    return _stack(wide, [(c, "unique", f"u_{c}") for c in df.columns], "BIGINT")
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """C4: distinct non-NULL values per column. Values are made distinct in (column, value) form first, so
+    rows are reduced before they move and no row is expanded once per column inside one aggregate."""
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns))
+    values = df.select(F.explode(cells).alias("_c")).select("_c.column", "_c.value").distinct()
+    found = values.groupBy("column").agg(F.count("value").alias("value"))
+    return found.select("column", F.lit("unique").alias("metric"), "value")
 
 
-def numeric_stats(df: DataFrame, cols: list[str] | None = None, approx: bool = False, digits: int = 6) -> DataFrame:
+def numeric_stats(df: DataFrame, cols: list[str] | None = None, digits: int = 6) -> DataFrame:
     """min/max/mean/median/std (sample) per numeric column; all-NULL columns are skipped."""
     cols = cols or numeric_columns(df)
-    med = (lambda c: F.percentile_approx(c, 0.5, 10000)) if approx else F.median
-    aggs = [F.count(F.col(c)).alias(f"n_{c}") for c in cols]
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [
-            F.min(x).alias(f"min_{c}"),
-            F.max(x).alias(f"max_{c}"),
-            F.avg(x).alias(f"mean_{c}"),
-            med(x).alias(f"median_{c}"),
-            F.stddev_samp(x).alias(f"std_{c}"),
-        ]
-    wide = df.agg(*aggs)
+    plain = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp}
+    wide = df.agg(*(fn(F.col(c).cast("double")).alias(f"{m}_{c}") for c in cols for m, fn in plain.items()), *(F.count(c).alias(f"n_{c}") for c in cols))
+    wide = wide.crossJoin(F.broadcast(R.column_quantiles(df, cols, {"median": 0.5})))  # one row each
     rounded = wide.select(
         *[F.col(f"n_{c}") for c in cols],
-        *[F.round(F.col(f"{m}_{c}"), digits).alias(f"{m}_{c}") for c in cols for m in ("min", "max", "mean", "median", "std")],
+        *[F.round(F.col(f"{m}_{c}"), digits).alias(f"{m}_{c}") for c in cols for m in plain],
+        *[F.round(F.col(f"`{c}`.median"), digits).alias(f"median_{c}") for c in cols],
     )
     pairs = [(c, m, f"{m}_{c}") for c in cols for m in ("min", "max", "mean", "median", "std")]
     long = _stack(rounded, pairs + [(c, "count", f"n_{c}") for c in cols], "DOUBLE")
@@ -86,18 +81,17 @@ def numeric_stats(df: DataFrame, cols: list[str] | None = None, approx: bool = F
     return long.filter("metric <> 'count'").join(nonempty, "column", "left_semi")
 
 
-def iqr_outliers(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
+def iqr_outliers(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Count outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR] per numeric column (two passes).
 
     Pass 1 computes the 1-row quartile table; pass 2 joins it as a broadcast scalar row.
     """
     cols = cols or numeric_columns(df)
-    pct = (lambda c: F.percentile_approx(c, [0.25, 0.75], 10000)) if approx else (lambda c: F.percentile(c, [0.25, 0.75]))
-    bounds = df.agg(*[pct(F.col(c).cast("double")).alias(f"q_{c}") for c in cols])
+    bounds = R.column_quantiles(df, cols, {"q1": 0.25, "q3": 0.75}).select(*(F.col(c).alias(f"q_{c}") for c in cols))
     j = df.select(*cols).crossJoin(F.broadcast(bounds))
     aggs = []
     for c in cols:
-        q1, q3 = F.col(f"q_{c}")[0], F.col(f"q_{c}")[1]
+        q1, q3 = F.col(f"q_{c}")["q1"], F.col(f"q_{c}")["q3"]
         iqr = q3 - q1
         x = F.col(c).cast("double")
         aggs.append(F.count_if((x < q1 - 1.5 * iqr) | (x > q3 + 1.5 * iqr)).alias(f"o_{c}"))
@@ -116,12 +110,8 @@ def target_stats(df: DataFrame, target: str = "price") -> DataFrame:
 
 def price_terciles(df: DataFrame, col: str = "price") -> DataFrame:
     """budget/high cut points at the 0.33 and 0.66 quantiles (money computed on cents)."""
-    from farelake.functions.stats import money_percentile
-
-    return df.agg(
-        F.round(money_percentile(col, 0.33), 4).alias("budget_max"),
-        F.round(money_percentile(col, 0.66), 4).alias("high_min"),
-    )
+    found = R.quantiles(df.select(cents(col).alias("_cents")), [], "_cents", {"low": 0.33, "high": 0.66})
+    return found.select(F.round(F.col("low") / 100, 4).alias("budget_max"), F.round(F.col("high") / 100, 4).alias("high_min"))
 
 
 def domain_catalogue(df: DataFrame) -> DataFrame:

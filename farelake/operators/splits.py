@@ -1,115 +1,90 @@
-"""Leakage-safe train/test partitioning (F1-F6) without global sorts or single-partition windows.
+"""Leakage-safe train/test partitioning (F1-F6) without global sorts, row joins or full-table shuffles.
 
 Every split is deterministic: rows are ordered by an md5 key of their content plus a seed
-(reproducible across cluster layouts, unlike ``randomSplit``). "Take the first n rows"
-is done exactly with a histogram: identical rows are first combined with a copy count
-(partial aggregation, so a hot duplicate costs one row), a histogram over a key prefix
-(at most 16^5 buckets) is accumulated on that small table, and only the single boundary
-bucket is ranked.
+(reproducible across cluster layouts, unlike ``randomSplit``). "The first n rows" is exact: a histogram
+over the first three hex digits of the key finds the bucket in which the n-th row lies, a second one inside it
+the next three digits, and only the rows with those six digits are ranked. All other rows are labelled by
+comparing their key with the boundary, so no row is joined and none can be duplicated.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farelake.functions.stats import cents
+from farelake.operators import ranks as R
 
 SEED = 42
 TEST_SIZE = 0.2
 ROW_KEY_COLUMNS = [
     "airline", "flight", "source_city", "departure_time", "stops", "arrival_time", "destination_city", "class",
 ]
+ROW_KEY_NUMBERS = ["price", "duration", "days_left"]
+_DIGITS = 3
 
 
 def row_key(seed: int = SEED) -> Column:
-    """md5 over a canonical text rendering of a ticket row (numbers as integers)."""
-    parts = [F.col(c) for c in ROW_KEY_COLUMNS] + [
-        cents("price").cast("string"),
-        F.round(F.col("duration") * 100).cast("long").cast("string"),
-        F.coalesce(F.col("days_left").cast("long").cast("string"), F.lit("null")),
-        F.lit(str(seed)),
-    ]
-    return F.md5(F.concat_ws("|", *parts))
-
-
-def with_copies(df: DataFrame) -> DataFrame:
-    """Combine identical rows into one with ``_copies`` (map-side partial aggregation)."""
-    return df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
-
-
-def expand_copies(g: DataFrame, n_col: str) -> DataFrame:
-    """Inverse of ``with_copies`` for ``n_col`` copies of each row."""
-    return g.filter(F.col(n_col) > 0).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col(n_col).cast("int")))).drop("_i")
-
-
-def first_n(g: DataFrame, key: str, n_take: DataFrame | int, bucket_len: int = 5) -> DataFrame:
-    """Add ``_head``: how many of each row's ``_copies`` fall among the first ``n_take`` rows by ``key``.
-
-    ``n_take`` is an int or a 1-row DataFrame with column ``_take`` (a scalar aggregate).
-    One pass over ``g`` for the histogram, one over the boundary bucket, one final pass;
-    no union of branches and no shuffle of the full data.
-    """
-    g = g.withColumn("_bucket", F.substring(F.col(key), 1, bucket_len))
-    hist = g.groupBy("_bucket").agg(F.sum("_copies").alias("_bn"))
-    # Bounded by 16^bucket_len buckets: a window over it is a small single-partition job.
-    w = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_before", F.coalesce(F.sum("_bn").over(w), F.lit(0)))
-    if isinstance(n_take, int):
-        hist = hist.withColumn("_take", F.lit(n_take).cast("long"))
-    else:
-        hist = hist.crossJoin(n_take.select(F.col("_take").cast("long").alias("_take")))
-    hb = hist
-    j = g.join(hb, "_bucket")
-    boundary = (F.col("_before") < F.col("_take")) & (F.col("_before") + F.col("_bn") > F.col("_take"))
-    # The boundary bucket's distinct rows only: running copies by key -> copies taken per key.
-    wb = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    edge = (
-        j.filter(boundary)
-        .withColumn("_rb", F.coalesce(F.sum("_copies").over(wb), F.lit(0)))
-        .select(
-            F.col(key).alias("_ekey"),
-            F.least(F.col("_copies"), F.greatest(F.lit(0), F.col("_take") - F.col("_before") - F.col("_rb"))).alias("_ehead"),
-        )
-    )
-    out = j.join(edge, F.col(key) == F.col("_ekey"), "left")
-    head = (
-        F.when(F.col("_ekey").isNotNull(), F.col("_ehead"))
-        .when(F.col("_before") + F.col("_bn") <= F.col("_take"), F.col("_copies"))
-        .otherwise(F.lit(0))
-    )
-    return out.withColumn("_head", head.cast("long")).drop("_bucket", "_bn", "_before", "_take", "_ekey", "_ehead")
-
-
-def _split_rows(g: DataFrame, head_label: str, tail_label: str) -> DataFrame:
-    """Expand copies once; the first ``_head`` copies of a row get ``head_label``."""
-    i = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    out = g.select("*", i.alias("_i"))
-    out = out.withColumn("split", F.when(F.col("_i") <= F.col("_head"), F.lit(head_label)).otherwise(F.lit(tail_label)))
-    return out.drop("_copies", "_head", "_key", "_i")
+    """md5 over a row's values: texts with their length before them, numbers in millionths, NULL as ``N``."""
+    texts = [F.coalesce(F.concat(F.length(c), F.lit(":"), F.col(c)), F.lit("N")) for c in ROW_KEY_COLUMNS]
+    numbers = [F.coalesce(F.round(F.col(c) * 1000000).cast("long").cast("string"), F.lit("N")) for c in ROW_KEY_NUMBERS]
+    return F.md5(F.concat_ws("|", *texts, *numbers, F.lit(str(seed))))
+
+
+def _boundary(counts: DataFrame, before: Column | None = None) -> DataFrame:
+    """One row: the prefix in which row ``_take`` lies and the rows before it (NULL if there is no such row).
+    ``counts`` has _prefix, _n and _take, and 16^3 rows at most."""
+    upto = F.sum("_n").over(Window.orderBy("_prefix")) + (before if before is not None else F.lit(0))
+    hit = counts.withColumn("_upto", upto).filter((F.col("_upto") >= F.col("_take")) & (F.col("_upto") - F.col("_n") < F.col("_take")))
+    return hit.agg(F.max("_prefix").alias("_prefix"), F.max(F.col("_upto") - F.col("_n")).alias("_before"), F.max("_take").alias("_take"))
+
+
+def first_n(df: DataFrame, key: str, take: DataFrame, first: str, rest: str) -> DataFrame:
+    """Add ``split``: ``first`` for the first ``_take`` rows by ``key`` (32 hex digits), else ``rest``. ``take`` is a
+    one-row DataFrame with ``_take``."""
+    prefix = lambda n: F.substring(key, 1, n * _DIGITS)
+    coarse = df.groupBy(prefix(1).alias("_prefix")).agg(F.count(F.lit(1)).alias("_n")).crossJoin(F.broadcast(take))
+    one = _boundary(coarse).select(F.col("_prefix").alias("_one"), F.col("_before").alias("_skip"), "_take")
+    inside = df.select(prefix(1).alias("_p"), prefix(2).alias("_prefix")).crossJoin(F.broadcast(one)).filter("_p = _one")
+    fine = inside.groupBy("_prefix", "_skip", "_take").agg(F.count(F.lit(1)).alias("_n"))
+    edge = _boundary(fine, F.col("_skip")).withColumnsRenamed({"_prefix": "_edge", "_before": "_done"})
+    j = df.crossJoin(F.broadcast(edge))  # one row
+    sides = j.filter(F.col("_edge").isNull() | (prefix(2) != F.col("_edge"))).withColumn("split", F.when(prefix(2) < F.col("_edge"), first).otherwise(rest))
+    at = j.filter(prefix(2) == F.col("_edge")).withColumn("_rank", F.row_number().over(Window.orderBy(key)))
+    at = at.withColumn("split", F.when(F.col("_done") + F.col("_rank") <= F.col("_take"), first).otherwise(rest)).drop("_rank")
+    return sides.unionByName(at).drop("_edge", "_done", "_take")
 
 
 def random_holdout(df: DataFrame, test_size: float = TEST_SIZE, seed: int = SEED) -> DataFrame:
     """``split`` = test for ceil(test_size * n) rows in md5 order, else train."""
-    g = with_copies(df).withColumn("_key", row_key(seed))
-    n = g.agg(F.ceil(F.sum("_copies") * test_size).alias("_take"))
-    return _split_rows(first_n(g, "_key", n), "test", "train")
+    take = df.agg(F.ceil(F.count(F.lit(1)) * test_size).cast("long").alias("_take"))
+    return first_n(df.withColumn("_key", row_key(seed)), "_key", take, "test", "train").drop("_key")
 
 
-def temporal_holdout(df: DataFrame, order_col: str = "days_left", train_ratio: float = 0.8, seed: int = SEED) -> DataFrame:
-    """order by ``order_col`` descending (NULLs last), ties by row key; first int(0.8 n) rows train.
+def temporal_holdout(df: DataFrame, train_ratio: float = 0.8, seed: int = SEED, order: Column | None = None) -> DataFrame:
+    """the first int(train_ratio * n) rows in time are train.
 
-    Requires a non-negative integral ordering column (booking days); the key prefix encodes it.
+    Time is ``flight_date`` if the table has one with a value, else ``days_left`` from high to low; rows without a time
+    come last, ties go by row key. A table with neither goes by row key alone unless ``order`` (a number) says
+    how its rows stand. The boundary value comes from distributed counts of the values; only rows with that very
+    value are split among themselves.
     """
-    g = with_copies(df)
-    prefix = F.when(F.col(order_col).isNull(), F.lit("~~~~~~")).otherwise(
-        F.lpad((F.lit(999999) - F.col(order_col).cast("long")).cast("string"), 6, "0")
-    )
-    g = g.withColumn("_key", F.concat(prefix, row_key(seed)))
-    n = g.agg(F.floor(F.sum("_copies") * train_ratio).alias("_take"))
-    return _split_rows(first_n(g, "_key", n, bucket_len=6 + 3), "train", "test")
+    if order is None:
+        if "flight_date" in df.columns and df.filter("flight_date IS NOT NULL").limit(1).count():
+            order = F.unix_micros(F.col("flight_date").cast("timestamp")).cast("double")
+        elif "days_left" in df.columns:
+            order = -F.col("days_left").cast("double")
+        else:
+            order = F.lit(0.0)
+    late = F.lit(float("inf"))  # after every time
+    rows = df.withColumns({"_time": F.coalesce(order, late) + F.lit(0.0), "_key": row_key(seed)})
+    counts = R.cumulative(rows, [], "_time")
+    wanted = F.floor(F.col("total") * train_ratio).cast("long")
+    hit = counts.filter((F.col("before") < wanted) & (F.col("before") + F.col("n") >= wanted))
+    edge = hit.agg(F.max("_time").alias("_time_edge"), F.max(wanted - F.col("before")).alias("_time_left"))
+    j = rows.crossJoin(F.broadcast(edge))  # one row
+    sides = j.filter(F.col("_time_edge").isNull() | (F.col("_time") != F.col("_time_edge"))).withColumn("split", F.when(F.col("_time") < F.col("_time_edge"), "train").otherwise("test"))
+    at = first_n(j.filter(F.col("_time") == F.col("_time_edge")), "_key", edge.select(F.col("_time_left").alias("_take")), "train", "test")
+    return sides.unionByName(at).drop("_time", "_key", "_time_edge", "_time_left")
 
 
 def group_col_route() -> Column:
@@ -119,10 +94,9 @@ def group_col_route() -> Column:
 def held_out_groups(df: DataFrame, group: Column, test_size: float = TEST_SIZE, seed: int = SEED) -> DataFrame:
     """ceil(test_size * G) whole groups, chosen by md5(group || seed) order."""
     groups = df.select(group.alias("grp")).distinct().filter(F.col("grp").isNotNull())
-    g = groups.withColumn("_copies", F.lit(1).cast("long")).withColumn("_key", F.md5(F.concat(F.col("grp"), F.lit(f"|{seed}"))))
-    n = g.agg(F.ceil(F.count("*") * test_size).alias("_take"))
-    flagged = first_n(g, "_key", n)
-    return flagged.filter(F.col("_head") > 0).select("grp")
+    g = groups.withColumn("_key", F.md5(F.concat(F.col("grp"), F.lit(f"|{seed}"))))
+    take = g.agg(F.ceil(F.count(F.lit(1)) * test_size).cast("long").alias("_take"))
+    return first_n(g, "_key", take, "test", "train").filter("split = 'test'").select("grp")
 
 
 def group_holdout(df: DataFrame, group: Column, test_size: float = TEST_SIZE, seed: int = SEED) -> DataFrame:
@@ -153,6 +127,3 @@ def logo_folds(df: DataFrame, group_col: str, min_train: int = 3) -> DataFrame:
     out = per.crossJoin(tot).withColumn("train_rows", F.col("_total") - F.col("test_rows")).drop("_total")
     return out.withColumn("skipped", F.col("train_rows") < min_train)
 
-
-def ceil_groups(n_groups: int, test_size: float = TEST_SIZE) -> int:
-    return math.ceil(n_groups * test_size)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from farelake.operators import ranks as R
 from farelake.plans import datasets as D
 from farelake.functions import stats as S
 from farelake.plans.oracle_base import money_avg, money_median, rnd, with_base
@@ -20,22 +21,26 @@ FROM fares GROUP BY class, route"""
 )
 def k16_price_by_class_route(spark, sf):
     """Flagship: flights, mean/median price and mean distance per class and route."""
-    return (
-        D.fares(spark, sf)
-        .groupBy("class", "route")
-        .agg(
-            F.count("*").alias("flights"),
-            F.round(S.money_avg("price"), 2).alias("mean_price"),
-            F.round(S.money_median("price"), 2).alias("median_price"),
-            F.round(F.avg("distance_km"), 2).alias("mean_distance_km"),
-        )
+    return _with_median(
+        D.fares(spark, sf),
+        ["class", "route"],
+        F.count("*").alias("flights"),
+        F.round(S.money_avg("price"), 2).alias("mean_price"),
+        F.round(F.avg("distance_km"), 2).alias("mean_distance_km"),
     )
 
 
+def _with_median(df, keys, *aggs):
+    """Aggregates per key, and the exact median price beside them."""
+    medians = R.quantiles(df.select(*keys, S.cents("price").alias("_cents")), keys, "_cents", {"_median": 0.5})
+    out = R.joined(df.groupBy(*keys).agg(*aggs), medians, keys)
+    return out.withColumn("median_price", F.round(F.col("_median") / 100.0, 2)).drop("_median")
+
+
 # ---------------------------------------------------------------------------
 # K1-K21
 # ---------------------------------------------------------------------------
-from farelake.functions.stats import chi2_quantile_wh, money_percentile, z_critical  # noqa: E402
+from farelake.functions.stats import chi2_quantile_wh, z_critical  # noqa: E402
 from farelake.operators import eda as K  # noqa: E402
 from farelake.plans.oracle_base import cents, money_pct, money_sum  # noqa: E402
 from farelake.plans.q_features import ROUTER_SQL  # noqa: E402
@@ -276,10 +281,11 @@ def k15_std_interval(spark, sf):
 )
 def k16_airline_stats(spark, sf):
     """count/mean/median/std of price per airline (report sorted by mean)."""
-    g = D.fares(spark, sf).groupBy("airline").agg(
+    g = _with_median(
+        D.fares(spark, sf),
+        ["airline"],
         F.count("*").alias("flights"),
         F.round(S.money_avg("price"), 2).alias("mean_price"),
-        F.round(S.money_median("price"), 2).alias("median_price"),
         F.round(F.stddev_samp("price"), 2).alias("std_price"),
     )
     return g.orderBy(F.desc("mean_price"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from farelake.operators import ranks as R
 from farelake.functions import features as FE
 from farelake.operators import models as M
 from farelake.operators import splits as SP
@@ -78,8 +79,8 @@ def e6_feature_projection(spark, sf):
 def e7_median_imputation(spark, sf):
     """Median of every numeric feature on the training split (interpolated, exact)."""
     train, _ = _train_test(spark, sf)
-    wide = train.agg(*[F.median(c).alias(c) for c in NUM])
-    args = ", ".join(f"'{c}', round(`{c}`, 6)" for c in NUM)
+    wide = R.column_quantiles(train, NUM, {"median": 0.5})
+    args = ", ".join(f"'{c}', round(`{c}`.median, 6)" for c in NUM)
     return wide.selectExpr(f"stack({len(NUM)}, {args}) AS (column, median)")
 
 
@@ -132,7 +133,9 @@ def _apply_sql() -> str:
 def e11_preprocess_apply(spark, sf):
     """Fit median-impute + standardise on train, apply to test (no leakage); mean scaled value per column."""
     train, test = _train_test(spark, sf)
-    stats = train.agg(*[x for c in NUM for x in (F.median(c).alias(f"med_{c}"), F.avg(c).alias(f"mu_{c}"), F.stddev_pop(c).alias(f"sd_{c}"))])
+    stats = train.agg(*[x for c in NUM for x in (F.avg(c).alias(f"mu_{c}"), F.stddev_pop(c).alias(f"sd_{c}"))])
+    medians = R.column_quantiles(train, NUM, {"median": 0.5}).select(*(F.col(f"{c}.median").alias(f"med_{c}") for c in NUM))
+    stats = stats.crossJoin(F.broadcast(medians))
     j = test.crossJoin(F.broadcast(stats))  # 1-row statistics
     scaled = {
         c: F.when(F.col(f"sd_{c}") == 0, F.lit(0.0)).otherwise((F.coalesce(F.col(c), F.col(f"med_{c}")) - F.col(f"mu_{c}")) / F.col(f"sd_{c}"))

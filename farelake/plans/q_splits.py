@@ -11,11 +11,15 @@ from farelake.plans.oracle_base import cents as cents_sql
 from farelake.plans.oracle_base import with_base
 from farelake.plans.registry import register
 
-KEY_SQL = (
-    "md5(concat_ws('|', airline, flight, source_city, departure_time, stops, arrival_time, destination_city, class, "
-    f"CAST({cents_sql('price')} AS VARCHAR), CAST(CAST(round(duration * 100) AS BIGINT) AS VARCHAR), "
-    "coalesce(CAST(CAST(days_left AS BIGINT) AS VARCHAR), 'null'), '42'))"
-)
+def _text_sql(c: str) -> str:
+    return f"coalesce(length({c}) || ':' || {c}, 'N')"
+
+
+def _number_sql(c: str) -> str:
+    return f"coalesce(CAST(CAST(round({c} * 1000000) AS BIGINT) AS VARCHAR), 'N')"
+
+
+KEY_SQL = f"md5(concat_ws('|', {', '.join([*map(_text_sql, SP.ROW_KEY_COLUMNS), *map(_number_sql, SP.ROW_KEY_NUMBERS)])}, '42'))"
 
 
 def _split_summary(df):
