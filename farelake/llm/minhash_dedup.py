@@ -7,11 +7,13 @@ text without words has an empty set and is linked with nothing). Steps:
    bins: the top bits of a shingle's hash choose the bin, the least hash in the bin is its value. An empty bin
    copies the bin that its own fixed probing sequence meets first (optimal densification).
 2. Equal sets collapse to one *node* before anything is joined, so exact copies never meet each other.
-3. Nodes sharing a band bucket are candidates. A bucket of n nodes does not emit its pairs: a centre is chosen
-   and joined to the other members (a star). Candidates are confirmed on full sets, confirmed links merge
-   components, and the bucket goes on with new centres only among members that still lie in different
-   components, with twice as many centres each round. A bucket is done when all its members are in one
-   component or every remaining pair has been tried, so stars lose no link that the bands found.
+3. Nodes sharing a band bucket are candidates. Shingles that no other candidate has cannot be shared, so a node
+   with c shingles that others have too is in no pair with an intersection above c; nodes and pairs that this
+   exact bound rules out are dropped before anything is emitted. A bucket of n nodes does not emit its pairs: a
+   centre is chosen and joined to the other members (a star), candidates are confirmed on full sets, and
+   confirmed links merge components; a second round does the same with two centres. What is then still open (members
+   of one bucket, in different components, not ruled out) is compared in blocks inside tasks, on full sets too, so
+   stars lose no link that the bands found.
 4. Components come from min-label propagation over the confirmed links.
 
 With 32 bands of 4 values a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32 = 5e-8.
@@ -33,6 +35,9 @@ from farelake.llm.tables import stored
 from farelake.llm.text_arrays import Texts, chunks, grams, inside, mix
 
 BANDS, ROWS = 32, 4
+#: Rounds of stars, each with twice the centres of the one before, and the size of a block of what they leave open.
+STAR_ROUNDS = 2
+BLOCK_SHINGLES = 1 << 17
 BINS = BANDS * ROWS
 _BIN_SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 
@@ -123,7 +128,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
 
 
 def full_sets(texts_of_nodes: DataFrame, k: int) -> DataFrame:
-    """node, n and its sorted shingle hashes as bytes, from (node, text) rows whose text may be another node's."""
+    """node and its sorted shingle hashes, from (node, text) rows whose text may be another node's."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,10 +137,19 @@ def full_sets(texts_of_nodes: DataFrame, k: int) -> DataFrame:
                 at = np.searchsorted(rows, np.arange(b - a + 1))
                 got = set_keys(rows, keys, b - a).view(np.int64)
                 want = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
-                own = np.flatnonzero(got == want)
-                yield pa.RecordBatch.from_pydict({"node": pa.array(got[own]), "members": pa.array([keys[at[i] : at[i + 1]].tobytes() for i in own], pa.binary())})
+                own = got == want
+                ends = np.concatenate(([0], np.cumsum(np.diff(at)[own]))).astype(np.int32)
+                members = keys[np.repeat(own, np.diff(at))].view(np.int64)
+                yield pa.RecordBatch.from_pydict({"node": pa.array(got[own]), "members": pa.ListArray.from_arrays(pa.array(ends), pa.array(members))})
 
-    return texts_of_nodes.mapInArrow(make, "node long, members binary")
+    return texts_of_nodes.mapInArrow(make, "node long, members array<long>")
+
+
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """node and shared: how many of its shingles another node has too."""
+    each = sets.select("node", F.explode("members").alias("shingle"))
+    alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    return sets.select("node", F.size("members").alias("n")).join(alone, "node", "left").select("node", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -145,9 +159,9 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = np.zeros(len(batch), bool)
+            (x_at, x_all), (y_at, y_all) = ((c.offsets.to_numpy(), c.values.to_numpy().view(np.uint64)) for c in batch.columns[2:])
             for i in range(len(batch)):
-                x = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
-                y = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
+                x, y = x_all[x_at[i] : x_at[i + 1]], y_all[y_at[i] : y_at[i + 1]]
                 at = np.searchsorted(x, y)
                 common = np.count_nonzero(x[np.minimum(at, len(x) - 1)] == y)
                 ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
@@ -196,35 +210,19 @@ def _found(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFr
         rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("stamp"))
         texts = rows.join(wanted, rows["key"].eqNullSafe(wanted["_key"]) & (rows["stamp"] == wanted["_stamp"]))
         sets = stored(full_sets(texts.select("node", "text"), k).groupBy("node").agg(F.first("members").alias("members")), "sets")
-        tried, rounds = None, 0
-        while True:
-            groups = 1 << rounds
-            slot = F.pmod(F.xxhash64("node", "bucket", F.lit(rounds)), F.lit(groups))
-            centres = members.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node", "bucket"), "node", "n", "comp")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.comp").alias("centre_comp"))
-            stars = members.join(centres, "bucket").where("comp <> centre_comp and 100 * least(n, centre_n) >= %d * greatest(n, centre_n)" % percent)
-            pairs = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = stored(pairs, "pairs")
-            links = stored(_confirm(pairs, sets, percent), "links")
-            if links.limit(1).count():
-                # nodes of one component act as one vertex from here on
-                ends = links if labels is None else _relabel(links, labels)
-                merged = components(ends)
-                if labels is None:
-                    labels = merged
-                else:
-                    moved = labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-                    labels = stored(moved.unionByName(merged.join(labels.select("node"), "node", "left_anti")), "labels")
-                members = members.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            # centres have met everyone in their bucket; buckets in one component are done
-            rest = members.join(centres.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
-            open_ = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-            members = stored(rest.join(open_, "bucket").select("bucket", "node", "n", "comp"), "members")
-            if not members.limit(1).count():
-                break
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            rounds += 1
+        common = stored(shared_counts(sets), "shared")
+        members = stored(_open(members.join(common, "node"), percent), "members")
+        for round_ in range(STAR_ROUNDS):
+            slot = F.pmod(F.xxhash64("node", "bucket", F.lit(round_)), F.lit(1 << round_))
+            centres = members.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node", "bucket"), "node", "n", "shared", "comp")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.shared").alias("centre_shared"), F.col("c.comp").alias("centre_comp"))
+            most = "least(n, centre_n, shared, centre_shared)"  # of the intersection
+            stars = members.join(centres, "bucket").where(f"comp <> centre_comp and 100 * {most} >= {percent} * (n + centre_n - {most})")
+            pairs = stored(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "pairs")
+            labels = _merged(labels, stored(_confirm(pairs, sets, percent), "links"))
+            # centres have met everyone in their bucket
+            rest = _labelled(members, labels).join(centres.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
+            members = stored(_open(rest, percent), "members")
+        labels = _merged(labels, stored(_confirm_blocks(members, sets, percent), "links"))
 
     out = sig.select("key", "stamp", "n_shingles", "node")
     per_node = out.where("node is not null").groupBy("node").agg(F.min("key").alias("least"))
@@ -236,10 +234,75 @@ def _found(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFr
     return joined.select("key", "stamp", "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _relabel(links: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return members
+    return members.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _open(members: DataFrame, percent: int) -> DataFrame:
+    """The members that may still link to another component in their bucket: buckets of one component are done, and
+    so is a node whose best possible partner there, a set of the bucket's least size or within the node's
+    shared shingles, is too far."""
+    buckets = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("n_least"), F.sum("n").alias("weight")).where("lo < hi")
+    best = f"100 * shared >= {percent} * (n + greatest(n_least, shared) - shared)"
+    return members.select("bucket", "node", "n", "shared", "comp").join(buckets, "bucket").where(best).select("bucket", "node", "n", "shared", "comp", "weight")
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Labels after new links; nodes of one component act as one vertex."""
+    if not links.limit(1).count():
+        return labels
+    if labels is None:
+        return stored(components(links), "labels")
     for end in ("a", "b"):
         links = links.join(labels.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp")), end, "left")
-    return links.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    merged = stored(components(links.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))), "merged")
+    moved = labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return stored(moved.unionByName(merged.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
+def _confirm_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components inside the buckets that stars have left open. A bucket is cut into blocks of about
+    BLOCK_SHINGLES, and each two of its blocks are compared in one task by counting common shingles; no pair becomes
+    a row, and of the links between two components one is returned."""
+    cuts = F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")
+    block = F.pmod(F.xxhash64("node"), cuts).cast("int")
+    blocks = members.withColumns({"cuts": cuts, "block": block})
+    other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
+    dealt = blocks.select("bucket", "node", "comp", "block", other).select("bucket", "node", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, comp, block = (table.column(c).to_numpy() for c in ("node", "comp", "block"))
+        lists = table.column("members").combine_chunks()
+        linked = _linked(lists.offsets.to_numpy(), lists.values.to_numpy(), percent)
+        linked &= comp[:, None] < comp[None]
+        if table.column("i")[0].as_py() != table.column("j")[0].as_py():
+            linked &= block[:, None] != block[None]
+        a, b = np.nonzero(linked)
+        _, first = np.unique(np.stack((comp[a], comp[b])), axis=1, return_index=True)
+        return pa.table({"a": node[a[first]], "b": node[b[first]]})
+
+    rows = dealt.join(sets.select("node", "members"), "node")
+    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def _linked(at: np.ndarray, shingles: np.ndarray, percent: int, step: int = 2048) -> np.ndarray:
+    """Which two of the sets shingles[at[i]:at[i + 1]] are linked, by products of 0-1 matrices ``step`` shingles wide."""
+    n = np.diff(at)
+    values, column = np.unique(shingles[at[0] : at[-1]], return_inverse=True)
+    twice = np.bincount(column, minlength=len(values)) > 1
+    row = np.repeat(np.arange(len(n)), n)[twice[column]]
+    place = (np.cumsum(twice) - 1)[column[twice[column]]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    common = np.zeros((len(n), len(n)), np.float32)
+    for k in range(0, int(twice.sum()), step):
+        lo, hi = np.searchsorted(place, (k, k + step))
+        some = np.zeros((len(n), step), np.float32)
+        some[row[lo:hi], place[lo:hi] - k] = 1
+        common += some @ some.T
+    return 100 * common >= percent * (n[:, None] + n[None] - common)
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 80) -> DataFrame:
