@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from farelake.session import ensure_checkpoint_dir
 
 
+def ready(spark: SparkSession) -> None:
+    """Let the session's Python workers import this package from where the driver has it, wherever it was started.
+    (A cluster whose machines do not have that folder gets the package by ``--py-files``, as usual.)"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
