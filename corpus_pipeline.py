@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from farelake.llm import minhash_dedup, packing, quality_rules, secret_scans, source_mix
-from farelake.llm.tables import documents, stored
+from farelake.llm.tables import documents, ready, stored
 
 #: Near-duplicates in the pipeline: word shingles of five, similarity of 0.8 or more.
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -19,26 +19,31 @@ SHINGLE_WORDS, PERCENT = 5, 80
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
+    ready(spark)
     return quality_rules.keep_good(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    ready(spark)
     return minhash_dedup.drop_near_duplicates(docs, k=SHINGLE_WORDS, percent=PERCENT)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret, in any layer, is masked; n_chars follows the text."""
+    ready(spark)
     return secret_scans.redact(docs)
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that the sources come near their targets."""
+    ready(spark)
     return source_mix.resampled(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of full sequences, with their ids."""
+    ready(spark)
     return packing.pieces(docs, packing.default_vocabulary(), with_ids=True)
 
 
