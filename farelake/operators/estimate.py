@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from farelake.operators import ranks as R
 from farelake.functions import geo as G
 from farelake.functions import labels as L
 from farelake.functions.features import PRICE_FLOOR, SMEARING_FACTOR
@@ -210,32 +211,77 @@ def latest_per_session(events: DataFrame, n: int = 20, session: str = "session_i
     return events.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= n)
 
 
-def offer_stats(offers: DataFrame, qid: str = "query_id", amount: Column | None = None, positive_only: bool = False) -> DataFrame:
-    """Offers per query: count, lowest, upper median sorted[n // 2], highest, carriers."""
-    amt = amount if amount is not None else F.col("amount")
-    o = offers.withColumn("_amt", amt.try_cast("double")).filter(F.col("_amt").isNotNull())
-    if positive_only:
-        o = o.filter(F.col("_amt") > 0)
-    g = o.groupBy(qid).agg(F.sort_array(F.collect_list("_amt")).alias("_p"), F.array_sort(F.collect_set("carrier")).alias("carriers"))
-    n = F.size("_p")
-    return g.select(
-        qid,
-        n.alias("live_offers_count"),
-        F.element_at("_p", 1).alias("lowest_fare"),
-        F.element_at("_p", (F.floor(n / 2) + 1).cast("int")).alias("median_fare"),
-        F.element_at("_p", -1).alias("highest_fare"),
-        F.array_join(F.filter("carriers", lambda c: c != ""), "|").alias("carriers"),
+def offer_stats(offers: DataFrame, queries: DataFrame, qid: str = "query_id", positive_only: bool = False) -> DataFrame:
+    """One row per query: status, offers with a parsable amount, lowest, upper median sorted[n // 2], highest, carriers.
+
+    A query without offers has ``no_offers_found``; one whose offers all fail to parse has a count of 0 and no fares.
+    ``positive_only`` also drops amounts of zero and less (the second provider's rule). The median is an
+    order statistic, so a query's offers are never gathered in a row.
+    """
+    amount = F.col("amount").try_cast("double")
+    o = offers.withColumn("_amt", F.when(amount > 0, amount) if positive_only else amount)
+    g = o.groupBy(qid).agg(
+        F.count("_amt").alias("live_offers_count"),
+        F.min("_amt").alias("lowest_fare"),
+        F.max("_amt").alias("highest_fare"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("_amt").isNotNull() & (F.col("carrier") != ""), F.col("carrier")))), "|").alias("carriers"),
     )
+    g = R.joined(g, R.upper_medians(o, [qid], "_amt", "median_fare"), [qid])
+    out = R.joined(queries.select(qid).distinct(), g, [qid])
+    return out.select(
+        qid,
+        F.when(F.col("live_offers_count").isNull(), "no_offers_found").otherwise("live_offers_retrieved").alias("status"),
+        F.coalesce("live_offers_count", F.lit(0)).cast("int").alias("live_offers_count"),
+        "lowest_fare", "median_fare", "highest_fare",
+        F.coalesce("carriers", F.lit("")).alias("carriers"),
+    )
+
+
+DASH = "—"
+
+
+def indian_grouping(digits: Column) -> Column:
+    """Digits of a whole number with commas after the last three and then every two: 12,34,567."""
+    n = F.length(digits)
+    head = F.when(n > 3, F.substring(digits, F.lit(1), n - 3)).otherwise(F.lit(""))
+    pairs = F.regexp_replace(F.reverse(F.regexp_replace(F.reverse(head), r"(\d\d)", "$1,")), r"^,", "")
+    return F.when(n > 3, F.concat(pairs, F.lit(","), F.substring(digits, -3, 3))).otherwise(digits)
+
+
+def _sign(c: Column) -> Column:
+    return F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
+
+
+def _or_dash(c: Column, shown: Column) -> Column:
+    return F.when(c.isNull() | F.isnan(c.cast("double")), DASH).otherwise(shown)
+
+
+def format_inr(c: Column) -> Column:
+    """Rupees without decimals."""
+    v = F.round(c, 0).cast("long")
+    return _or_dash(c, F.concat(_sign(v), F.lit("₹"), indian_grouping(F.abs(v).cast("string"))))
+
+
+def format_number(c: Column, digits: int = 2) -> Column:
+    """A number with a fixed number of decimals."""
+    v = F.abs(F.round(c * 10**digits, 0).cast("long"))
+    whole = F.floor(v / 10**digits).cast("long")
+    part = F.lpad((v % 10**digits).cast("string"), digits, "0")
+    return _or_dash(c, F.concat(_sign(F.round(c * 10**digits, 0)), indian_grouping(whole.cast("string")), F.lit("."), part))
+
+
+def format_km(c: Column) -> Column:
+    v = F.floor(c + 0.5).cast("long")
+    return _or_dash(c, F.concat(F.lit("~"), _sign(v), indian_grouping(F.abs(v).cast("string")), F.lit(" km")))
+
+
+def format_duration(c: Column) -> Column:
+    """``2h 5m``, ``2h``, ``45m``; no or zero hours are a dash."""
+    h = F.floor(c).cast("long")
+    m = F.floor((c - h) * 60 + 0.5).cast("long").cast("string")
+    text = F.when(h == 0, F.concat(m, F.lit("m"))).when(m == "0", F.concat(h.cast("string"), F.lit("h"))).otherwise(F.concat(h.cast("string"), F.lit("h "), m, F.lit("m")))
+    return F.when(c == 0, DASH).otherwise(_or_dash(c, text))
 
 
-def format_inr_col(df: DataFrame, col: str, out: str) -> DataFrame:
-    """J13 on a column: Indian grouping of the rounded integer part: 12,34,567."""
-    v = F.abs(F.round(F.col(col), 0).cast("long")).cast("string")
-    n = F.length(v)
-    head = F.when(n > 3, F.substring(v, 1, n - 3)).otherwise(F.lit(""))
-    last3 = F.when(n > 3, F.substring(v, -3, 3)).otherwise(v)
-    # Pairs of digits from the right: reverse, comma after every two digits, reverse back.
-    grouped_head = F.regexp_replace(F.reverse(F.regexp_replace(F.reverse(head), r"(\d\d)", "$1,")), r"^,", "")
-    body = F.when(n > 3, F.concat(grouped_head, F.lit(","), last3)).otherwise(last3)
-    sign = F.when(F.round(F.col(col), 0) < 0, F.lit("-")).otherwise(F.lit(""))
-    return df.withColumn(out, F.when(F.col(col).isNull(), F.lit("—")).otherwise(F.concat(sign, F.lit("₹"), body)))
+def format_stops(c: Column) -> Column:
+    return F.when(c == "zero", "Non-stop").when(c == "one", "1 Stop").when(c == "two_or_more", "2+ Stops").otherwise(c)

@@ -107,17 +107,18 @@ def group_holdout(df: DataFrame, group: Column, test_size: float = TEST_SIZE, se
 
 
 def split_audit(split_df: DataFrame) -> DataFrame:
-    """rows, groups and held-out list per split; ``overlap`` counts groups present in both."""
+    """a row per split (no ``grp``) with rows, groups and ``overlap``, the groups present in both; and a row
+    per held-out group."""
     per = split_df.groupBy("split").agg(
         F.count("*").alias("rows"),
         F.count_distinct("grp").alias("groups"),
-        # Only held-out groups are listed (the training list can be as long as the domain).
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("split") == "test", F.col("grp")))), "|").alias("group_list"),
     )
     tr = split_df.filter("split = 'train'").select("grp").distinct()
     te = split_df.filter("split = 'test'").select("grp").distinct()
     overlap = te.join(tr, "grp", "left_semi").agg(F.count("*").alias("overlap"))
-    return per.crossJoin(overlap)
+    totals = per.crossJoin(overlap).select("split", F.lit(None).cast("string").alias("grp"), "rows", "groups", "overlap")
+    held = split_df.filter("split = 'test'").groupBy("split", "grp").agg(F.count("*").alias("rows"))
+    return totals.unionByName(held.select("split", "grp", "rows", F.lit(1).cast("long").alias("groups"), F.lit(0).cast("long").alias("overlap")))
 
 
 def logo_folds(df: DataFrame, group_col: str, min_train: int = 3) -> DataFrame:

@@ -150,10 +150,10 @@ def b11_label_normaliser(spark, sf):
 
 def _second_source(spark, sf):
     """Second-source extract (A2 shape) derived from raw tickets: Title-case columns, text durations."""
-    raw = C.drop_unnamed(D.raw_tickets(spark, sf)).filter(F.col("duration").rlike(r"^[0-9.]+$"))
-    dur = F.col("duration").cast("double")
-    h, m = F.floor(dur / 3), F.pmod(F.col("duration").cast("double").cast("int") * 7, F.lit(60))
-    text = F.when(h == 0, F.concat(m.cast("string"), F.lit("m"))).when(m == 0, F.concat(h.cast("string"), F.lit("h"))).otherwise(
+    raw = C.drop_unnamed(D.raw_tickets(spark, sf))
+    dur = F.when(F.col("duration").rlike(r"^[0-9.]+$"), F.col("duration").try_cast("double"))
+    h, m = F.floor(dur / 3), F.pmod(dur.cast("int") * 7, F.lit(60))
+    text = F.when(dur.isNull(), F.col("duration")).when(h == 0, F.concat(m.cast("string"), F.lit("m"))).when(m == 0, F.concat(h.cast("string"), F.lit("h"))).otherwise(
         F.concat(h.cast("string"), F.lit("h "), m.cast("string"), F.lit("m"))
     )
     return raw.select(
@@ -172,11 +172,12 @@ def _second_source(spark, sf):
 _SECOND_SQL = """second_src AS (
   SELECT airline AS Airline, source_city AS Source, destination_city AS Destination, departure_time AS Dep_Time,
     arrival_time AS Arrival_Time,
-    CASE WHEN floor(CAST(duration AS DOUBLE) / 3) = 0 THEN CAST((CAST(CAST(duration AS DOUBLE) AS INTEGER) * 7) % 60 AS VARCHAR) || 'm'
+    CASE WHEN NOT coalesce(regexp_full_match(duration, '[0-9.]+'), false) OR TRY_CAST(duration AS DOUBLE) IS NULL THEN duration
+         WHEN floor(CAST(duration AS DOUBLE) / 3) = 0 THEN CAST((CAST(CAST(duration AS DOUBLE) AS INTEGER) * 7) % 60 AS VARCHAR) || 'm'
          WHEN (CAST(CAST(duration AS DOUBLE) AS INTEGER) * 7) % 60 = 0 THEN CAST(CAST(floor(CAST(duration AS DOUBLE) / 3) AS BIGINT) AS VARCHAR) || 'h'
          ELSE CAST(CAST(floor(CAST(duration AS DOUBLE) / 3) AS BIGINT) AS VARCHAR) || 'h ' || CAST((CAST(CAST(duration AS DOUBLE) AS INTEGER) * 7) % 60 AS VARCHAR) || 'm' END AS Duration,
     stops AS Total_Stops, 'No info' AS Additional_Info, CAST(price AS BIGINT) AS Price
-  FROM raw_tickets_final WHERE regexp_full_match(duration, '[0-9.]+')),
+  FROM raw_tickets_final),
 second_h AS (
   SELECT DISTINCT * FROM second_src),
 second_hours AS (

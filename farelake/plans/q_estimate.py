@@ -13,6 +13,7 @@ from farelake.plans import datasets as D
 from farelake.plans.oracle_base import money_pct, rnd, with_base
 from farelake.plans.oracle_requests import REQUESTS_VALID_SQL, comparables_sql, loro_1d_sql, observations_sql
 from farelake.plans.q_comparables import comparables, valid_requests
+from farelake.sources.tables import table
 from farelake.plans.registry import register
 from farelake.sources import adapter
 
@@ -163,62 +164,92 @@ def j10_latest_per_session(spark, sf):
 
 OFFERS_SQL = """offers AS (
   SELECT l_orderkey AS query_id,
-    CASE WHEN l_linenumber = 5 THEN 'n/a' ELSE CAST(l_extendedprice AS VARCHAR) END AS amount,
+    CASE WHEN l_linenumber = 5 THEN 'n/a' WHEN l_partkey % 17 = 3 THEN '0' WHEN l_partkey % 17 = 4 THEN '-5' ELSE CAST(l_extendedprice AS VARCHAR) END AS amount,
     CASE WHEN l_linenumber = 3 THEN '' ELSE 'C' || CAST(l_suppkey % 30 AS VARCHAR) END AS carrier FROM lineitem)"""
 
 
-@register(
-    "j12_offer_statistics",
-    sql=with_base(
-        """SELECT query_id, CAST(count(*) AS INTEGER) AS live_offers_count, min(a) AS lowest_fare,
-  list_sort(list(a))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median_fare, max(a) AS highest_fare,
-  coalesce(array_to_string(list_sort(list(DISTINCT carrier) FILTER (WHERE carrier <> '')), '|'), '') AS carriers
-FROM (SELECT query_id, TRY_CAST(amount AS DOUBLE) AS a, carrier FROM offers) WHERE a IS NOT NULL GROUP BY query_id""",
-        OFFERS_SQL,
-    ),
-)
-def j12_offer_statistics(spark, sf):
-    """Offer statistics per query: count, lowest, upper median sorted[n//2], highest, carriers (unparsable skipped)."""
-    li = D.table(spark, sf, "lineitem") if hasattr(D, "table") else None
-    from farelake.sources.tables import table
+def _offer_stats_sql(keep: str) -> str:
+    return f"""SELECT o.o_orderkey AS query_id, CASE WHEN g.query_id IS NULL THEN 'no_offers_found' ELSE 'live_offers_retrieved' END AS status,
+  CAST(coalesce(n, 0) AS INTEGER) AS live_offers_count, lowest_fare, p[CAST(floor(n / 2) AS BIGINT) + 1] AS median_fare, highest_fare,
+  coalesce(carriers, '') AS carriers
+FROM (SELECT DISTINCT o_orderkey FROM orders) o LEFT JOIN (
+  SELECT query_id, count(a) AS n, min(a) AS lowest_fare, max(a) AS highest_fare, list_sort(list(a) FILTER (WHERE a IS NOT NULL)) AS p,
+    array_to_string(list_sort(list(DISTINCT carrier) FILTER (WHERE a IS NOT NULL AND carrier <> '')), '|') AS carriers
+  FROM (SELECT query_id, carrier, CASE WHEN {keep} THEN TRY_CAST(amount AS DOUBLE) END AS a FROM offers) GROUP BY query_id) g
+ON g.query_id = o.o_orderkey"""
+
 
+def _offers(spark, sf):
+    """Offers as texts, some of them unparsable, zero or negative; queries are the orders."""
     li = table(spark, sf, "lineitem")
+    amount = F.when(F.col("l_linenumber") == 5, "n/a").when(F.pmod("l_partkey", F.lit(17)) == 3, "0").when(F.pmod("l_partkey", F.lit(17)) == 4, "-5")
     offers = li.select(
         F.col("l_orderkey").alias("query_id"),
-        F.when(F.col("l_linenumber") == 5, F.lit("n/a")).otherwise(F.col("l_extendedprice").cast("string")).alias("amount"),
+        amount.otherwise(F.col("l_extendedprice").cast("string")).alias("amount"),
         F.when(F.col("l_linenumber") == 3, F.lit("")).otherwise(F.concat(F.lit("C"), F.pmod("l_suppkey", F.lit(30)).cast("string"))).alias("carrier"),
     )
-    return EST.offer_stats(offers)
+    return offers, table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"))
+
+
+@register("j12_offer_statistics", sql=with_base(_offer_stats_sql("true"), OFFERS_SQL))
+def j12_offer_statistics(spark, sf):
+    """Offer statistics of every query: status, count, lowest, upper median, highest, carriers (unparsable skipped)."""
+    return EST.offer_stats(*_offers(spark, sf))
+
+
+@register("j12_offer_statistics_positive", sql=with_base(_offer_stats_sql("TRY_CAST(amount AS DOUBLE) > 0"), OFFERS_SQL))
+def j12_offer_statistics_positive(spark, sf):
+    """The same by the second provider's rule: only amounts above zero count."""
+    return EST.offer_stats(*_offers(spark, sf), positive_only=True)
+
+
+def _grouped_sql(v: str) -> str:
+    """Digits ``v`` grouped 12,34,567."""
+    return (
+        f"CASE WHEN length({v}) > 3 THEN regexp_replace(reverse(regexp_replace(reverse(substr({v}, 1, length({v}) - 3)), '(\\d\\d)', '\\1,', 'g')), '^,', '')"
+        f" || ',' || substr({v}, length({v}) - 2, 3) ELSE {v} END"
+    )
+
+
+def _inr_sql(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '—' ELSE (CASE WHEN round({x}, 0) < 0 THEN '-' ELSE '' END) || '₹' || {_grouped_sql(f'CAST(abs(CAST(round({x}, 0) AS BIGINT)) AS VARCHAR)')} END"
+
+
+def _km_sql(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '—' ELSE '~' || {_grouped_sql(f'CAST(CAST(floor({x} + 0.5) AS BIGINT) AS VARCHAR)')} || ' km' END"
+
+
+def _hours_sql(x: str) -> str:
+    m = f"CAST(CAST(floor(({x} - floor({x})) * 60 + 0.5) AS BIGINT) AS VARCHAR)"
+    h = f"CAST(CAST(floor({x}) AS BIGINT) AS VARCHAR)"
+    return f"CASE WHEN {x} IS NULL OR {x} = 0 THEN '—' WHEN floor({x}) = 0 THEN {m} || 'm' WHEN {m} = '0' THEN {h} || 'h' ELSE {h} || 'h ' || {m} || 'm' END"
+
+
+# Every 13th row has no distance and every 11th no hours, so that the dashes are reached.
+_SHOWN_SQL = "(SELECT *, CASE WHEN CAST(round(price) AS BIGINT) % 13 = 0 THEN NULL ELSE distance_km END AS km, CASE WHEN CAST(round(price) AS BIGINT) % 11 = 0 THEN 0.0 ELSE duration END AS hours FROM fares)"
 
 
 @register(
     "j13_presentation",
     sql=with_base(
-        """SELECT airline, flight, price,
-  CASE WHEN price IS NULL THEN '—' ELSE
-    (CASE WHEN round(price, 0) < 0 THEN '-' ELSE '' END) || '₹' ||
-    (CASE WHEN length(v) > 3 THEN regexp_replace(reverse(regexp_replace(reverse(substr(v, 1, length(v) - 3)), '(\\d\\d)', '\\1,', 'g')), '^,', '')
-          || ',' || substr(v, length(v) - 2, 3) ELSE v END) END AS price_inr,
-  '~' || CAST(CAST(round(distance_km, 0) AS BIGINT) AS VARCHAR) || ' km' AS distance_text,
-  CASE WHEN floor(duration) = 0 THEN CAST(CAST(round((duration - floor(duration)) * 60) AS BIGINT) AS VARCHAR) || 'm'
-       ELSE CAST(CAST(floor(duration) AS BIGINT) AS VARCHAR) || 'h ' || CAST(CAST(round((duration - floor(duration)) * 60) AS BIGINT) AS VARCHAR) || 'm' END AS duration_text,
-  CASE stops WHEN 'zero' THEN 'Non-stop' WHEN 'one' THEN '1 Stop' WHEN 'two_or_more' THEN '2+ Stops' ELSE coalesce(stops, '—') END AS stops_text
-FROM (SELECT *, CAST(abs(CAST(round(price, 0) AS BIGINT)) AS VARCHAR) AS v FROM fares)"""
+        f"""SELECT airline, flight, price, {_inr_sql('price')} AS price_inr, {_inr_sql('price * 137.5')} AS total_inr, {_km_sql('km')} AS distance_text,
+  {_hours_sql('hours')} AS duration_text, CASE stops WHEN 'zero' THEN 'Non-stop' WHEN 'one' THEN '1 Stop' WHEN 'two_or_more' THEN '2+ Stops' ELSE stops END AS stops_text
+FROM {_SHOWN_SQL}"""
     ),
 )
 def j13_presentation(spark, sf):
-    """Presentation columns: INR with Indian digit grouping, ~km, 'Xh Ym', stops label; NULL -> dash."""
+    """Presentation columns: INR and km with Indian digit grouping, '2h 5m' / '2h' / '45m', stops label; nothing to show is a dash."""
     f = D.fares(spark, sf).select("airline", "flight", "price", "distance_km", "duration", "stops")
-    f = EST.format_inr_col(f, "price", "price_inr")
-    h = F.floor("duration")
-    m = F.round((F.col("duration") - h) * 60).cast("long").cast("string")
+    whole = F.round("price").cast("long")
+    km, hours = F.when(whole % 13 != 0, F.col("distance_km")), F.when(whole % 11 == 0, 0.0).otherwise(F.col("duration"))
     return f.select(
-        "airline", "flight", "price", "price_inr",
-        F.concat(F.lit("~"), F.round("distance_km", 0).cast("long").cast("string"), F.lit(" km")).alias("distance_text"),
-        F.when(h == 0, F.concat(m, F.lit("m"))).otherwise(F.concat(h.cast("long").cast("string"), F.lit("h "), m, F.lit("m"))).alias("duration_text"),
-        F.when(F.col("stops") == "zero", "Non-stop").when(F.col("stops") == "one", "1 Stop").when(F.col("stops") == "two_or_more", "2+ Stops")
-        .otherwise(F.coalesce("stops", F.lit("—"))).alias("stops_text"),
-    )
+        "airline", "flight", "price",
+        EST.format_inr(F.col("price")).alias("price_inr"),
+        EST.format_inr(F.col("price") * 137.5).alias("total_inr"),
+        EST.format_km(km).alias("distance_text"),
+        EST.format_duration(hours).alias("duration_text"),
+        EST.format_stops(F.col("stops")).alias("stops_text"),
+    )
 
 
 @register(
@@ -227,7 +258,6 @@ def j13_presentation(spark, sf):
 )
 def j8_stream_request_validation(spark, sf):
     """Streaming mode: events as a file stream (availableNow), validated per micro-batch; equals the batch result."""
-    from farelake.sources.tables import table
     from farelake.streaming.estimates import run_file_stream
 
     f = D.fares(spark, sf)

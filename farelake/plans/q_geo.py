@@ -68,7 +68,8 @@ def d5_resolve_places(spark, sf):
     return LO.resolve(names, D.airports(spark, sf), D.name_index(spark, sf)).select("q", "iata")
 
 
-_PREFIX_SQL = "search_q AS (SELECT DISTINCT lower(substr(trim(source_city), 1, 2)) AS q FROM raw_tickets_final)"
+_PREFIX_SQL = """search_q AS (SELECT DISTINCT lower(substr(trim(source_city), 1, 2)) AS q FROM raw_tickets_final
+  UNION SELECT DISTINCT source_city FROM raw_tickets_final UNION SELECT DISTINCT destination_city FROM raw_tickets_final)"""
 
 
 @register(
@@ -81,9 +82,10 @@ _PREFIX_SQL = "search_q AS (SELECT DISTINCT lower(substr(trim(source_city), 1, 2
     ),
 )
 def d6_search_top8(spark, sf):
-    """Ranked place search (score, city, file order), top 8 per query; queries = 2-letter prefixes seen in the data."""
+    """Ranked place search (score, city, file order), top 8 per query; queries = the places as written, and their 2-letter prefixes."""
     raw = D.raw_tickets(spark, sf)
-    qs = raw.select(F.lower(F.substring(F.trim("source_city"), 1, 2)).alias("q"))
+    texts = F.array(F.lower(F.substring(F.trim("source_city"), 1, 2)), F.col("source_city"), F.col("destination_city"))
+    qs = raw.select(F.explode(texts).alias("q"))
     hits = LO.search(qs, D.airports(spark, sf), limit=8)
     return hits.select("q", F.col("rank").cast("long").alias("rank"), "score", "iata", "city")
 

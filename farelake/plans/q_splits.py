@@ -92,8 +92,8 @@ def f4_temporal_holdout(spark, sf):
 @register(
     "f5_route_split_audit",
     sql=with_base(
-        """SELECT split, count(*) AS rows, count(DISTINCT grp) AS groups,
-  coalesce(string_agg(DISTINCT CASE WHEN split = 'test' THEN grp END, '|' ORDER BY CASE WHEN split = 'test' THEN grp END), '') AS group_list,
+        """SELECT 'test' AS split, grp, count(*) AS rows, 1 AS groups, 0 AS overlap FROM r WHERE split = 'test' GROUP BY grp
+UNION ALL SELECT split, NULL, count(*) AS rows, count(DISTINCT grp) AS groups,
   (SELECT count(*) FROM held_routes WHERE grp IN (SELECT grp FROM r WHERE split = 'train')) AS overlap
 FROM (SELECT source_city || ' → ' || destination_city AS grp,
         CASE WHEN source_city || ' → ' || destination_city IN (SELECT grp FROM held_routes) THEN 'test' ELSE 'train' END AS split
