@@ -20,10 +20,6 @@ NUMERICAL_CORE = [
     "duration", "days_left", "log_days_left", "distance_km", "duration_distance_ratio", "speed_kmh",
     "source_lat", "source_lon", "destination_lat", "destination_lon",
 ]
-LEGACY_CATEGORICAL = ["airline", "departure_time", "arrival_time", "stops", "class", "source_city", "destination_city"]
-BASE_NUMERIC = ["duration", "days_left"]
-DISTANCE_NUMERIC = BASE_NUMERIC + ["distance_km"]
-GEO_NUMERIC = DISTANCE_NUMERIC + ["source_lat", "source_lon", "destination_lat", "destination_lon"]
 # --- end of fixed values ---
 
 
@@ -55,19 +51,3 @@ def add_engineered_features(df: DataFrame) -> DataFrame:
         F.concat(F.col("airline"), F.lit("_"), F.col("route_id")) if "airline" in cols else F.lit("unknown_airline_route")
     )
     return out.withColumn("airline_route_id", airline_route)
-
-
-def calibration_features(hist: Column, distance_km: Column, days_left: Column, cabin: Column) -> list[Column]:
-    """ln(max(500,h)), km/1000, days/15, log1p(days), business flag."""
-    return [
-        F.log(F.greatest(F.lit(PRICE_FLOOR), hist)),
-        distance_km / 1000.0,
-        days_left / 15.0,
-        F.log1p(days_left),
-        F.when(F.initcap(F.trim(cabin)) == "Business", 1.0).otherwise(0.0),
-    ]
-
-
-def back_transform(pred_log: Column, floor: float = 0.0) -> Column:
-    """expm1 back-transform clipped at ``floor``."""
-    return F.greatest(F.expm1(pred_log), F.lit(floor))

@@ -227,13 +227,3 @@ def route_table(obs: DataFrame, feats: list[str], alpha: float = RIDGE_ALPHA) ->
         F.round((F.col("_o") - F.col("_m")) / F.col("_m") * 100, 1).alias("error_pct"),
         F.lit(True).alias("out_of_fold"),
     )
-
-
-def summary(obs: DataFrame, cal: DataFrame) -> DataFrame:
-    """Counts, distinct routes/corridors, factor and MAEs (1 row)."""
-    c = obs.agg(
-        F.count("*").alias("observation_count"),
-        F.count_distinct("route").alias("unique_routes"),
-        F.count_distinct("corridor").alias("unique_corridors"),
-    )
-    return c.crossJoin(cal.select("best_model", "status", "mae_none", "mae_inflation", "mae_after", "factor"))

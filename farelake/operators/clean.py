@@ -97,18 +97,6 @@ def row_accounting(raw: DataFrame) -> DataFrame:
     return per_class.crossJoin(total_in)  # 1-row side: a scalar broadcast, not a pair expansion
 
 
-# --- B13 request flavour -------------------------------------------------------
-def normalize_request_labels(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {
-            "airline": L.request_airline(F.col("airline")),
-            "departure_time": L.request_time(F.col("departure_time")),
-            "arrival_time": L.request_time(F.col("arrival_time")),
-            "stops": L.request_stops(F.col("stops")),
-        }
-    )
-
-
 # --- B14/B15 second source harmonisation ---------------------------------------
 SECOND_SOURCE_RENAMES = {
     "Airline": "airline",
@@ -149,11 +137,6 @@ def harmonise_second_source(second: DataFrame) -> DataFrame:
     )
 
 
-def merge_sources(primary: DataFrame, second: DataFrame) -> DataFrame:
-    """Union by name, missing columns NULL."""
-    return primary.unionByName(harmonise_second_source(second), allowMissingColumns=True)
-
-
 def same_multiset(a: DataFrame, b: DataFrame) -> DataFrame:
     """Do two tables hold the same rows (with multiplicity)? One row of counts + verdict.
 

@@ -36,6 +36,7 @@ def load_all() -> dict[str, Query]:
     from farelake.plans import (  # noqa: F401
         q_clean,
         q_profile,
+        q_sources,
         q_geo,
         q_features,
         q_splits,

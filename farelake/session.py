@@ -63,11 +63,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def written_table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back: later plans start from files, with
     column pruning, filters pushed down and sizes that Spark knows when it picks a join."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     out = df.write.partitionBy(partition_by) if partition_by else df.write
     out.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(df.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,29 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-# A1 ticket CSV: read every column as text first, then coerce (B8) — never infer.
-TICKET_CSV_SCHEMA = T.StructType(
-    [
-        T.StructField(c, T.StringType(), True)
-        for c in (
-            "airline flight source_city departure_time stops arrival_time destination_city class duration days_left "
-            "price date_of_journey route additional_info"
-        ).split()
-    ]
-    + [T.StructField("_corrupt_record", T.StringType(), True)]
-)
+TICKET_COLUMNS = "airline flight source_city departure_time stops arrival_time destination_city class duration days_left price".split()
 
 
 def read_ticket_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A1/A2: header CSV with a fixed schema; malformed lines land in ``_corrupt_record``."""
-    return (
-        spark.read.schema(TICKET_CSV_SCHEMA)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .option("enforceSchema", False)
-        .csv(path)
-    )
+    """A1/A2: header CSV, every column as text (B8 coerces later, nothing is inferred); lines that do not fit the header
+    land in ``_corrupt_record``. The columns are those of the file, so either extract's names and extras are kept."""
+    header = spark.read.option("header", True).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, "_corrupt_record"]])
+    options = {"header": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
+    return spark.read.schema(schema).options(**options).csv(path)
 
 
 AIRPORT_REQUIRED = ["city", "airport", "iata", "state", "country", "latitude", "longitude"]
@@ -90,9 +78,12 @@ def read_observations_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_comparables_history(spark: SparkSession, path: str) -> DataFrame:
-    """Enriched history; keep positive priced rows with a distance. Filters reach the scan."""
+    """Enriched history; keep positive priced rows with a distance. Filters reach the scan. An absent path is an
+    empty history; any other trouble with it is an error."""
     try:
         df = spark.read.parquet(path)
-    except Exception:  # absent source -> empty table, as the reference does
+    except AnalysisException as trouble:
+        if trouble.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "price double, distance_km double")
     return df.filter(F.col("price").isNotNull() & (F.col("price") > 0) & F.col("distance_km").isNotNull())
