@@ -50,21 +50,23 @@ ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдеж
 
 _TITLE = "|".join(t for group in TITLES.values() for t in group)
 _KNOWN = "|".join(n for names in GIVEN.values() for n in names)
+#: Where a title or a listed name can begin: one look at the first letter rules out nearly every place.
+_START = r"(?=[\p{Lu}гκ])(?<![\p{L}\p{N}])"
 _CAP = r"\p{Lu}[\p{L}'’-]*\p{Ll}"
 #: Kind -> pattern, tried in this order at each place.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?!\d)",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[-. ]\d{3}[-. ]\d{4}(?![\d-])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE})\.? {_CAP}(?: {_CAP})?|(?:{_KNOWN}) {_CAP})(?![\p{{L}}\p{{N}}])",
+    "name": rf"{_START}(?:(?:{_TITLE})\.? {_CAP}(?: {_CAP})?|(?:{_KNOWN}) {_CAP})(?![\p{{L}}\p{{N}}])",
 }
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every match has a digit, an @, a title or a listed name; other texts are not searched further.
-HINT = rf"[\d@]|(?:{_TITLE}|{_KNOWN})[. ]"
+HINT = rf"[\d@]|{_START}(?:{_TITLE}|{_KNOWN})[. ]"
 
 
 def kind_of(mention: Column) -> Column:
