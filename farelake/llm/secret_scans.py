@@ -5,7 +5,7 @@ too: percent escapes, Unicode escapes, base64 runs, and gzip or zlib data inside
 join a worklist until nothing new opens (a fixpoint); a layer already seen at the same place is not opened
 again (cycle detection). Each character of a layer knows the span of the original text it came from, so a find
 in any layer maps to a span there: to its own escapes where the layer was escaped, to the whole run
-where it was base64 or compressed.
+where it was base64 or compressed, and to the characters of its own stretch of text where the run holds more than text.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned one by one; extra columns
 pass through ``redact`` untouched. A compressed layer of more than ``MAX_LAYER_BYTES`` is not read
@@ -15,12 +15,11 @@ into memory; its span is reported as kind ``opaque`` instead, so nothing is pass
 from __future__ import annotations
 
 import base64
-import binascii
 import bisect
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +38,21 @@ MIN_VALUE, MIN_ACCESS = 6, 20
 MAX_LAYER_BYTES = 16 << 20
 MIN_BASE64 = 16
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
-_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{40,}\r?\n)+[A-Za-z0-9+/_-]+={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}+\r?\n)+[A-Za-z0-9+/_-]+={0,2}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]+)\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 _KEYWORD = r"(?i)password|passwd|secret|token|api_?key"
 
+#: The least text that can hold a find ("token=" and a value of 6).
+_STRETCH = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
+#: Where gzip or zlib data (without a preset dictionary) may begin.
+_MAGIC = re.compile(b"\x1f\x8b\x08|" + b"|".join(re.escape(bytes([c, f])) for c in range(0x08, 0x80, 16) for f in range(256) if (c << 8 | f) % 31 == 0 and not f & 0x20))
+FEED_BYTES = 1 << 12
+_PIECE = re.compile(r"[A-Za-z0-9]{%d,}={0,2}" % MIN_BASE64)
+
 Span = tuple[int, int, int]  # start, place in KINDS, end
+Origin = Callable[[int, int], tuple[int, int]]  # the characters that bytes i..j-1 came from
 
 
 def base_spans(text: str) -> list[Span]:
@@ -104,30 +111,6 @@ class Layer:
         text = "".join(out)
         return Layer(text, parts) if text != self.text else None
 
-    def opened(self, text: str, a: int, b: int) -> Layer:
-        """What the characters a..b-1 hold."""
-        return Layer(text, [(0, *self.origin(a, b), 0)])
-
-
-def inflate(data: bytes) -> bytes | None:
-    """What gzip or zlib data holds, through nested layers; None if it holds nothing; raises MemoryError
-    if a layer is larger than MAX_LAYER_BYTES."""
-    out, seen = None, set()
-    while len(data) > 2 and (data[:2] == b"\x1f\x8b" or (data[0] & 0x0F == 8 and data[0] >> 4 <= 7 and (data[0] << 8 | data[1]) % 31 == 0)):
-        key = hashlib.sha1(data).digest()
-        if key in seen:
-            break
-        seen.add(key)
-        machine = zlib.decompressobj(47)
-        try:
-            data = machine.decompress(data, MAX_LAYER_BYTES)
-        except zlib.error:
-            return out
-        if machine.unconsumed_tail:
-            raise MemoryError
-        out = data
-    return out
-
 
 def readable(data: bytes) -> str | None:
     try:
@@ -137,15 +120,76 @@ def readable(data: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
-def _segment(layer: Layer, data: bytes, a: int, b: int) -> tuple[list[Layer], list[Span]]:
-    """Layers, and opaque spans, that the decoded bytes of a..b give."""
+def inflate(data: bytes, at: int = 0) -> tuple[bytes, int, bool] | None:
+    """What the gzip or zlib data from ``at`` on holds, where it ends and whether its end was met; None if it holds
+    nothing; raises MemoryError if that is more than MAX_LAYER_BYTES."""
+    machine, out, size, begin = zlib.decompressobj(47), [], 0, at
     try:
-        plain = inflate(data)
-    except MemoryError:
-        start, end = layer.origin(a, b)
-        return [], [(start, 3, end)]
-    text = readable(data) if plain is None else readable(plain) or plain.decode("latin-1")
-    return ([layer.opened(text, a, b)] if text else []), []
+        while begin < len(data) and not machine.eof:
+            feed = data[begin : begin + FEED_BYTES]
+            while feed and not machine.eof:
+                out.append(machine.decompress(feed, MAX_LAYER_BYTES + 1 - size))
+                feed = machine.unconsumed_tail
+                size += len(out[-1])
+                if size > MAX_LAYER_BYTES:
+                    raise MemoryError
+            begin += FEED_BYTES
+    except zlib.error:
+        pass
+    end = min(begin, len(data)) - len(machine.unused_data) if machine.eof else len(data)
+    return (b"".join(out), end, machine.eof) if size else None
+
+
+def _text_layers(layer: Layer, data: bytes, origin: Origin) -> list[Layer]:
+    """The bytes as text. The base patterns and all escapes are ASCII, so bytes that are no UTF-8 are read as
+    latin-1, each stretch of text in them with its own span."""
+    out = []
+    try:
+        out.append(Layer(data.decode(), [(0, *origin(0, len(data)), 0)]))
+    except UnicodeDecodeError:
+        parts, done = [], 0
+        for m in _STRETCH.finditer(data):
+            if m.start() > done:
+                parts.append((done, *origin(done, m.start()), 0))
+            parts.append((m.start(), *origin(*m.span()), 0))
+            done = m.end()
+        if parts:
+            if done < len(data):
+                parts.append((done, *origin(done, len(data)), 0))
+            out.append(Layer(data.decode("latin-1"), parts))
+    return [Layer(new.text, [(at, *layer.origin(a, b), 0) for at, a, b, _ in new.parts]) for new in out if new.text]
+
+
+def _segment(layer: Layer, data: bytes, origin: Origin, plain: bool = True) -> tuple[list[Layer], list[Span]]:
+    """Layers, and opaque spans, that decoded bytes give; ``origin`` tells which characters of ``layer`` bytes came
+    from. Compressed data is opened wherever it begins. Without ``plain`` they are not read as text themselves."""
+    layers, spans, seen = [], [], set()
+    work = [(data, origin, plain)]
+    while work:
+        data, origin, plain = work.pop()
+        if plain:
+            layers += _text_layers(layer, data, origin)
+        done = 0
+        while m := _MAGIC.search(data, done):
+            done = m.start() + 1
+            try:
+                got = inflate(data, m.start())
+            except MemoryError:
+                spans.append((layer.origin(*origin(m.start(), len(data)))[0], 3, layer.origin(*origin(m.start(), len(data)))[1]))
+                break
+            if got is None:
+                continue
+            if got[2]:
+                done = got[1]
+            key = hashlib.sha1(got[0]).digest()
+            if key not in seen:
+                seen.add(key)
+                work.append((got[0], _whole(*origin(m.start(), got[1])), True))
+    return layers, spans
+
+
+def _whole(a: int, b: int) -> Origin:
+    return lambda i, j: (a, b)
 
 
 def _percent(layer: Layer) -> tuple[list[Layer], list[Span]]:
@@ -154,7 +198,7 @@ def _percent(layer: Layer) -> tuple[list[Layer], list[Span]]:
         data = bytes.fromhex(m[0].replace("%", ""))
         a, i, made = m.start(), 0, []
         if data[:2] == b"\x1f\x8b" or readable(data) is None:
-            got = _segment(layer, data, a, m.end()) if len(data) > 2 else ([], [])
+            got = _segment(layer, data, lambda i, j, a=a: (a + 3 * i, a + 3 * j), plain=False) if len(data) > 2 else ([], [])
             more += got[0]
             spans += got[1]
         while i < len(data):  # character by character; bytes that are no UTF-8 stay escaped
@@ -179,7 +223,7 @@ def _unicode(layer: Layer) -> tuple[list[Layer], list[Span]]:
         if len(codes) > 2 and all(c < 256 for c, _, _ in codes):
             data = bytes(c for c, _, _ in codes)
             if inflate_like(data):
-                got = _segment(layer, data, m.start(), m.end())
+                got = _segment(layer, data, lambda i, j, codes=codes: (codes[i][1], codes[j - 1][2]), plain=False)
                 more += got[0]
                 spans += got[1]
         while i < len(codes):
@@ -202,24 +246,35 @@ def inflate_like(data: bytes) -> bool:
 
 
 def _base64(layer: Layer) -> tuple[list[Layer], list[Span]]:
+    """Each run, and its pieces between the alphabet's own separators (a run may touch what stands before and after
+    it: path/, auth_, -next), at all four alignments."""
     more, spans = [], []
     for pattern in (_BASE64, _WRAPPED):
         for m in pattern.finditer(layer.text):
-            body = re.sub(r"[\r\n=]", "", m[0]).replace("-", "+").replace("_", "/")
-            # a run may begin with characters that belong to what stands before it (key=, path/)
-            for skip in range(4):
-                run = body[skip:]
-                if len(run) < MIN_BASE64 or len(run) % 4 == 1:
-                    continue
-                try:
+            runs = [m.span()]
+            if pattern is _BASE64:
+                runs += [(m.start() + p.start(), m.start() + p.end()) for p in _PIECE.finditer(m[0]) if p.end() - p.start() < len(m[0])]
+            for a, b in runs:
+                chars = layer.text[a:b]
+                places = None if pattern is _BASE64 else [i for i, c in enumerate(chars) if c not in "\r\n="]
+                body = re.sub(r"[\r\n=]", "", chars).replace("-", "+").replace("_", "/")
+                for skip in range(4):
+                    run = body[skip:]
+                    run = run[: len(run) - (len(run) % 4 == 1)]
+                    if len(run) < MIN_BASE64:
+                        continue
                     data = base64.b64decode(run + "=" * (-len(run) % 4))
-                except (binascii.Error, ValueError):
-                    continue
-                got = _segment(layer, data, m.start() + (skip if pattern is _BASE64 else 0), m.end())
-                more += got[0]
-                spans += got[1]
-                if got[0] or got[1]:
-                    break
+                    stop = b if skip + len(run) == len(body) else None
+
+                    def origin(i: int, j: int) -> tuple[int, int]:
+                        first, last = skip + i * 4 // 3, skip - (-j * 4 // 3)
+                        if places:
+                            first, last = places[first], places[last - 1] + 1
+                        return a + first, stop if stop and j == len(data) else a + last
+
+                    got = _segment(layer, data, origin)
+                    more += got[0]
+                    spans += got[1]
     return more, spans
 
 

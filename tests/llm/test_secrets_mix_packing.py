@@ -53,6 +53,26 @@ def test_cycles_and_bombs_end():
     assert S.all_spans("%25" * 50)[1] == []
 
 
+@pytest.mark.parametrize("before,after", [("https://x.io/cb/", ""), ("path/", ""), ("auth_", ""), ("log-", "/next"), ("a", "b"), ("x+y_", "-z"), ("key=", "/")])
+@pytest.mark.parametrize("inner", ["base64", "gzip", "zlib"])
+def test_runs_that_touch_other_characters(before, after, inner):
+    for body in (SECRET, SECRET + "ab ~~~???>>>", "??>>~~ " + SECRET):
+        run = ENCODINGS[inner](body)
+        run = run.rstrip("=") if after else run
+        text = f"go {before}{run}{after} on"
+        at = text.index(run)
+        spans = S.all_spans(text)[1]
+        hidden = text[min(a for a, _, _ in spans) : max(b for _, _, b in spans)]
+        assert hunted(run, body, inner) in hidden and at - 4 <= spans[0][0] and spans[-1][2] <= at + len(run) + 4
+        assert not S.all_spans(S.masked(text, spans, "[REDACTED]"))[1]
+
+
+def hunted(run, body, inner):
+    """The characters of ``run`` that hold the secret."""
+    first = body.index(SECRET)
+    return run if inner != "base64" else run[first * 4 // 3 : ((first + len(SECRET)) * 4 + 2) // 3]
+
+
 def plain_base(text):
     text = text or ""
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[1]) >= 6]
