@@ -44,8 +44,10 @@ _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-
 _ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]+)\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 _KEYWORD = r"(?i)password|passwd|secret|token|api_?key"
 
-#: The least text that can hold a find ("token=" and a value of 6).
+#: The least text that can hold a find ("token=" and a value of 6), as bytes of text and as bytes of UTF-16.
 _STRETCH = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
+_ASCII = re.compile(r"[\t\n\r\x20-\x7e]{12,}")
+_WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){11}|(?:\x00[\t\n\r\x20-\x7e]){11}")
 #: Where gzip or zlib data (without a preset dictionary) may begin.
 _MAGIC = re.compile(b"\x1f\x8b\x08|" + b"|".join(re.escape(bytes([c, f])) for c in range(0x08, 0x80, 16) for f in range(256) if (c << 8 | f) % 31 == 0 and not f & 0x20))
 FEED_BYTES = 1 << 12
@@ -142,7 +144,7 @@ def inflate(data: bytes, at: int = 0) -> tuple[bytes, int, bool] | None:
 
 def _text_layers(layer: Layer, data: bytes, origin: Origin) -> list[Layer]:
     """The bytes as text. The base patterns and all escapes are ASCII, so bytes that are no UTF-8 are read as
-    latin-1, each stretch of text in them with its own span."""
+    latin-1, each stretch of text in them with its own span; what may be UTF-16 is read so at both places and orders."""
     out = []
     try:
         out.append(Layer(data.decode(), [(0, *origin(0, len(data)), 0)]))
@@ -157,17 +159,35 @@ def _text_layers(layer: Layer, data: bytes, origin: Origin) -> list[Layer]:
             if done < len(data):
                 parts.append((done, *origin(done, len(data)), 0))
             out.append(Layer(data.decode("latin-1"), parts))
+    if _WIDE.search(data):
+        for first in (0, 1):
+            for order in "<>":
+                units = np.frombuffer(data, f"{order}u2", (len(data) - first) // 2, first).astype("<u2")
+                text = np.where((units >= 0xD800) & (units < 0xE000), 0xFFFD, units).astype("<u2").tobytes().decode("utf-16-le")
+                if readable(text.lstrip("﻿").encode()):
+                    out.append(Layer(text, [(0, *origin(0, len(data)), 0)]))
+                    continue
+                parts, done = [], 0
+                for m in _ASCII.finditer(text):
+                    if m.start() > done:
+                        parts.append((done, *origin(first + 2 * done, first + 2 * m.start()), 0))
+                    parts.append((m.start(), *origin(first + 2 * m.start(), first + 2 * m.end()), 0))
+                    done = m.end()
+                if parts:
+                    if done < len(text):
+                        parts.append((done, *origin(first + 2 * done, first + 2 * len(text)), 0))
+                    out.append(Layer(text, parts))
     return [Layer(new.text, [(at, *layer.origin(a, b), 0) for at, a, b, _ in new.parts]) for new in out if new.text]
 
 
 def _segment(layer: Layer, data: bytes, origin: Origin, plain: bool = True) -> tuple[list[Layer], list[Span]]:
     """Layers, and opaque spans, that decoded bytes give; ``origin`` tells which characters of ``layer`` bytes came
-    from. Compressed data is opened wherever it begins. Without ``plain`` they are not read as text themselves."""
+    from. Compressed data is opened wherever it begins. Without ``plain`` only UTF-16 is read as text itself."""
     layers, spans, seen = [], [], set()
     work = [(data, origin, plain)]
     while work:
         data, origin, plain = work.pop()
-        if plain:
+        if plain or _WIDE.search(data):
             layers += _text_layers(layer, data, origin)
         done = 0
         while m := _MAGIC.search(data, done):

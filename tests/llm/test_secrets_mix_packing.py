@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import json
 import re
+import time
 import urllib.parse
 import zlib
 from collections import defaultdict
@@ -73,6 +74,29 @@ def hunted(run, body, inner):
     return run if inner != "base64" else run[first * 4 // 3 : ((first + len(SECRET)) * 4 + 2) // 3]
 
 
+@pytest.mark.parametrize(
+    "data",
+    [f"{SECRET}\u00a0ok", f"\ufeff{SECRET}", f"\u65e5\u672c\u3000\u8a9e {SECRET}", f"{SECRET} \U0001f468\u200d\U0001f469", f"\u00ad{SECRET}\x0c", f"\x1b[1m{SECRET}\x00"]
+    + [SECRET.encode() + b" \xff ok", b"\xe9t\xe9 " + SECRET.encode(), SECRET.encode("utf-16"), SECRET.encode("utf-16-le"), SECRET.encode("utf-16-be"), b"x" + SECRET.encode("utf-16-le"), f"\u65e5\u3000\U0001f600 {SECRET}".encode("utf-16")],
+)
+def test_layers_that_are_not_clean_text(data):
+    data = data if isinstance(data, bytes) else data.encode()
+    wide = b"\x00a" in data or b"a\x00" in data
+    secret = next(SECRET.encode(code) for code in (["utf-16-le", "utf-16-be"] if wide else ["utf-8"]) if SECRET.encode(code) in data)
+    first = data.index(secret) * 4 // 3
+    for wrap in (lambda b: b, gzip.compress):
+        run = base64.b64encode(wrap(data)).decode()
+        (a, kind, b), *_ = spans = S.all_spans(f"x {run}")[1]
+        assert kind == 0 and a <= 2 + first and b >= 2 + first + len(secret) * 4 // 3
+        assert not S.all_spans(S.masked(f"x {run}", spans, "[REDACTED]"))[1]
+
+
+def test_long_runs_take_linear_time():
+    start = time.perf_counter()
+    assert S.all_spans(base64.b64encode(np.random.default_rng(1).bytes(1 << 18)).decode())[1] == []
+    assert time.perf_counter() - start < 30
+
+
 def plain_base(text):
     text = text or ""
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[1]) >= 6]
