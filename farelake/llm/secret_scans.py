@@ -1,7 +1,7 @@
 """Secret scans: base patterns plus a recursive decoding worklist.
 
 A document's text is scanned for the base kinds. Then every layer that the text wraps is opened and scanned
-too: percent escapes, Unicode escapes, base64 runs, and gzip or zlib data inside any of these. Opened layers
+too: percent escapes, Unicode escapes, base64 runs, and gzip or zlib data (all its members) inside any of these. Opened layers
 join a worklist until nothing new opens (a fixpoint); a layer already seen at the same place is not opened
 again (cycle detection). Each character of a layer knows the span of the original text it came from, so a find
 in any layer maps to a span there: to its own escapes where the layer was escaped, to the whole run
@@ -42,6 +42,12 @@ _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}+\r?\n)+[A-Za
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]+)\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
+#: Runs in which escapes and literal characters together may be bytes, and the bytes of them one by one.
+_PERCENT_RUN = re.compile(r"[!-~]+")
+_PERCENT_BYTE = re.compile(r"%(?P<hex>[0-9A-Fa-f]{2})|(?P<plain>.)")
+_ESCAPE_RUN = re.compile(r"[ -~\x80-\xff]+")
+_ESCAPE_BYTE = re.compile(r"\\u(?P<hex4>[0-9A-Fa-f]{4})|\\u\{(?P<hex6>[0-9A-Fa-f]{1,6})\}|\\U(?P<hex8>[0-9A-Fa-f]{8})|\\x(?P<hex>[0-9A-Fa-f]{2})|&#(?P<ent>[0-9]{1,7});|&#[xX](?P<hexent>[0-9A-Fa-f]{1,6});|\\(?P<octal>[0-3]?[0-7]{1,2})|\\(?P<short>[abefnrtv\\'\"/])|(?P<plain>.)")
+_SHORT = dict(zip("abefnrtv", map(ord, "\a\b\x1b\f\n\r\t\v")))
 _KEYWORD = r"(?i)password|passwd|secret|token|api_?key"
 
 #: The least text that can hold a find ("token=" and a value of 6), as bytes of text and as bytes of UTF-16.
@@ -50,6 +56,7 @@ _ASCII = re.compile(r"[\t\n\r\x20-\x7e]{12,}")
 _WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){11}|(?:\x00[\t\n\r\x20-\x7e]){11}")
 #: Where gzip or zlib data (without a preset dictionary) may begin.
 _MAGIC = re.compile(b"\x1f\x8b\x08|" + b"|".join(re.escape(bytes([c, f])) for c in range(0x08, 0x80, 16) for f in range(256) if (c << 8 | f) % 31 == 0 and not f & 0x20))
+_MEMBER = re.compile(b"\\x00*(" + _MAGIC.pattern + b")", re.S)  # members may have zeros between them
 FEED_BYTES = 1 << 12
 _PIECE = re.compile(r"[A-Za-z0-9]{%d,}={0,2}" % MIN_BASE64)
 
@@ -123,23 +130,29 @@ def readable(data: bytes) -> str | None:
 
 
 def inflate(data: bytes, at: int = 0) -> tuple[bytes, int, bool] | None:
-    """What the gzip or zlib data from ``at`` on holds, where it ends and whether its end was met; None if it holds
-    nothing; raises MemoryError if that is more than MAX_LAYER_BYTES."""
-    machine, out, size, begin = zlib.decompressobj(47), [], 0, at
-    try:
-        while begin < len(data) and not machine.eof:
-            feed = data[begin : begin + FEED_BYTES]
-            while feed and not machine.eof:
-                out.append(machine.decompress(feed, MAX_LAYER_BYTES + 1 - size))
-                feed = machine.unconsumed_tail
-                size += len(out[-1])
-                if size > MAX_LAYER_BYTES:
-                    raise MemoryError
-            begin += FEED_BYTES
-    except zlib.error:
-        pass
-    end = min(begin, len(data)) - len(machine.unused_data) if machine.eof else len(data)
-    return (b"".join(out), end, machine.eof) if size else None
+    """What the gzip or zlib data from ``at`` on holds, all members that follow one another together, where it ends and
+    whether its end was met; None if it holds nothing; raises MemoryError if that is more than MAX_LAYER_BYTES."""
+    out, size, end, ended = [], 0, at, False
+    while m := _MEMBER.match(data, end):
+        machine, before, begin = zlib.decompressobj(47), size, m.start(1)
+        try:
+            while begin < len(data) and not machine.eof:
+                feed = data[begin : begin + FEED_BYTES]
+                begin += len(feed)
+                while feed and not machine.eof:
+                    out.append(machine.decompress(feed, MAX_LAYER_BYTES + 1 - size))
+                    feed = machine.unconsumed_tail
+                    size += len(out[-1])
+                    if size > MAX_LAYER_BYTES:
+                        raise MemoryError
+        except zlib.error:
+            pass
+        if not machine.eof:  # damaged or cut off: what was read counts
+            if size > before:
+                end, ended = len(data), False
+            break
+        end, ended = begin - len(machine.unused_data), True
+    return (b"".join(out), end, ended) if size else None
 
 
 def _text_layers(layer: Layer, data: bytes, origin: Origin) -> list[Layer]:
@@ -212,15 +225,42 @@ def _whole(a: int, b: int) -> Origin:
     return lambda i, j: (a, b)
 
 
+def _byte_runs(layer: Layer, run: re.Pattern, escape: re.Pattern, one: re.Pattern) -> tuple[list[Layer], list[Span]]:
+    """What the bytes hold that escapes and the literal characters between them stand for: escapers leave letters,
+    digits and more as they are, so compressed data is never escapes alone."""
+    more, spans = [], []
+    for m in run.finditer(layer.text) if escape.search(layer.text) else ():
+        if not escape.search(m[0]):
+            continue
+        starts, data = [], bytearray()
+        for c in one.finditer(m[0]):
+            if (code := _code(c)) < 256:
+                starts.append(m.start() + c.start())
+                data.append(code)
+            else:  # no byte: nothing runs across it
+                starts += [m.start() + c.start()] * 2
+                data += b"\xff\xff"
+        starts.append(m.end())
+        for plus in (b"+", b" ") if one is _PERCENT_BYTE and "+" in m[0] else (b"+",):  # a form's plus is a space
+            got = _segment(layer, bytes(b if b != 43 or layer.text[starts[i]] == "%" else plus[0] for i, b in enumerate(data)), lambda i, j, starts=starts: (starts[i], starts[j]), plain=False)
+            more += got[0]
+            spans += got[1]
+    return more, spans
+
+
+def _code(c: re.Match) -> int:
+    """The code that an escape or a literal character stands for."""
+    kind, text = c.lastgroup, c[c.lastgroup]
+    if kind == "short":
+        return _SHORT.get(text, ord(text))
+    return ord(text) if kind == "plain" else int(text, {"hex": 16, "hex4": 16, "hex6": 16, "hex8": 16, "hexent": 16, "octal": 8, "ent": 10}[kind])
+
+
 def _percent(layer: Layer) -> tuple[list[Layer], list[Span]]:
-    pieces, more, spans = [], [], []
+    pieces, (more, spans) = [], _byte_runs(layer, _PERCENT_RUN, _PERCENT, _PERCENT_BYTE)
     for m in _PERCENT.finditer(layer.text):
         data = bytes.fromhex(m[0].replace("%", ""))
         a, i, made = m.start(), 0, []
-        if data[:2] == b"\x1f\x8b" or readable(data) is None:
-            got = _segment(layer, data, lambda i, j, a=a: (a + 3 * i, a + 3 * j), plain=False) if len(data) > 2 else ([], [])
-            more += got[0]
-            spans += got[1]
         while i < len(data):  # character by character; bytes that are no UTF-8 stay escaped
             for width in (1, 2, 3, 4):
                 if c := readable(data[i : i + width]):
@@ -236,16 +276,10 @@ def _percent(layer: Layer) -> tuple[list[Layer], list[Span]]:
 
 
 def _unicode(layer: Layer) -> tuple[list[Layer], list[Span]]:
-    pieces, more, spans = [], [], []
+    pieces, (more, spans) = [], _byte_runs(layer, _ESCAPE_RUN, _ESCAPE, _ESCAPE_BYTE)
     for m in _ESCAPE.finditer(layer.text):
         codes = [(int(next(g for g in e.groups() if g), 10 if e[5] else 16), m.start() + e.start(), m.start() + e.end()) for e in _ONE_ESCAPE.finditer(m[0])]
         made, i = [], 0
-        if len(codes) > 2 and all(c < 256 for c, _, _ in codes):
-            data = bytes(c for c, _, _ in codes)
-            if inflate_like(data):
-                got = _segment(layer, data, lambda i, j, codes=codes: (codes[i][1], codes[j - 1][2]), plain=False)
-                more += got[0]
-                spans += got[1]
         while i < len(codes):
             c, a, b = codes[i]
             if 0xD800 <= c < 0xDC00 and i + 1 < len(codes) and 0xDC00 <= codes[i + 1][0] < 0xE000:
@@ -261,10 +295,6 @@ def _unicode(layer: Layer) -> tuple[list[Layer], list[Span]]:
     return more + ([new] if new else []), spans
 
 
-def inflate_like(data: bytes) -> bool:
-    return data[:2] == b"\x1f\x8b" or data[:1] == b"\x78"
-
-
 def _base64(layer: Layer) -> tuple[list[Layer], list[Span]]:
     """Each run, and its pieces between the alphabet's own separators (a run may touch what stands before and after
     it: path/, auth_, -next), at all four alignments."""

@@ -91,6 +91,35 @@ def test_layers_that_are_not_clean_text(data):
         assert not S.all_spans(S.masked(f"x {run}", spans, "[REDACTED]"))[1]
 
 
+LITERAL = {
+    "quote": lambda b: urllib.parse.quote(b),
+    "quote_plus": lambda b: urllib.parse.quote_plus(b),
+    "repr": lambda b: repr(b)[2:-1],
+    "json": lambda b: json.dumps(b.decode("latin-1"))[1:-1],
+    "entities": lambda b: "".join(chr(c) if 48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 else f"&#{c};" for c in b),
+}
+
+
+@pytest.mark.parametrize("escaped", LITERAL)
+@pytest.mark.parametrize("packed", [lambda b: gzip.compress(b, mtime=0), zlib.compress])
+def test_compressed_bytes_with_literal_characters(escaped, packed):
+    for i in range(40):  # other bytes each time: letters, spaces, plus signs
+        hidden = LITERAL[escaped](packed(f"{i * 7919} {SECRET}{i}".encode()))
+        for before, after in (("", ""), ("d=", "&x=1")):
+            text = f"x {before}{hidden}{after} y"
+            at = 2 + len(before)
+            assert (at, 0, at + len(hidden)) in S.all_spans(text)[1], text
+
+
+@pytest.mark.parametrize("packed", [lambda b: gzip.compress(b, mtime=0), zlib.compress])
+def test_every_member_is_read(packed):
+    for parts in ([b"first log\n", f"second {SECRET}\n".encode()], [b"a" * 50_000, b"", b"pass", b"word=hunter2secret"]):
+        for between in (b"", b"\x00" * 5):
+            hidden = base64.b64encode(between.join(map(packed, parts))).decode()
+            spans = S.all_spans(f"x {hidden}")[1]
+            assert (2, 0, 2 + len(hidden)) in spans
+
+
 def test_long_runs_take_linear_time():
     start = time.perf_counter()
     assert S.all_spans(base64.b64encode(np.random.default_rng(1).bytes(1 << 18)).decode())[1] == []
