@@ -8,13 +8,14 @@ same one in all documents. A surrogate is made from a keyed SHA-512 of kind, can
 * card, phone, id number: each digit by a digit, punctuation stays; a card keeps its first digit, and its check digit
   stays valid if it was; a phone keeps its country code; an IBAN keeps its country;
 * IP: another valid address; its number of parts stays;
-* name: title stays, the given name is one of the same gender and script, the family name is made of syllables of the
-  same script; each keeps its letter case.
+* name: title stays as written and is no part of the entity, the given name is one of the same gender and script, the
+  family name is made of syllables of the same script; capitals stay. A name takes all its capitalised words. Its gender is
+  that of its titles anywhere in the corpus, or else of its given name.
 
 Collision checks run over the distinct entities of the whole corpus: if two entities of a kind have the same
 surrogate, or a surrogate is a real entity of the corpus, all but the first take their next attempt, until none collide.
-The tables hold one row per distinct entity, counted before they move; only entities that needed another attempt
-are joined back to documents.
+The tables hold one row per distinct entity, counted before they move; only entities that needed another attempt,
+or whose gender not every mention tells, are joined back to documents.
 
 Outputs never hold an original. Defined results: null text stays null, empty text stays empty, both with no
 entities; repeated rows get the same replacements; a null document key is allowed; extra columns pass through.
@@ -48,11 +49,21 @@ SYLLABLES = {
 }
 ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
-_TITLE = "|".join(t for group in TITLES.values() for t in group)
-_KNOWN = "|".join(n for names in GIVEN.values() for n in names)
+def _written(words: list[str]) -> str:
+    """Each word as listed, with a capital, and in capitals."""
+    return "|".join(dict.fromkeys(v for w in words for v in (w, w[0].upper() + w[1:], w.upper())))
+
+
+_TITLES = {g: _written(group) for g, group in TITLES.items()}
+_TITLE = "|".join(_TITLES.values())
+_KNOWN = _written([n for names in GIVEN.values() for n in names])
 #: Where a title or a listed name can begin: one look at the first letter rules out nearly every place.
 _START = r"(?=[\p{Lu}гκ])(?<![\p{L}\p{N}])"
-_CAP = r"\p{Lu}[\p{L}'’-]*\p{Ll}"
+_CAP = r"\p{Lu}[\p{L}'’-]*\p{L}"
+#: The capitalised words, or initials before one, that follow in a name.
+_MORE = rf"(?: (?:{_CAP}|\p{{Lu}}\.?(?= \p{{Lu}})))"
+_POSSESSIVE = r"['’][sS]$"
+_LEADING = rf"^(?:(?:{_TITLE})\.? )+"
 #: Kind -> pattern, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
@@ -61,7 +72,7 @@ PATTERNS = {
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[-. ]\d{3}[-. ]\d{4}(?![\d-])",
-    "name": rf"{_START}(?:(?:{_TITLE})\.? {_CAP}(?: {_CAP})?|(?:{_KNOWN}) {_CAP})(?![\p{{L}}\p{{N}}])",
+    "name": rf"{_START}(?:(?:(?:{_TITLE})\.? )+(?:{_CAP}|\p{{Lu}}\.?(?= \p{{Lu}})){_MORE}*|(?:{_KNOWN}){_MORE}+)(?![\p{{L}}\p{{N}}])",
 }
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -83,10 +94,32 @@ def _country(mention: Column) -> Column:
 
 def canonical(kind: Column, mention: Column) -> Column:
     """What all ways of writing an entity share: a number's digits (a phone's without its country code), an IBAN
-    without spaces, lower case, a name without its title's dot."""
+    without spaces, lower case, a name without its titles, dots and possessive ending, all letters folded."""
     bare = F.regexp_replace(mention, "[^0-9]", "")
     national = F.substring(bare, F.length(_country(mention)) + 1, F.length(bare))
-    return F.when(kind == "phone", national).when(kind.isin("card", "ssn"), bare).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).when(kind == "name", F.replace(mention, F.lit("."), F.lit(""))).otherwise(F.lower(mention))
+    return F.when(kind == "phone", national).when(kind.isin("card", "ssn"), bare).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).when(kind == "name", _folded(F.replace(F.regexp_replace(F.regexp_replace(mention, _LEADING, ""), _POSSESSIVE, ""), F.lit("."), F.lit("")))).otherwise(F.lower(mention))
+
+
+def _folded(name: Column) -> Column:
+    """Lower case, with what capitals do not tell apart: ß is ss, a last sigma has its own form."""
+    return F.regexp_replace(F.replace(F.lower(name), F.lit("ß"), F.lit("ss")), r"σ(?!\p{L})", "ς")
+
+
+def _title_gender(kind: Column, mention: Column) -> Column:
+    """f, m or nothing, as a name's titles say."""
+    of = lambda g: (kind == "name") & mention.rlike(rf"^(?:(?:{_TITLE})\.? )*(?:{_TITLES[g]})\.? ")
+    return F.when(of("f"), "f").when(of("m"), "m").otherwise("")
+
+
+def _given_gender(entity: Column) -> Column:
+    """f, m or nothing, as the first of a name's words says."""
+    first = F.substring_index(entity, " ", 1)
+    listed = {g: [n.lower() for (x, _), names in GIVEN.items() if x == g for n in names] for g in "fm"}
+    return F.when(first.isin(*listed["f"]), "f").when(first.isin(*listed["m"]), "m").otherwise("")
+
+
+def _gender(title: Column, kind: Column, entity: Column) -> Column:
+    return F.when(kind != "name", "").when(title != "", title).otherwise(_given_gender(entity))
 
 
 def _stream(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
@@ -129,28 +162,23 @@ def _script(entity: Column) -> Column:
     return F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").when(entity.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _name(entity: Column, stream: Column, attempt: Column) -> Column:
-    title = F.regexp_extract(entity, rf"^({_TITLE}) ", 1)
-    rest = F.split(F.when(title == "", entity).otherwise(F.substring(entity, F.length(title) + 2, F.length(entity))), " ")
-    first, script = F.get(rest, F.lit(0)), _script(entity)
-    female = title.isin(*TITLES["f"]) | (~title.isin(*TITLES["m"]) & first.isin(*(n for (g, _), names in GIVEN.items() if g == "f" for n in names)))
-    male = title.isin(*TITLES["m"]) | first.isin(*(n for (g, _), names in GIVEN.items() if g == "m" for n in names))
+def _name(entity: Column, stream: Column, attempt: Column, gender: Column) -> Column:
+    script = _script(entity)
     given, family = F.lit(None).cast("string"), F.lit(None).cast("string")
     for s in SYLLABLES:
-        of = {g: _pick(GIVEN[g, s], _draw(stream, F.lit(0), len(GIVEN[g, s]))) for g in "fm"}
+        of = {g: _pick([n.lower() for n in GIVEN[g, s]], _draw(stream, F.lit(0), len(GIVEN[g, s]))) for g in "fm"}
         any_ = F.when(_draw(stream, F.lit(1), 2) == 0, of["f"]).otherwise(of["m"])
-        given = F.when(script == s, F.when(female, of["f"]).when(male, of["m"]).otherwise(any_)).otherwise(given)
+        given = F.when(script == s, F.when(gender == "f", of["f"]).when(gender == "m", of["m"]).otherwise(any_)).otherwise(given)
         made = F.array_join(F.transform(F.sequence(F.lit(2), F.lit(5) + attempt), _syllables(s, stream)), "")
-        family = F.when(script == s, F.initcap(made)).otherwise(family)
-    named = F.when((F.size(rest) > 1) | (title == ""), F.concat_ws(" ", given, family)).otherwise(family)
-    return F.when(title == "", named).otherwise(F.concat_ws(" ", title, named))
+        family = F.when(script == s, made).otherwise(family)
+    return F.when(F.instr(entity, " ") > 0, F.concat_ws(" ", given, family)).otherwise(family)
 
 
 def _syllables(script: str, stream: Column):
     return lambda i: _pick(SYLLABLES[script], _draw(stream, i, len(SYLLABLES[script])))
 
 
-def _drawn(kind: Column, entity: Column, attempt: Column, stream: Column) -> Column:
+def _drawn(kind: Column, entity: Column, attempt: Column, gender: Column, stream: Column) -> Column:
     """Canonical form of the surrogate of a canonical entity."""
     last_dot = F.length(entity) - F.length(F.substring_index(entity, ".", -1)) - 1
     # which characters are redrawn: from ``first`` on, up to ``end``
@@ -159,7 +187,7 @@ def _drawn(kind: Column, entity: Column, attempt: Column, stream: Column) -> Col
     body = _redrawn(F.substring(entity, F.lit(1), end), stream, first)
     tail = F.substring(entity, end + 1, F.length(entity))
     ip = F.array_join(F.transform(F.split(entity, r"\."), lambda p, i: (_draw(stream, i, 254) + 1).cast("string")), ".")
-    return F.when(kind == "name", _name(entity, stream, attempt)).when(kind == "ip", ip).when(kind == "card", F.concat(body, _check_digit(entity, body, stream))).when(kind == "phone", F.concat((_draw(stream, F.lit(30), 8) + 2).cast("string"), F.substring(body, F.lit(2), F.length(body)))).otherwise(F.concat(body, tail))
+    return F.when(kind == "name", _name(entity, stream, attempt, gender)).when(kind == "ip", ip).when(kind == "card", F.concat(body, _check_digit(entity, body, stream))).when(kind == "phone", F.concat((_draw(stream, F.lit(30), 8) + 2).cast("string"), F.substring(body, F.lit(2), F.length(body)))).otherwise(F.concat(body, tail))
 
 
 def _check_digit(entity: Column, body: Column, stream: Column) -> Column:
@@ -170,10 +198,10 @@ def _check_digit(entity: Column, body: Column, stream: Column) -> Column:
 
 
 def surrogates_of(key: str, entities: Column) -> Column:
-    """An array of structs with kind, entity and attempt, each with ``made`` in place of the attempt. The keyed
+    """An array of structs with kind, entity, attempt and gender, each with ``made`` in place of the attempt. The keyed
     digits of an entity are made once, before everything that is drawn from them."""
     streamed = F.transform(entities, lambda e: F.struct(e.alias("e"), _stream(key, e["kind"], e["entity"], e["attempt"]).alias("stream")))
-    return F.transform(streamed, lambda x: F.struct(x["e"].alias("e"), _drawn(x["e"]["kind"], x["e"]["entity"], x["e"]["attempt"], x["stream"]).alias("made")))
+    return F.transform(streamed, lambda x: F.struct(x["e"].alias("e"), _drawn(x["e"]["kind"], x["e"]["entity"], x["e"]["attempt"], x["e"]["gender"], x["stream"]).alias("made")))
 
 
 def written_like(mention: Column, kind: Column, made: Column) -> Column:
@@ -184,8 +212,10 @@ def written_like(mention: Column, kind: Column, made: Column) -> Column:
     numbered = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$") & (before(i, "[0-9]") > code), F.substring(made, (before(i, "[0-9]") - code).cast("int"), F.lit(1))).otherwise(c)), "")
     spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(made, before(i, "[^ ]").cast("int"), F.lit(1)))), "")
     cased = F.array_join(F.transform(chars, lambda c, i: F.when(c != F.lower(c), F.upper(F.substring(made, (i + 1).cast("int"), F.lit(1)))).otherwise(F.substring(made, (i + 1).cast("int"), F.lit(1)))), "")
-    dotted = F.when(F.instr(mention, ". ") > 0, F.regexp_replace(made, "^([^ ]+) ", "$1. ")).otherwise(made)
-    return F.when(kind.isin("card", "ssn", "phone"), numbered).when(kind == "iban", spaced).when(kind == "email", cased).when(kind == "name", dotted).otherwise(made)
+    bare = F.regexp_replace(F.regexp_replace(mention, _LEADING, ""), _POSSESSIVE, "")
+    person = F.when(bare == F.upper(bare), F.upper(made)).otherwise(F.initcap(made))
+    titled = F.concat(F.regexp_extract(mention, f"({_LEADING})?", 0), person, F.regexp_extract(mention, _POSSESSIVE, 0))
+    return F.when(kind.isin("card", "ssn", "phone"), numbered).when(kind == "iban", spaced).when(kind == "email", cased).when(kind == "name", titled).otherwise(made)
 
 
 def _first(column: Column) -> Column:
@@ -193,31 +223,37 @@ def _first(column: Column) -> Column:
 
 
 def _of_row(key: str) -> Column:
-    """The surrogate of a row's kind, entity and attempt."""
-    return _first(surrogates_of(key, F.array(F.struct("kind", "entity", "attempt"))))["made"]
+    """The surrogate of a row's kind, entity, attempt and gender."""
+    return _first(surrogates_of(key, F.array(F.struct("kind", "entity", "attempt", "gender"))))["made"]
 
 
 def _mentions(text: Column) -> Column:
-    """Distinct (kind, entity) of a text."""
+    """Distinct (kind, entity, title) of a text."""
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     each = F.transform(F.array_distinct(found), lambda m: F.struct(kind_of(m).alias("kind"), m.alias("mention")))
-    return F.array_distinct(F.transform(each, lambda e: F.struct(e["kind"].alias("kind"), canonical(e["kind"], e["mention"]).alias("entity"))))
+    return F.array_distinct(F.transform(each, lambda e: F.struct(e["kind"].alias("kind"), canonical(e["kind"], e["mention"]).alias("entity"), _title_gender(e["kind"], e["mention"]).alias("title"))))
 
 
 def retries(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY) -> DataFrame | None:
-    """(kind, entity, attempt) of the entities whose first surrogate collides; None if there are none."""
-    entities = docs.where(F.col(text).rlike(HINT)).select(F.explode(_mentions(F.col(text))).alias("e")).select("e.kind", "e.entity").groupBy("kind", "entity").agg(F.lit(0).alias("attempt"))
+    """(kind, entity, attempt, gender) of the entities whose first surrogate collides or whose gender some mention does
+    not tell; None if there are none."""
+    mentions = docs.where(F.col(text).rlike(HINT)).select(F.explode(_mentions(F.col(text))).alias("e")).select("e.kind", "e.entity", "e.title")
+    titles = {f"_{g or 'x'}": F.max(F.col("title") == g) for g in ("f", "m", "")}
+    entities = mentions.groupBy("kind", "entity").agg(F.lit(0).alias("attempt"), *(c.alias(n) for n, c in titles.items()))
+    one = F.when(F.col("_f") & ~F.col("_m"), "f").when(F.col("_m") & ~F.col("_f"), "m").otherwise("")
+    entities = entities.withColumn("gender", _gender(one, F.col("kind"), F.col("entity")))
+    untold = F.col("_x") & (_gender(F.lit(""), F.col("kind"), F.col("entity")) != F.col("gender"))
+    entities = entities.withColumn("mixed", (F.col("_f") & (F.col("gender") != "f")) | (F.col("_m") & (F.col("gender") != "m")) | untold).drop(*titles)
     entities = stored(entities.withColumn("made", _of_row(key)), "entities")
     real = entities.select("kind", F.col("entity").alias("made"))
-    bad = None
     while True:
         taken = entities.groupBy("kind", "made").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "made", F.col("first.entity").alias("owner"))
         twice = entities.join(taken, ["kind", "made"]).where("entity <> owner").select("kind", "entity")
         known = entities.join(real, ["kind", "made"], "left_semi").select("kind", "entity")
         again = stored(twice.unionByName(known).distinct(), "again")
         if not again.limit(1).count():
-            return None if bad is None else entities.where("attempt > 0").select("kind", "entity", "attempt")
-        bad = again
+            known = entities.where("attempt > 0 or mixed").select("kind", "entity", "attempt", "gender")
+            return known if known.limit(1).count() else None
         next_ = entities.join(again.withColumn("retry", F.lit(1)), ["kind", "entity"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("retry", F.lit(0)))
         entities = stored(next_.withColumn("made", F.when(F.col("retry") == 1, _of_row(key)).otherwise(F.col("made"))).drop("retry"), "entities")
 
@@ -230,17 +266,18 @@ def pseudonymised(docs: DataFrame, doc_key: str = "doc_id", text: str = "text",
     if attempts is not None:
         marked = docs.select(F.col(doc_key).alias("_k"), F.xxhash64(text).alias("_s"), F.when(column.rlike(HINT), _mentions(column)).alias("_m"))
         of_docs = marked.select("_k", "_s", F.explode("_m").alias("_e")).select("_k", "_s", F.col("_e.kind").alias("kind"), F.col("_e.entity").alias("entity")).join(attempts, ["kind", "entity"])
-        lists = of_docs.groupBy("_k", "_s").agg(F.collect_set(F.struct(F.concat_ws("|", "kind", "entity").alias("e"), "attempt")).alias("_again"))
+        lists = of_docs.groupBy("_k", "_s").agg(F.collect_set(F.struct(F.concat_ws("|", "kind", "entity").alias("e"), F.struct("attempt", "gender").alias("known"))).alias("_again"))
         rows = docs.withColumn("_stamp", F.xxhash64(text)).join(lists, docs[doc_key].eqNullSafe(lists["_k"]) & (F.col("_stamp") == lists["_s"]), "left")
         again = F.map_from_entries("_again")
     else:
-        again = F.lit(None).cast("map<string,int>")
+        again = F.lit(None).cast("map<string,struct<attempt:int,gender:string>>")
     mentions = F.when(column.rlike(HINT), F.regexp_extract_all(column, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("_found", mentions).withColumn("_tries", again)
 
     each = F.transform("_found", lambda m: F.struct(m.alias("mention"), kind_of(m).alias("kind")))
     each = F.transform(each, lambda e: F.struct(e["mention"].alias("mention"), e["kind"].alias("kind"), canonical(e["kind"], e["mention"]).alias("entity")))
-    each = F.transform(each, lambda e: F.struct(e["mention"].alias("mention"), e["kind"].alias("kind"), e["entity"].alias("entity"), F.coalesce(F.element_at("_tries", F.concat_ws("|", e["kind"], e["entity"])), F.lit(0)).alias("attempt")))
+    each = F.transform(each, lambda e: F.struct(e["mention"].alias("mention"), e["kind"].alias("kind"), e["entity"].alias("entity"), F.element_at("_tries", F.concat_ws("|", e["kind"], e["entity"])).alias("known")))
+    each = F.transform(each, lambda e: F.struct(e["mention"].alias("mention"), e["kind"].alias("kind"), e["entity"].alias("entity"), F.coalesce(e["known"]["attempt"], F.lit(0)).alias("attempt"), F.coalesce(e["known"]["gender"], _gender(_title_gender(e["kind"], e["mention"]), e["kind"], e["entity"])).alias("gender")))
     rows = rows.withColumn("_made", surrogates_of(key, each))
     rows = rows.withColumn(found, F.transform("_made", lambda x: F.struct(x["e"]["kind"].alias("kind"), written_like(x["e"]["mention"], x["e"]["kind"], x["made"]).alias("surrogate"))))
     between = F.when(F.size("_found") > 0, F.split(column, ANY, -1))

@@ -147,6 +147,32 @@ def test_surrogates_keep_type_gender_script_and_coreference(spark):
     assert got[3].text.endswith(f"$$$ {ips[0]}")
 
 
+def test_one_person_with_any_title_and_case(spark):
+    people = {
+        "smith": ["Mr. John Smith", "John Smith", "Dr John Smith", "JOHN SMITH", "MR. JOHN SMITH", "John SMITH"],
+        "weber": ["Dr. Anna Weber", "Frau Anna Weber", "Prof. Dr. Anna Weber", "Anna Weber", "ANNA WEBER"],
+        "maria": ["Anna Maria Weber", "Dr. Anna Maria Weber", "Frau Anna Maria Weber"],
+        "quince": ["Dr. Xavia Quince", "Mrs. Xavia Quince", "Prof. Xavia Quince"],
+        "kennedy": ["John F. Kennedy", "John F Kennedy", "Mr John F. Kennedy"],
+        "solo": ["Herr Weiß", "HERR WEISS", "Dr. Weiß"],
+    }
+    rows = [(i, f"so {m}, and {m}'s own; no more") for i, m in enumerate(m for ms in people.values() for m in ms)]
+    got = P.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = {r.doc_id: r for r in got}
+    made, i = {}, 0
+    for who, mentions in people.items():
+        for mention in mentions:
+            r = texts[i]
+            i += 1
+            assert [e.kind for e in r._entities] == ["name", "name"] and r._entities[1].surrogate == r._entities[0].surrogate + "'s"
+            title = re.match(r"(?:(?:Mrs?|MR|Dr|Prof|Frau|Herr|HERR)\.? )*", mention)[0]
+            assert r._entities[0].surrogate.startswith(title)
+            made.setdefault(who, set()).add(r._entities[0].surrogate[len(title) :].lower())
+            assert not re.search("smith|weber|maria weber|quince|kennedy|weiß|weiss", r.text, re.I)
+    assert all(len(x) == 1 for x in made.values()) and len(set.union(*made.values())) == len(people)
+    assert {n.lower() for n in P.GIVEN["f", "latin"]} >= {s.split()[0] for who in ("weber", "maria", "quince") for s in made[who]}
+
+
 def test_distinct_entities_stay_distinct(spark):
     """A key space smaller than a birthday's worth: ids of nine digits would not collide, addresses of two parts do."""
     rows = [(i, f"a{i // 100}{i % 100:02d}@b.c and 1.2.{i // 250}.{i % 250} or Mr {'ABCDEFGHIJ'[i % 10]}{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'aeiou'[i % 5]}{'bcdfgh'[i // 400]}{chr(97 + i // 26 % 26)}n") for i in range(2000)]
