@@ -229,9 +229,11 @@ def _found(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFr
     if labels is not None:
         per_node = per_node.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         per_comp = per_node.groupBy("comp").agg(F.min("least").alias("component"))
-        per_node = per_node.join(per_comp, "comp").select("node", F.col("component").alias("least"))
+        per_node = per_node.join(per_comp, "comp").select("node", F.col("component").alias("least"), "comp")
+    else:
+        per_node = per_node.withColumn("comp", F.col("node"))
     joined = out.join(per_node, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("least")))
-    return joined.select("key", "stamp", "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
+    return joined.select("key", "stamp", "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"), "comp")
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -307,12 +309,14 @@ def _linked(at: np.ndarray, shingles: np.ndarray, percent: int, step: int = 2048
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 80) -> DataFrame:
     """One row of each component, all columns as they are: of the rows whose key is the component's smallest.
-    A row without a key stays unless its component has a row with one or an equal text has stayed."""
-    keep = _found(docs, key, text, k, percent).where("kept").select(F.col("key").alias("_key"), F.col("stamp").alias("_stamp")).distinct()
-    mark, unkeyed = _unused(docs, "stamp"), _unused(docs, "unkeyed")
-    marked = docs.withColumns({mark: F.xxhash64(text), unkeyed: F.when(F.col(key).isNull(), F.xxhash64(text))})
-    rows = marked.join(keep, marked[key].eqNullSafe(keep["_key"]) & (marked[mark] == keep["_stamp"]), "left_semi")
-    return rows.dropDuplicates([key, unkeyed]).select(docs.columns)
+    Components with the same smallest key keep a row each, and so does a component without a key. Rows without words
+    are components of their own; of those with equal key and text one stays."""
+    found = _found(docs, key, text, k, percent).where("kept")
+    mark, own, alone = (_unused(docs, name) for name in ("stamp", "comp", "alone"))
+    keep = found.groupBy(F.col("key").alias("_key"), F.col("stamp").alias("_stamp")).agg(F.min("comp").alias(own))
+    marked = docs.withColumn(mark, F.xxhash64(text)).alias("docs")
+    rows = marked.join(keep.alias("keep"), F.col(f"docs.{key}").eqNullSafe(F.col("keep._key")) & (F.col(f"docs.{mark}") == F.col("keep._stamp"))).select("docs.*", own)
+    return rows.withColumn(alone, F.when(F.col(own).isNull(), F.col(mark))).dropDuplicates([key, own, alone]).select(docs.columns)
 
 
 def _unused(docs: DataFrame, name: str) -> str:

@@ -122,6 +122,14 @@ def test_one_of_each_stays(spark):
     assert {r.doc_id for r in M.drop_near_duplicates(documents(spark)).collect()} == kept
 
 
+def test_each_component_of_one_key_keeps_a_row(spark):
+    texts = ["one", "two", "alpha beta gamma delta epsilon zeta", "alpha beta gamma delta epsilon zeta", "ALPHA beta gamma delta epsilon zeta", None, "", ""]
+    rows = [(7, t) for t in texts] + [(9, "two"), (None, "three"), (None, "THREE"), (None, "four"), (None, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, str(r.text).lower()) for r in M.drop_near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(7, "one"), (7, "two"), (7, texts[2]), (7, "none"), (7, ""), (None, "three"), (None, "four")], key=str)
+
+
 def test_small_sets_keep_recall(spark):
     """Five shingles against four: similarity 0.8 with few filled bins."""
     rows = [(i, " ".join(f"{'abcdefghij'[j]}{i // 2}" for j in range(8 - i % 2))) for i in range(400)]
