@@ -29,15 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from farelake.llm.tables import stored
 from farelake.llm.text_arrays import Texts, chunks, grams, inside, mix
 
 BANDS, ROWS = 32, 4
-#: Rounds of stars, each with twice the centres of the one before, and the size of a block of what they leave open.
+#: Rounds of stars, each with twice the centres of the one before, and the size of a block of what they leave open:
+#: shingles, and nodes, as two blocks are compared in matrices of all their nodes.
 STAR_ROUNDS = 2
 BLOCK_SHINGLES = 1 << 17
+BLOCK_NODES = 1 << 11
 BINS = BANDS * ROWS
 _BIN_SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 
@@ -246,9 +248,9 @@ def _open(members: DataFrame, percent: int) -> DataFrame:
     """The members that may still link to another component in their bucket: buckets of one component are done, and
     so is a node whose best possible partner there, a set of the bucket's least size or within the node's
     shared shingles, is too far."""
-    buckets = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("n_least"), F.sum("n").alias("weight")).where("lo < hi")
+    buckets = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("n_least"), F.sum("n").alias("weight"), F.count(F.lit(1)).alias("nodes")).where("lo < hi")
     best = f"100 * shared >= {percent} * (n + greatest(n_least, shared) - shared)"
-    return members.select("bucket", "node", "n", "shared", "comp").join(buckets, "bucket").where(best).select("bucket", "node", "n", "shared", "comp", "weight")
+    return members.select("bucket", "node", "n", "shared", "comp").join(buckets, "bucket").where(best).select("bucket", "node", "n", "shared", "comp", "weight", "nodes")
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -264,11 +266,16 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return stored(moved.unionByName(merged.join(labels.select("node"), "node", "left_anti")), "labels")
 
 
+def _cuts() -> Column:
+    """Into how many blocks a bucket of ``weight`` shingles and ``nodes`` nodes is cut."""
+    return F.greatest(F.ceil(F.col("weight") / BLOCK_SHINGLES), F.ceil(F.col("nodes") / BLOCK_NODES)).cast("int")
+
+
 def _confirm_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components inside the buckets that stars have left open. A bucket is cut into blocks of about
-    BLOCK_SHINGLES, and each two of its blocks are compared in one task by counting common shingles; no pair becomes
+    BLOCK_SHINGLES, or of about BLOCK_NODES if that is less, and each two of its blocks are compared in one task by counting common shingles; no pair becomes
     a row, and of the links between two components one is returned."""
-    cuts = F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")
+    cuts = _cuts()
     block = F.pmod(F.xxhash64("node"), cuts).cast("int")
     blocks = members.withColumns({"cuts": cuts, "block": block})
     other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
@@ -289,8 +296,9 @@ def _confirm_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def _linked(at: np.ndarray, shingles: np.ndarray, percent: int, step: int = 2048) -> np.ndarray:
-    """Which two of the sets shingles[at[i]:at[i + 1]] are linked, by products of 0-1 matrices ``step`` shingles wide."""
+def _linked(at: np.ndarray, shingles: np.ndarray, percent: int, step: int = 2048, rows: int = 512) -> np.ndarray:
+    """Which two of the sets shingles[at[i]:at[i + 1]] are linked, by products of 0-1 matrices ``step`` shingles wide,
+    ``rows`` sets at a time."""
     n = np.diff(at)
     values, column = np.unique(shingles[at[0] : at[-1]], return_inverse=True)
     twice = np.bincount(column, minlength=len(values)) > 1
@@ -303,8 +311,13 @@ def _linked(at: np.ndarray, shingles: np.ndarray, percent: int, step: int = 2048
         lo, hi = np.searchsorted(place, (k, k + step))
         some = np.zeros((len(n), step), np.float32)
         some[row[lo:hi], place[lo:hi] - k] = 1
-        common += some @ some.T
-    return 100 * common >= percent * (n[:, None] + n[None] - common)
+        for r in range(0, len(n), rows):
+            common[r : r + rows] += some[r : r + rows] @ some.T
+    linked = np.empty(common.shape, bool)
+    for r in range(0, len(n), rows):
+        part = common[r : r + rows]
+        linked[r : r + rows] = 100 * part >= percent * (n[r : r + rows, None] + n[None] - part)
+    return linked
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 80) -> DataFrame:

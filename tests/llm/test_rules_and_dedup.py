@@ -135,3 +135,27 @@ def test_small_sets_keep_recall(spark):
     rows = [(i, " ".join(f"{'abcdefghij'[j]}{i // 2}" for j in range(8 - i % 2))) for i in range(400)]
     got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
+
+
+def test_blocks_are_bounded_by_nodes(spark):
+    """Many short sets that share most shingles and are not linked: few shingles, many nodes."""
+    import tracemalloc
+
+    import numpy as np
+
+    sizes = spark.createDataFrame([(5 * 26_000, 26_000), (10**7, 100), (10, 2)], "weight long, nodes long")
+    assert [r.c for r in sizes.select(M._cuts().alias("c")).collect()] == [-(-26_000 // M.BLOCK_NODES), 77, 1]
+    n = 2 * M.BLOCK_NODES
+    sets = np.array([[1, 2, 3, 4, 100 + i // 2] for i in range(n)], np.uint64)
+    tracemalloc.start()
+    linked = M._linked(np.arange(n + 1) * 5, sets.ravel(), 80)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    assert (linked == (np.arange(n)[:, None] // 2 == np.arange(n)[None] // 2)).all()
+    rows = [(i, f"w1 w2 w3 w4 w5 w6 w7 x{i}") for i in range(300)] + [(300, "w1 w2 w3 w4 w5 w6 w7")]
+    old = M.STAR_ROUNDS, M.BLOCK_NODES
+    try:
+        M.STAR_ROUNDS, M.BLOCK_NODES = 0, 64
+        assert found(spark.createDataFrame(rows, "doc_id long, text string")) == plain_components(rows)
+    finally:
+        M.STAR_ROUNDS, M.BLOCK_NODES = old
