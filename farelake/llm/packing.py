@@ -3,8 +3,8 @@
 Pass 1 tokenises each document where it lies and writes its ids with its offset inside its task. The tasks'
 token totals (one row a task) are summed to give every task its place in the corpus-wide stream, so pass 2 knows
 each document's global offset without moving a document. The stream is cut into windows of ``length`` ids; a
-document's pieces are the parts of it in each window. Windows that reach over a task's edge are recorded
-as boundary pieces and are the only ones that ``sequences`` must bring together from two tasks.
+document's pieces are the parts of it in each window. Boundary records (of the windows that reach over a task's edge)
+are not built: ``sequences`` groups and shuffles every piece.
 
 All windows are full but the last, so the padding of the whole corpus is less than one window.
 
