@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from farelake.llm.tables import stored
-from farelake.llm.vectors import arrays, block_count, finite, met, numbered, widened
+from farelake.llm.vectors import arrays, arrow_type, block_count, finite, met, numbered, widened
 
 #: Columns read between two looks at the bounds.
 STEP = 8
@@ -122,9 +122,7 @@ def within(windows: list[tuple[int, int]], k: int) -> Callable:
 
 
 def _opened(scale: int) -> Callable:
-    def opened(table: pa.Table) -> Columns:
-        part = {c: table.column(c).combine_chunks() for c in table.column_names}
-        part = {c: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for c, x in part.items()}
+    def opened(part: dict[str, pa.Array]) -> Columns:
         key, label = (part[c].to_numpy(zero_copy_only=False) for c in ("key", "label"))
         return Columns(part["row"].to_numpy(), key, label, _quantised(part["vec"], scale))
 
@@ -167,7 +165,7 @@ def positives(rows: DataFrame, anchors: DataFrame, n_blocks: int, k: int, scale:
             out["score"] += list(scores[took])
         yield pa.RecordBatch.from_arrays([pa.array(out["anchor"], pa.int64()), pa.array(out["key"], rows_key), _longs(out["score"])], ["anchor", "key", "score"])
 
-    rows_key = _arrow_of(key_type)
+    rows_key = arrow_type(key_type)
     found = met(rows, anchors, n_blocks, _opened(scale), ask, f"anchor long, key {key_type}, score long")
     rank = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("score"), "key"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -177,7 +175,7 @@ def negatives(rows: DataFrame, asked: DataFrame, n_blocks: int, k: int, scale: i
     """(anchor, rank, key, score): of each block, the ``k`` best rows of other labels in the window of the anchor's
     positive of that rank. ``asked``: anchors with ``scores``, those of their positives."""
     key_type = rows.schema["key"].dataType.simpleString()
-    rows_key = _arrow_of(key_type)
+    rows_key = arrow_type(key_type)
 
     def ask(block: Columns, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = {"anchor": [], "rank": [], "key": [], "score": []}
@@ -202,13 +200,6 @@ def negatives(rows: DataFrame, asked: DataFrame, n_blocks: int, k: int, scale: i
     return met(rows, asked, n_blocks, _opened(scale), ask, f"anchor long, rank int, key {key_type}, score long")
 
 
-def _arrow_of(simple: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_type(_parse_datatype_string(simple))
-
-
 def mine(vectors: DataFrame, is_anchor: Column, key: str = "vec_id", label: str = "label", vector: str = "embedding", n_positives: int = 5, n_negatives: int = 3, low: int = 50, high: int = 95, scale: int = 256) -> DataFrame:
     """One row per hard negative: anchor, positive and negative keys, the positive's rank among the anchor's, the rank
     of the negative in the window from ``low`` to ``high`` per cent of the positive's score, and both scores.

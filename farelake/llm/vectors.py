@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from farelake.llm.tables import stored
 
@@ -45,6 +46,16 @@ def arrays(column: pa.Array) -> np.ndarray:
     return out
 
 
+def single(table: pa.Table) -> dict[str, pa.Array]:
+    """Each column of a table as one array."""
+    return {c: pa.concat_arrays(table.column(c).chunks) for c in table.column_names}
+
+
+def arrow_type(simple: str) -> pa.DataType:
+    """The Arrow type of a Spark type's name."""
+    return to_arrow_type(T._parse_datatype_string(simple))
+
+
 def widened(matrix: np.ndarray, width: int) -> np.ndarray:
     """The matrix with just ``width`` columns: zeros added, or cut (where the other side has zeros)."""
     have = matrix.shape[1]
@@ -55,7 +66,7 @@ def met(rows: DataFrame, queries: DataFrame, n_blocks: int, open_block: Callable
     """Every block of ``rows`` is opened once, in one task, and asked all queries dealt to it, a batch at a time.
 
     ``rows`` are dealt by ``block`` (by default evenly over all), ``queries`` go to their ``blocks`` (by default to
-    each). ``open_block`` makes something of a block's table; ``ask(opened, batch)`` gives record batches of ``schema``.
+    each). ``open_block`` makes something of a block's columns; ``ask(opened, batch)`` gives record batches of ``schema``.
     A task holds one block and one batch of queries.
     """
     block = F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int") if block is None else block
@@ -75,7 +86,7 @@ def met(rows: DataFrame, queries: DataFrame, n_blocks: int, open_block: Callable
                 if not asks[a]:
                     parts.append(pa.RecordBatch.from_struct_array(batch.column(2).slice(a, b - a)))
                 elif parts:
-                    opened = open_block(pa.Table.from_batches(parts).combine_chunks()) if opened is None else opened
+                    opened = open_block(single(pa.Table.from_batches(parts))) if opened is None else opened
                     yield from ask(opened, pa.RecordBatch.from_struct_array(batch.column(3).slice(a, b - a)))
 
     return dealt.mapInArrow(work, schema)
