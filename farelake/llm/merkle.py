@@ -31,7 +31,6 @@ from farelake.llm.tables import stored
 #: Levels that one task builds: it holds 2 ** LAYER nodes and those above them.
 LAYER = 12
 TOP = "top"
-NODES = "tree string, level int, pos long, hash string"
 
 
 def digest(*parts: str) -> str:
@@ -72,15 +71,15 @@ def positions(rows: DataFrame, part: str, order: list[str], what: str) -> DataFr
     return placed.select(*kept, (F.col("_before") + F.col("_at") - F.col("_first")).alias("pos"), "n")
 
 
-def _layer(nodes: DataFrame) -> DataFrame:
-    """All nodes above ``nodes`` (tree, n leaves, level, pos, hash: whole levels of their trees) up to the next layer."""
+def _layer(nodes: DataFrame, levels: int) -> DataFrame:
+    """All nodes above ``nodes`` (tree, n leaves, level, pos, hash: whole levels of their trees), so many levels up."""
 
     def build(group: pa.Table) -> pa.Table:
         rows = sorted(zip(group.column("pos").to_pylist(), group.column("hash").to_pylist()))
         tree, n, level = (group.column(c)[0].as_py() for c in ("tree", "n", "level"))
         first, hashes = rows[0][0], [h for _, h in rows]
         out = {"level": [], "pos": [], "hash": []}
-        for up in range(level + 1, min(level + LAYER, depth_of(n)) + 1):
+        for up in range(level + 1, min(level + levels, depth_of(n)) + 1):
             hashes, first = [digest(*hashes[i : i + 2]) for i in range(0, len(hashes), 2)], first >> 1
             out["level"] += [up] * len(hashes)
             out["pos"] += range(first, first + len(hashes))
@@ -88,18 +87,18 @@ def _layer(nodes: DataFrame) -> DataFrame:
         k = len(out["pos"])
         return pa.table({"tree": pa.array([tree] * k, pa.string()), "n": pa.array([n] * k, pa.int64()), "level": pa.array(out["level"], pa.int32()), "pos": pa.array(out["pos"], pa.int64()), "hash": pa.array(out["hash"], pa.string())})
 
-    groups = nodes.withColumn("_group", F.shiftright("pos", LAYER)).groupBy("tree", "_group")
+    groups = nodes.withColumn("_group", F.shiftright("pos", levels)).groupBy("tree", "_group")
     return groups.applyInArrow(build, "tree string, n long, level int, pos long, hash string")
 
 
-def trees(leaves: DataFrame, what: str) -> DataFrame:
+def trees(leaves: DataFrame, what: str, levels: int = LAYER) -> DataFrame:
     """All nodes of all trees: (tree, n, level, pos, hash), from leaves (tree, n, pos, hash)."""
     done = layer = leaves.select("tree", "n", F.lit(0).alias("level"), "pos", "hash")
     level, most = 0, leaves.agg(F.max("n")).first()[0] or 0
     while level < depth_of(most):
-        layer = stored(_layer(layer), f"{what}_{level}")
+        layer = stored(_layer(layer, levels), f"{what}_{level}")
         done = done.unionByName(layer)
-        level += LAYER
+        level += levels
         layer = layer.where((F.col("level") == level) & (F.col("n") > (1 << level)))
     return done
 
@@ -107,23 +106,24 @@ def trees(leaves: DataFrame, what: str) -> DataFrame:
 class Manifest:
     """The leaves (the given columns, leaf, tree, pos, n, top_pos, n_top, subroot) and nodes of a dataset."""
 
-    def __init__(self, leaves: DataFrame, nodes: DataFrame):
-        self.leaves, self.nodes = leaves, nodes
+    def __init__(self, leaves: DataFrame, nodes: DataFrame, levels: int):
+        self.leaves, self.nodes, self.levels = leaves, nodes, levels
 
 
-def manifest(rows: DataFrame, key: str, part: str, leaf: Column, **kept: Column) -> Manifest:
-    """Trees over ``rows``. ``leaf`` is an expression over their columns; so are the further columns ``kept`` with the leaves."""
+def manifest(rows: DataFrame, key: str, part: str, leaf: Column, levels: int = LAYER, **kept: Column) -> Manifest:
+    """Trees over ``rows``. ``leaf`` is an expression over their columns; so are the further columns ``kept`` with
+    the leaves. A task builds so many ``levels`` at a time."""
     chosen = rows.select(F.col(key).alias("key"), F.col(part).alias("part"), leaf.alias("leaf"), *(c.alias(n) for n, c in kept.items()))
     chosen = stored(chosen.withColumn("row", F.monotonically_increasing_id()), "leaf_rows")
     leaves = positions(chosen, "part", ["key", "leaf"], "leaf_ranges").withColumn("tree", _tree_of(F.col("part"))).drop("row")
     leaves = stored(leaves, "leaves")
-    nodes = trees(leaves.withColumnRenamed("leaf", "hash"), "nodes")
+    nodes = trees(leaves.withColumnRenamed("leaf", "hash"), "nodes", levels)
     subroots = nodes.where((F.col("pos") == 0) & (_depth("n") == F.col("level")))
     subroots = subroots.select("tree", F.col("hash").alias("subroot")).join(leaves.where("pos = 0").select("tree", "part"), "tree")
     tops = positions(stored(subroots.withColumn("row", F.monotonically_increasing_id()).withColumn("all", F.lit(TOP)), "subroots"), "all", ["part"], "subroot_ranges")
     tops = stored(tops.select("tree", "subroot", F.col("pos").alias("top_pos"), F.col("n").alias("n_top")), "tops")
-    top = trees(tops.select(F.lit(TOP).alias("tree"), F.col("n_top").alias("n"), F.col("top_pos").alias("pos"), F.col("subroot").alias("hash")), "top")
-    return Manifest(leaves.join(tops, "tree"), nodes.unionByName(top))
+    top = trees(tops.select(F.lit(TOP).alias("tree"), F.col("n_top").alias("n"), F.col("top_pos").alias("pos"), F.col("subroot").alias("hash")), "top", levels)
+    return Manifest(leaves.join(tops, "tree"), nodes.unionByName(top), levels)
 
 
 def _depth(n: str) -> Column:
@@ -173,7 +173,7 @@ def fold(leaf: str, proof: list[str], pos: int, n: int, top_pos: int, n_top: int
 def proofs(of: Manifest, targets: DataFrame) -> DataFrame:
     """``targets`` (rows of ``of.leaves``) with proof: an array of siblings, from the leaf up to the root, and root."""
     names, column_types = targets.columns, {f.name: f.dataType.simpleString() for f in targets.schema}
-    grouped = targets.withColumn("_group", F.shiftright("pos", LAYER))
+    grouped = targets.withColumn("_group", F.shiftright("pos", of.levels))
 
     def wanted(group: pa.Table) -> pa.Table:
         n, top_pos, n_top = (group.column(c)[0].as_py() for c in ("n", "top_pos", "n_top"))
@@ -185,8 +185,8 @@ def proofs(of: Manifest, targets: DataFrame) -> DataFrame:
 
     asked = stored(grouped.select("tree", "_group", "pos", "n", "top_pos", "n_top").groupBy("tree", "_group").applyInArrow(wanted, "leaf_tree string, leaf_group long, tree string, level int, pos long"), "coordinates")
     # only the layers that somebody asks for are read; if all rows of a group are asked for, its own layer is not
-    layers = [r[0] for r in asked.groupBy(F.floor(F.col("level") / LAYER).alias("layer")).count().collect()]  # one row a layer
-    here = F.floor(F.col("level") / LAYER).isin(layers or [0])
+    layers = [r[0] for r in asked.groupBy(F.floor(F.col("level") / of.levels).alias("layer")).count().collect()]  # one row a layer
+    here = F.floor(F.col("level") / of.levels).isin(layers or [0])
     fetched = asked.where(here).join(of.nodes.where(here).select("tree", "level", "pos", "hash"), ["tree", "level", "pos"])
     fetched = fetched.select(F.col("leaf_tree").alias("tree"), F.col("leaf_group").alias("_group"), (F.col("tree") == TOP).alias("top"), "level", "pos", "hash")
 
