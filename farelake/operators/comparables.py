@@ -9,18 +9,22 @@ Exact and scale-safe without comparing every query with every row:
 1. *Skew reduction.* Rows with the same scoring tuple (class, route, airline, stops, km, h,
    days) score identically for every query, so only the first k of each tuple (by the
    tie-break) can ever be chosen: a per-tuple ``row_number() <= k`` (partial WindowGroupLimit
-   before the shuffle) bounds the history by its *domain*, not its volume — a route holding a
-   third of all rows shrinks to k rows per tuple.
+   before the shuffle) bounds the history by its *domain*, not its volume. Equal queries are
+   asked once and their answer joined back. Both tables are written once.
 2. *Grid.* Scaled coordinates (km/300, h/2, days/8) are bucketed into unit cells.
-3. *Seed bound.* Each query is joined to same-route rows in its own and adjacent cells
-   (equi-join on class, route and cell); the k-th best seed score is an upper bound τ on the
-   final k-th score (+∞ if fewer than k seeds).
+3. *Seed bound.* Each query is joined to its own route and to the cells around its place (moved
+   to the edge of the occupied grid if it is outside); the k-th best score is an upper bound τ
+   on the final k-th score. Queries that met fewer than k rows look in a wider ring, up to the
+   whole grid.
 4. *Exact candidates.* The bonus of a row is at most 11.3 (same route), 3.3 (reverse route)
-   or 1.3 (any other row), so a row can only beat τ if its squared feature distance is below
-   τ + bonus. Each kind is joined over the cells within that radius (route-keyed for exact
-   and reverse rows, 3-D cube for the rest). Queries without a finite τ take their whole
-   class pool (rare: routes absent from history).
-5. Candidates are scored and ``row_number() <= k`` per query picks the answer.
+   or 1.3 (any other row), so any other row can only reach τ inside the ball of squared radius
+   τ + 1.3. The query is exploded over the cells that the ball touches, one dimension after the
+   other, each with what the dimensions before leave of the radius. Its own and the reverse
+   route are joined whole (they are bounded by their domain).
+5. Candidates with a score above τ go at once; ``row_number() <= k`` per query picks the answer.
+
+The exploded (query, cell) rows are dealt by cell and salt to a fixed number of partitions before
+the join, so that neither a small table nor a busy cell decides how many tasks work.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from farelake.session import written_table
+
 # --- Fixed values (scoring and defaults) ---
 SCALE_KM, SCALE_H, SCALE_DAYS = 300.0, 2.0, 8.0
 BONUS_EXACT, BONUS_REVERSE, BONUS_AIRLINE, BONUS_STOPS = 10.0, 2.0, 0.8, 0.5
@@ -35,8 +41,6 @@ HIST_DAYS_FILL = 26.0
 DEFAULT_K = 8
 PREDICTION_K = 6
 # --- end ---
-MAX_BONUS_EXACT = BONUS_EXACT + BONUS_AIRLINE + BONUS_STOPS
-MAX_BONUS_REVERSE = BONUS_REVERSE + BONUS_AIRLINE + BONUS_STOPS
 MAX_BONUS_OTHER = BONUS_AIRLINE + BONUS_STOPS
 
 TIE_BREAK = ["price", "source_city", "destination_city", "airline", "stops", "duration", "days_left", "flight", "departure_time", "arrival_time"]
@@ -71,8 +75,8 @@ def prepare_history(history: DataFrame, k: int) -> DataFrame:
     )
 
 
-def prepare_queries(queries: DataFrame, hist_classes: DataFrame, qid: str) -> DataFrame:
-    """Title-cased query keys and cells; ``pool_class`` is the class, or each history class when absent."""
+def prepare_queries(queries: DataFrame, hist_classes: list[str], qid: str) -> DataFrame:
+    """Title-cased query keys and scaled places; ``pool_class`` is the class, or each history class when absent."""
     q = queries.select(
         F.col(qid).alias("qid"),
         _title(F.coalesce(F.col("class"), F.lit("Economy"))).alias("q_class"),
@@ -84,15 +88,16 @@ def prepare_queries(queries: DataFrame, hist_classes: DataFrame, qid: str) -> Da
         F.coalesce(F.col("duration"), F.lit(2.0)).cast("double").alias("q_h"),
         F.coalesce(F.col("days_left"), F.lit(15.0)).cast("double").alias("q_days"),
     )
-    classes = F.broadcast(hist_classes.agg(F.collect_set("h_class").alias("_classes")))  # <= a handful of classes
-    q = q.crossJoin(classes).withColumn(
-        "pool_class", F.explode(F.when(F.array_contains("_classes", F.col("q_class")), F.array("q_class")).otherwise(F.col("_classes")))
-    )
-    return q.drop("_classes").withColumns(
+    classes = F.array(*map(F.lit, hist_classes)).cast("array<string>")
+    return q.withColumn("pool_class", F.explode(F.when(F.array_contains(classes, F.col("q_class")), F.array("q_class")).otherwise(classes)))
+
+
+def _placed(q: DataFrame) -> DataFrame:
+    return q.withColumns(
         {
-            "qu": F.floor(F.col("q_km") / SCALE_KM),  # bigint cells, like the history's
-            "qv": F.floor(F.col("q_h") / SCALE_H),
-            "qw": F.floor(F.col("q_days") / SCALE_DAYS),
+            "qu": F.col("q_km") / SCALE_KM,
+            "qv": F.col("q_h") / SCALE_H,
+            "qw": F.col("q_days") / SCALE_DAYS,
             "q_both": (F.col("q_src") != "") & (F.col("q_dst") != ""),
         }
     )
@@ -116,89 +121,106 @@ def _score() -> Column:
     return F.round(s, 6)
 
 
-def _cells(center: Column, r: Column, lo: Column, hi: Column) -> Column:
-    """Cell indices within ``r`` of ``center``, clamped to the occupied range [lo, hi] (empty if disjoint)."""
-    a, b = F.greatest(center - r, lo), F.least(center + r, hi)
-    return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
-
-
-def _route_cells(q: DataFrame, radius: Column, src: str, dst: str) -> DataFrame:
-    """Explode queries over occupied (cv, cw) cells within ``radius`` of their own, keyed by a route."""
-    e = q.withColumn("_r", radius.cast("long")).filter(F.col("_r").isNotNull() & (F.col("_r") >= 0))
-    e = e.withColumn("k_v", F.explode(_cells(F.col("qv"), F.col("_r"), F.col("lo_v"), F.col("hi_v"))))
-    e = e.withColumn("k_w", F.explode(_cells(F.col("qw"), F.col("_r"), F.col("lo_w"), F.col("hi_w"))))
-    return e.withColumns({"k_src": F.col(src), "k_dst": F.col(dst)})
-
-
-def _join_route(qx: DataFrame, h: DataFrame) -> DataFrame:
-    return qx.join(
-        h,
-        (qx["pool_class"] == h["h_class"]) & (qx["k_src"] == h["h_src"]) & (qx["k_dst"] == h["h_dst"])
-        & (qx["k_v"] == h["cv"]) & (qx["k_w"] == h["cw"]),
-    )
-
-
-def _topk(c: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("qid").orderBy("score", *[F.col(x).asc_nulls_first() for x in TIE_BREAK])
+def _topk(c: DataFrame, k: int, qid: str = "qid") -> DataFrame:
+    w = Window.partitionBy(qid).orderBy("score", *[F.col(x).asc_nulls_first() for x in TIE_BREAK])
     return c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _radius(tau: Column, bonus: float) -> Column:
-    """Cell radius covering squared distance <= tau + bonus (+1e-6 for the 6-decimal score rounding).
-
-    Rows outside it have score > tau strictly, so they can neither beat nor tie the k-th seed.
-    """
-    t = tau + bonus + 1e-6
-    return F.when(t >= 0, F.floor(F.sqrt(t)) + 1)
-
-
-def _cube(q: DataFrame, radius: Column) -> DataFrame:
-    """Explode queries over the 3-D cells within ``radius`` (Chebyshev) of their own cell."""
-    c = q.withColumn("_r", radius.cast("long")).filter(F.col("_r").isNotNull() & (F.col("_r") >= 0))
-    for d in ("u", "v", "w"):
-        c = c.withColumn(f"k_{d}", F.explode(_cells(F.col(f"q{d}"), F.col("_r"), F.col(f"lo_{d}"), F.col(f"hi_{d}"))))
-    return c
-
-
-def _join_cube(cx: DataFrame, h: DataFrame, exclude_routes: bool) -> DataFrame:
-    cond = (cx["pool_class"] == h["h_class"]) & (cx["k_u"] == h["cu"]) & (cx["k_v"] == h["cv"]) & (cx["k_w"] == h["cw"])
-    if exclude_routes:
-        cond = cond & ~((h["h_src"] == cx["q_src"]) & (h["h_dst"] == cx["q_dst"])) & ~((h["h_src"] == cx["q_dst"]) & (h["h_dst"] == cx["q_src"]))
-    return cx.join(h, cond)
+class Grid:
+    """The prepared history by cells, and how (query, cell) rows meet it."""
+
+    def __init__(self, h: DataFrame):
+        ends = h.agg(*[x for d in "uvw" for x in (F.min(f"c{d}").alias(f"lo_{d}"), F.max(f"c{d}").alias(f"hi_{d}"))]).first()
+        self.ends = {d: (ends[f"lo_{d}"], ends[f"hi_{d}"]) for d in "uvw"}  # of the occupied cells
+        self.history, spark = h, h.sparkSession
+        self.partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("c_salt")
+        self.salted = h.select("*", salts)
+
+    def _range(self, d: str, first: Column, last: Column) -> Column:
+        """Occupied cells of a dimension from ``first`` to ``last`` (empty if there are none)."""
+        lo, hi = self.ends[d]
+        a, b = F.greatest(first, F.lit(lo)), F.least(last, F.lit(hi))
+        return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+
+    def box(self, q: DataFrame, radius: int) -> DataFrame:
+        """Query rows, one for each cell up to ``radius`` cells from their place moved into the grid."""
+        for d in "uvw":
+            lo, hi = self.ends[d]
+            own = F.greatest(F.least(F.floor(f"q{d}"), F.lit(hi)), F.lit(lo))
+            q = q.withColumn(f"k_{d}", F.explode(self._range(d, own - radius, own + radius)))
+        return q
+
+    def ball(self, q: DataFrame, squared: Column) -> DataFrame:
+        """Query rows, one for each cell that has a point within the squared radius."""
+        q = q.withColumn("_left", squared).filter("_left >= 0")
+        for d in "uvw":
+            at, reach = F.col(f"q{d}"), F.least(F.sqrt("_left"), F.lit(1e9))
+            q = q.withColumn(f"k_{d}", F.explode(self._range(d, F.floor(at - reach), F.floor(at + reach))))
+            short = F.greatest(F.col(f"k_{d}") - at, at - F.col(f"k_{d}") - 1, F.lit(0.0))
+            q = q.withColumn("_left", F.col("_left") - short * short).filter("_left >= 0")
+        return q.drop("_left")
+
+    def meet(self, cells: DataFrame, other: Column) -> DataFrame:
+        """Scored rows of the queries' cells that ``other`` allows."""
+        cells = cells.withColumn("k_salt", F.pmod(F.xxhash64("qkey"), F.lit(SALTS)).cast("int"))
+        keys = {"pool_class": "h_class", "k_u": "cu", "k_v": "cv", "k_w": "cw", "k_salt": "c_salt"}
+        dealt = cells.repartition(self.partitions, *keys)
+        met = dealt.join(self.salted, [F.col(a) == F.col(b) for a, b in keys.items()])
+        return met.filter(other).withColumn("score", _score())
+
+    def route(self, q: DataFrame, src: str, dst: str) -> DataFrame:
+        """Scored rows of a route."""
+        keys = {"pool_class": "h_class", src: "h_src", dst: "h_dst"}
+        return q.join(self.history, [F.col(a) == F.col(b) for a, b in keys.items()]).withColumn("score", _score())
+
+
+#: Parts that the queries of a cell are dealt to.
+SALTS = 4
+
+
+def _not_route(src: str, dst: str) -> Column:
+    return ~F.coalesce((F.col("h_src") == F.col(src)) & (F.col("h_dst") == F.col(dst)), F.lit(False))
+
+
+def _bounds(q: DataFrame, grid: Grid, k: int) -> DataFrame:
+    """(qkey, tau): an upper bound on each query's k-th score (none where the pool has fewer than k rows)."""
+    widest = max(hi - lo for lo, hi in grid.ends.values()) + 1
+    radius, rest, found = 1, q, None
+    while True:
+        seeds = grid.route(rest, "q_src", "q_dst").select("qkey", "score")
+        seeds = seeds.unionByName(grid.meet(grid.box(rest, radius), _not_route("q_src", "q_dst")).select("qkey", "score"))
+        nth = F.row_number().over(Window.partitionBy("qkey").orderBy("score"))
+        tau = written_table(seeds.withColumn("_n", nth).filter(F.col("_n") == k).select("qkey", F.col("score").alias("tau")), "bounds")
+        found = tau if found is None else found.unionByName(tau)
+        rest = written_table(rest.join(tau, "qkey", "left_anti"), "unbounded")
+        if radius > widest or not rest.limit(1).count():
+            return found
+        radius *= 4
 
 
 def nearest_comparables(queries: DataFrame, history: DataFrame, k: int = DEFAULT_K, qid: str = "request_id") -> DataFrame:
     """The k nearest historical tickets per query (long form, one row per comparable)."""
-    h = prepare_history(history, k)
-    q = prepare_queries(queries, h.select("h_class").distinct(), qid)
-    keep = q.columns + h.columns
-    # Occupied grid bounds (1 row): every cell range is clamped to them, so a query far from
-    # all history explodes over at most the occupied cells, never over empty space.
-    bounds = h.agg(*[x for d in ("u", "v", "w") for x in (F.min(f"c{d}").alias(f"lo_{d}"), F.max(f"c{d}").alias(f"hi_{d}"))])
-    q = q.crossJoin(F.broadcast(bounds))
-
-    # Exact-route block: every (reduced) row of the query's own route - bounded by the route's domain.
-    exact = q.join(h, (q["pool_class"] == h["h_class"]) & (q["q_src"] == h["h_src"]) & (q["q_dst"] == h["h_dst"])).select(*keep)
-    exact = exact.withColumn("score", _score())
-    # Seed bound tau: k-th best over the exact block and the 27 cells around the query (any route).
-    near = _join_cube(_cube(q, F.lit(1)), h, exclude_routes=True).select(*keep).withColumn("score", _score())
-    seeds = exact.select("qid", "score").unionByName(near.select("qid", "score"))
-    ws = Window.partitionBy("qid").orderBy("score")
-    tau = seeds.withColumn("_n", F.row_number().over(ws)).filter(F.col("_n") == k).select("qid", F.col("score").alias("tau"))
-    qt = q.join(tau, "qid", "left")
-
-    rev = _join_route(
-        _route_cells(qt.filter(F.col("q_src") != F.col("q_dst")), _radius(F.col("tau"), MAX_BONUS_REVERSE), "q_dst", "q_src"), h
-    ).select(*keep)
-    other = _join_cube(_cube(qt, _radius(F.col("tau"), MAX_BONUS_OTHER)), h, exclude_routes=True).select(*keep)
-    # No finite bound (fewer than k rows in route + neighbourhood): the whole class pool, minus the exact block.
-    full = qt.filter(F.col("tau").isNull()).join(
-        h, (F.col("pool_class") == F.col("h_class")) & ~((F.col("h_src") == F.col("q_src")) & (F.col("h_dst") == F.col("q_dst")))
-    ).select(*keep)
-    # rev/other/full can overlap only for tau-less queries (full covers everything) -> keep rev/other for tau queries.
-    rest = rev.join(tau.select("qid"), "qid", "left_semi").unionByName(other).unionByName(full).withColumn("score", _score())
-    cands = exact.unionByName(rest)
-    return _finish(_topk(cands, k))
+    h = written_table(prepare_history(history, k), "history")
+    classes = [r[0] for r in h.select("h_class").distinct().orderBy("h_class").collect() if r[0] is not None]  # cabin classes
+    asked = prepare_queries(queries, classes, qid)
+    terms = [c for c in asked.columns if c not in ("qid", "pool_class")]
+    same = asked.select(*terms).distinct().withColumn("qkey", F.monotonically_increasing_id())
+    same = written_table(same, "queries")
+    if not classes:
+        return _finish(_topk(_placed(asked.withColumn("qkey", F.lit(0))).join(h, F.lit(False)).withColumn("score", _score()), k))
+    q = _placed(same.join(asked.select(*terms, "pool_class").distinct(), terms))
+    q = written_table(q, "placed")
+    grid = Grid(h)
+    tau = _bounds(q, grid, k)
+    q = q.join(tau, "qkey", "left").withColumn("tau", F.coalesce("tau", F.lit(float("inf"))))
+    found = grid.route(q, "q_src", "q_dst").unionByName(grid.route(q.filter("q_src <> q_dst"), "q_dst", "q_src"))
+    # squared distance up to tau + bonus (+1e-6 for scores of six decimals): rows outside can neither beat nor tie
+    near = grid.ball(q, F.col("tau") + MAX_BONUS_OTHER + 1e-6)
+    others = grid.meet(near, _not_route("q_src", "q_dst") & _not_route("q_dst", "q_src"))
+    top = _topk(found.unionByName(others.select(found.columns)).filter("score <= tau"), k, "qkey")
+    names = asked.select("qid", *terms).distinct().join(same, terms).select("qid", "qkey")
+    return _finish(top.join(names, "qkey"))
 
 
 def _finish(top: DataFrame) -> DataFrame:
@@ -223,7 +245,7 @@ def _finish(top: DataFrame) -> DataFrame:
 def brute_force_comparables(queries: DataFrame, history: DataFrame, k: int = DEFAULT_K, qid: str = "request_id") -> DataFrame:
     """Reference implementation for tests: every query against its whole class pool."""
     h = prepare_history(history, k)
-    q = prepare_queries(queries, h.select("h_class").distinct(), qid)
+    q = _placed(prepare_queries(queries, [r[0] for r in h.select("h_class").distinct().collect()], qid))
     c = q.join(h, q["pool_class"] == h["h_class"]).withColumn("score", _score())
     return _finish(_topk(c, k))
 
