@@ -12,10 +12,17 @@ same one in all documents. A surrogate is made from a keyed SHA-512 of kind, can
   family name is made of syllables of the same script; capitals stay. A name takes all its capitalised words. Its gender is
   that of its titles anywhere in the corpus, or else of its given name.
 
+A family name alone ("Mr. Smith") is the person of that document with that last name, if there is just one, and gets the
+family part of that person's surrogate; otherwise it is an entity of its own.
+
 Collision checks run over the distinct entities of the whole corpus: if two entities of a kind have the same
 surrogate, or a surrogate is a real entity of the corpus, all but the first take their next attempt, until none collide.
-The tables hold one row per distinct entity, counted before they move; only entities that needed another attempt,
-or whose gender not every mention tells, are joined back to documents.
+From attempt ``LONGER`` on a surrogate has more letters or digits than its entity, so a format whose space is used up
+(all addresses ``x@y.co``) ends too. The tables hold one row per distinct entity, counted before they move.
+
+Texts are searched once, and written with their mentions. Entities that needed another attempt, or whose gender not every
+mention tells, are marked in a bitmap of fixed size. Rows without a marked entity are finished where they lie; only the
+others are joined with what is known of theirs.
 
 Outputs never hold an original. Defined results: null text stays null, empty text stays empty, both with no
 entities; repeated rows get the same replacements; a null document key is allowed; extra columns pass through.
@@ -28,6 +35,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from farelake.llm.tables import stored
 
 DEFAULT_KEY = "replace-me"
+#: From this attempt on, surrogates grow by a letter or digit an attempt.
+LONGER = 4
+#: Bits of the bitmap of entities that need more than their own text tells (its size does not follow the corpus; where it
+#: fills up, more rows are joined).
+BITS = 1 << 20
+#: Entities told to rows that are broadcast (a few hundred bytes each); beyond, marked rows are shuffled, no others.
+FEW = 20_000
 # Word lists by gender and script, and alphabets of the scripts that are kept.
 GIVEN = {
     ("f", "latin"): "Alice Anna Barbara Carmen Catherine Christine Claudia Diana Elena Elizabeth Emma Eva Helen Jane Julia Laura Linda Lucia Maria Marie Martha Mary Monica Patricia Paula Rosa Sarah Sofia Susan Teresa".split(),
@@ -187,7 +201,16 @@ def _drawn(kind: Column, entity: Column, attempt: Column, gender: Column, stream
     body = _redrawn(F.substring(entity, F.lit(1), end), stream, first)
     tail = F.substring(entity, end + 1, F.length(entity))
     ip = F.array_join(F.transform(F.split(entity, r"\."), lambda p, i: (_draw(stream, i, 254) + 1).cast("string")), ".")
-    return F.when(kind == "name", _name(entity, stream, attempt, gender)).when(kind == "ip", ip).when(kind == "card", F.concat(body, _check_digit(entity, body, stream))).when(kind == "phone", F.concat((_draw(stream, F.lit(30), 8) + 2).cast("string"), F.substring(body, F.lit(2), F.length(body)))).otherwise(F.concat(body, tail))
+    phone = F.concat((_draw(stream, F.lit(30), 8) + 2).cast("string"), F.substring(body, F.lit(2), F.length(body)))
+    number = F.when(kind == "card", F.concat(body, _check_digit(entity, body, stream))).when(kind == "phone", phone).otherwise(F.concat(body, tail))
+    letters, digits = (_more(stream, attempt, a) for a in (ALPHABETS["latin"], "0123456789"))
+    return F.when(kind == "name", _name(entity, stream, attempt, gender)).when(kind == "ip", ip).when(kind == "email", F.concat(letters, number)).otherwise(F.concat(number, digits))
+
+
+def _more(stream: Column, attempt: Column, alphabet: str) -> Column:
+    """What a late attempt adds."""
+    extra = F.when(attempt >= LONGER, F.sequence(F.lit(1), attempt - LONGER + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_join(F.transform(extra, lambda i: F.substring(F.lit(alphabet), _draw(stream, i + 20, len(alphabet)).cast("int") + 1, F.lit(1))), "")
 
 
 def _check_digit(entity: Column, body: Column, stream: Column) -> Column:
@@ -209,9 +232,15 @@ def written_like(mention: Column, kind: Column, made: Column) -> Column:
     chars = F.split(mention, "")
     before = lambda i, what: F.regexp_count(F.substring(mention, F.lit(1), (i + 1).cast("int")), F.lit(what))
     code = F.when(kind == "phone", F.length(_country(mention))).otherwise(0)
+    # a longer surrogate has its further digits at the end, its further letters in front
+    rest = lambda used: F.substring(made, used + 1, F.greatest(F.length(made) - used, F.lit(0)))
     numbered = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$") & (before(i, "[0-9]") > code), F.substring(made, (before(i, "[0-9]") - code).cast("int"), F.lit(1))).otherwise(c)), "")
+    numbered = F.concat(numbered, rest(F.regexp_count(mention, F.lit("[0-9]")) - code))
     spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(made, before(i, "[^ ]").cast("int"), F.lit(1)))), "")
-    cased = F.array_join(F.transform(chars, lambda c, i: F.when(c != F.lower(c), F.upper(F.substring(made, (i + 1).cast("int"), F.lit(1)))).otherwise(F.substring(made, (i + 1).cast("int"), F.lit(1)))), "")
+    spaced = F.concat(spaced, rest(F.regexp_count(mention, F.lit("[^ ]"))))
+    more = F.greatest(F.length(made) - F.length(mention), F.lit(0))
+    at = lambda i: F.substring(made, (i + 1).cast("int") + more, F.lit(1))
+    cased = F.concat(F.substring(made, F.lit(1), more), F.array_join(F.transform(chars, lambda c, i: F.when(c != F.lower(c), F.upper(at(i))).otherwise(at(i))), ""))
     bare = F.regexp_replace(F.regexp_replace(mention, _LEADING, ""), _POSSESSIVE, "")
     person = F.when(bare == F.upper(bare), F.upper(made)).otherwise(F.initcap(made))
     titled = F.concat(F.regexp_extract(mention, f"({_LEADING})?", 0), person, F.regexp_extract(mention, _POSSESSIVE, 0))
@@ -227,23 +256,56 @@ def _of_row(key: str) -> Column:
     return _first(surrogates_of(key, F.array(F.struct("kind", "entity", "attempt", "gender"))))["made"]
 
 
-def _mentions(text: Column) -> Column:
-    """Distinct (kind, entity, title) of a text."""
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    each = F.transform(F.array_distinct(found), lambda m: F.struct(kind_of(m).alias("kind"), m.alias("mention")))
-    return F.array_distinct(F.transform(each, lambda e: F.struct(e["kind"].alias("kind"), canonical(e["kind"], e["mention"]).alias("entity"), _title_gender(e["kind"], e["mention"]).alias("title"))))
+def _each(found: Column) -> Column:
+    """Array of (mention, kind, entity, title, alone) of a text's mentions. ``alone``: a family name that stands for the
+    only person of the text with that last name, whose entity it has."""
+    each = F.transform(found, lambda m: F.struct(m.alias("mention"), kind_of(m).alias("kind")))
+    each = F.transform(each, lambda e: F.struct(e["mention"].alias("mention"), e["kind"].alias("kind"), canonical(e["kind"], e["mention"]).alias("entity"), _title_gender(e["kind"], e["mention"]).alias("title")))
+    # in an array of one, so that the persons are looked up once a text
+    with_persons = F.transform(F.array(each), lambda a: F.struct(a.alias("all"), _persons(a).alias("persons")))
+    return F.get(F.transform(with_persons, lambda s: F.transform(s["all"], lambda e: _resolved(e, s["persons"]))), F.lit(0))
+
+
+def _persons(all_: Column) -> Column:
+    """Distinct names of more than one word."""
+    names = F.filter(all_, lambda e: (e["kind"] == "name") & (F.instr(e["entity"], " ") > 0))
+    return F.array_distinct(F.transform(names, lambda e: e["entity"]))
+
+
+def _resolved(e: Column, persons: Column) -> Column:
+    single = (e["kind"] == "name") & (F.instr(e["entity"], " ") == 0)
+    of = F.filter(persons, lambda p: F.substring_index(p, " ", -1) == e["entity"])
+    alone = single & (F.size(of) == 1)
+    return F.struct(e["mention"].alias("mention"), e["kind"].alias("kind"), F.when(alone, _first(of)).otherwise(e["entity"]).alias("entity"), e["title"].alias("title"), alone.alias("alone"))
+
+
+def marked(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Every text searched once, and written: row (a number of its own), doc (the other columns), text (if it has no
+    mention), between (the parts around its mentions) and each (its mentions)."""
+    column = F.col(f"`{text}`")
+    found = F.when(column.rlike(HINT), F.regexp_extract_all(column, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("doc"), column.alias("text"), F.coalesce(found, F.array().cast("array<string>")).alias("found"))
+    some = F.size("found") > 0
+    rows = rows.select("doc", F.when(~some, F.col("text")).alias("text"), F.when(some, F.split("text", ANY, -1)).alias("between"), F.when(some, _each(F.col("found"))).otherwise(F.lit(None)).alias("each"))
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "mentions")
 
 
 def retries(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY) -> DataFrame | None:
+    """``untold`` of the rows of a table."""
+    return untold(marked(docs, text), key)
+
+
+def untold(texts: DataFrame, key: str = DEFAULT_KEY) -> DataFrame | None:
     """(kind, entity, attempt, gender) of the entities whose first surrogate collides or whose gender some mention does
-    not tell; None if there are none."""
-    mentions = docs.where(F.col(text).rlike(HINT)).select(F.explode(_mentions(F.col(text))).alias("e")).select("e.kind", "e.entity", "e.title")
+    not tell; None if there are none. ``texts``: as ``marked`` gives them."""
+    mentions = texts.select(F.explode("each").alias("e")).select("e.kind", "e.entity", "e.title")
     titles = {f"_{g or 'x'}": F.max(F.col("title") == g) for g in ("f", "m", "")}
     entities = mentions.groupBy("kind", "entity").agg(F.lit(0).alias("attempt"), *(c.alias(n) for n, c in titles.items()))
     one = F.when(F.col("_f") & ~F.col("_m"), "f").when(F.col("_m") & ~F.col("_f"), "m").otherwise("")
     entities = entities.withColumn("gender", _gender(one, F.col("kind"), F.col("entity")))
-    untold = F.col("_x") & (_gender(F.lit(""), F.col("kind"), F.col("entity")) != F.col("gender"))
-    entities = entities.withColumn("mixed", (F.col("_f") & (F.col("gender") != "f")) | (F.col("_m") & (F.col("gender") != "m")) | untold).drop(*titles)
+    silent = F.col("_x") & (_gender(F.lit(""), F.col("kind"), F.col("entity")) != F.col("gender"))
+    entities = entities.withColumn("mixed", (F.col("_f") & (F.col("gender") != "f")) | (F.col("_m") & (F.col("gender") != "m")) | silent).drop(*titles)
     entities = stored(entities.withColumn("made", _of_row(key)), "entities")
     real = entities.select("kind", F.col("entity").alias("made"))
     while True:
@@ -258,28 +320,59 @@ def retries(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY) -> Data
         entities = stored(next_.withColumn("made", F.when(F.col("retry") == 1, _of_row(key)).otherwise(F.col("made"))).drop("retry"), "entities")
 
 
-def pseudonymised(docs: DataFrame, doc_key: str = "doc_id", text: str = "text", key: str = DEFAULT_KEY, found: str = "_entities") -> DataFrame:
+def _bit(kind: Column, entity: Column) -> Column:
+    return F.pmod(F.xxhash64(kind, entity), F.lit(BITS)).cast("int")
+
+
+def _bitmap(known: DataFrame) -> Column:
+    """A literal with the bits of all known entities: BITS / 8 bytes, whatever their number."""
+    bit = _bit(F.col("kind"), F.col("entity"))
+    bytes_ = known.groupBy((bit / 8).cast("int").alias("at")).agg(F.bit_or(F.pow(F.lit(2), bit % 8).cast("int")).alias("value"))
+    out = bytearray(BITS // 8)
+    for at, value in bytes_.collect():  # at most BITS / 8 rows
+        out[at] = value
+    return F.lit(bytes(out))
+
+
+def _touched(bitmap: Column) -> Column:
+    """Whether some mention of the row has its bit set."""
+
+    def set_(e: Column) -> Column:
+        bit = _bit(e["kind"], e["entity"])
+        byte = F.conv(F.hex(F.substring(bitmap, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return (byte / F.pow(F.lit(2), bit % 8)).cast("int") % 2 == 1
+
+    return F.coalesce(F.exists("each", set_), F.lit(False))
+
+
+def _finished(rows: DataFrame, key: str, tries: Column) -> DataFrame:
+    """(doc, text, found) with surrogates in place of mentions. ``tries``: what is known of the row's entities."""
+    each = F.transform("each", lambda e: F.struct(*(e[c].alias(c) for c in ("mention", "kind", "entity", "title", "alone")), F.element_at(tries, F.concat_ws("|", e["kind"], e["entity"])).alias("known")))
+    each = F.transform(each, lambda e: F.struct(*(e[c].alias(c) for c in ("mention", "kind", "entity", "alone")), F.coalesce(e["known"]["attempt"], F.lit(0)).alias("attempt"), F.coalesce(e["known"]["gender"], _gender(e["title"], e["kind"], e["entity"])).alias("gender")))
+    rows = rows.withColumn("made", surrogates_of(key, each))
+    said = lambda x: F.when(x["e"]["alone"], F.substring_index(x["made"], " ", -1)).otherwise(x["made"])
+    found = F.transform("made", lambda x: F.struct(x["e"]["kind"].alias("kind"), written_like(x["e"]["mention"], x["e"]["kind"], said(x)).alias("surrogate")))
+    rows = rows.withColumn("found", F.coalesce(found, F.array().cast("array<struct<kind:string,surrogate:string>>")))
+    joined = F.array_join(F.zip_with("between", "found", lambda a, b: F.concat(a, F.coalesce(b["surrogate"], F.lit("")))), "")
+    return rows.select("doc", F.when(F.size("found") > 0, joined).otherwise(F.col("text")).alias("text"), "found")
+
+
+def pseudonymised(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY, found: str = "_entities") -> DataFrame:
     """The rows with surrogates in ``text``; ``found`` is added: an array of (kind, surrogate) in text order."""
-    attempts = retries(docs, text, key)
-    rows, column = docs, F.col(text)
-    names = docs.columns
-    if attempts is not None:
-        marked = docs.select(F.col(doc_key).alias("_k"), F.xxhash64(text).alias("_s"), F.when(column.rlike(HINT), _mentions(column)).alias("_m"))
-        of_docs = marked.select("_k", "_s", F.explode("_m").alias("_e")).select("_k", "_s", F.col("_e.kind").alias("kind"), F.col("_e.entity").alias("entity")).join(attempts, ["kind", "entity"])
-        lists = of_docs.groupBy("_k", "_s").agg(F.collect_set(F.struct(F.concat_ws("|", "kind", "entity").alias("e"), F.struct("attempt", "gender").alias("known"))).alias("_again"))
-        rows = docs.withColumn("_stamp", F.xxhash64(text)).join(lists, docs[doc_key].eqNullSafe(lists["_k"]) & (F.col("_stamp") == lists["_s"]), "left")
-        again = F.map_from_entries("_again")
+    texts = marked(docs, text)
+    known = untold(texts, key)
+    none = F.lit(None).cast("map<string,struct<attempt:int,gender:string>>")
+    if known is None:
+        out = _finished(texts, key, none)
     else:
-        again = F.lit(None).cast("map<string,struct<attempt:int,gender:string>>")
-    mentions = F.when(column.rlike(HINT), F.regexp_extract_all(column, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("_found", mentions).withColumn("_tries", again)
-
-    each = F.transform("_found", lambda m: F.struct(m.alias("mention"), kind_of(m).alias("kind")))
-    each = F.transform(each, lambda e: F.struct(e["mention"].alias("mention"), e["kind"].alias("kind"), canonical(e["kind"], e["mention"]).alias("entity")))
-    each = F.transform(each, lambda e: F.struct(e["mention"].alias("mention"), e["kind"].alias("kind"), e["entity"].alias("entity"), F.element_at("_tries", F.concat_ws("|", e["kind"], e["entity"])).alias("known")))
-    each = F.transform(each, lambda e: F.struct(e["mention"].alias("mention"), e["kind"].alias("kind"), e["entity"].alias("entity"), F.coalesce(e["known"]["attempt"], F.lit(0)).alias("attempt"), F.coalesce(e["known"]["gender"], _gender(_title_gender(e["kind"], e["mention"]), e["kind"], e["entity"])).alias("gender")))
-    rows = rows.withColumn("_made", surrogates_of(key, each))
-    rows = rows.withColumn(found, F.transform("_made", lambda x: F.struct(x["e"]["kind"].alias("kind"), written_like(x["e"]["mention"], x["e"]["kind"], x["made"]).alias("surrogate"))))
-    between = F.when(F.size("_found") > 0, F.split(column, ANY, -1))
-    joined = F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(b["surrogate"], F.lit("")))), "")
-    return rows.withColumn(text, F.when(F.size("_found") > 0, joined).otherwise(column)).select(*(F.col(f"`{c}`") for c in names), found)
+        touched = _touched(_bitmap(known))
+        own = texts.where(touched).select("row", F.explode("each").alias("e")).select("row", "e.kind", "e.entity").distinct().join(known, ["kind", "entity"])
+        own = stored(own, "told")
+        lists = own.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "entity"), F.struct("attempt", "gender")))).alias("tries"))
+        if own.limit(FEW + 1).count() <= FEW:
+            out = _finished(texts.join(F.broadcast(lists), "row", "left"), key, F.col("tries"))
+        else:
+            joined = texts.where(touched).join(lists, "row", "left")
+            out = _finished(texts.where(~touched), key, none).unionByName(_finished(joined, key, F.col("tries")))
+    columns = [F.col("text").alias(text) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*columns, F.col("found").alias(found))

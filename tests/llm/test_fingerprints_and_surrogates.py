@@ -124,7 +124,7 @@ def luhn(digits):
 
 def test_surrogates_keep_type_gender_script_and_coreference(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    got = {r.doc_id: r for r in P.pseudonymised(docs).collect()}
+    got = {r.doc_id: r for r in P.pseudonymised(docs).orderBy("doc_id").collect()}
     for r in got.values():
         assert not any(o in r.text for o in ORIGINALS)
     names = [e.surrogate for r in got.values() for e in r._entities if e.kind == "name"]
@@ -227,3 +227,92 @@ def test_pipeline_equals_its_stages_on_plain_lists(spark):
         n = len(encode(clean[key].text)) // 2 + 1
         assert all(p.doc_tokens == n for p in pieces) and sum(p.length for p in pieces) == n * copies[key]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "near-duplicates", "secret scans", "source mix", "packing"]
+
+
+def plain_mentions(text):
+    """(kind, mention) of a text, by the same patterns without Spark."""
+    import regex
+
+    found = regex.findall(P.ANY, text or "") if regex.search(P.HINT, text or "") else []
+    kinds = [next((k for k in P.KINDS[:-1] if regex.fullmatch(P.PATTERNS[k], m)), "name") for m in found]
+    return list(zip(kinds, found)), regex.split(P.ANY, text or "")
+
+
+def plain_entity(kind, mention):
+    import regex
+
+    digits = re.sub("[^0-9]", "", mention)
+    if kind in ("card", "ssn"):
+        return digits
+    if kind == "phone":
+        code = regex.match(r"\+(1|7|\d{1,3}(?=[ .(-])|\d{2})", mention)
+        return digits[len(code[1]) if code else 0 :]
+    if kind == "iban":
+        return mention.replace(" ", "")
+    if kind == "name":
+        bare = regex.sub(P._POSSESSIVE, "", regex.sub(P._LEADING, "", mention)).replace(".", "").lower().replace("ß", "ss")
+        return regex.sub(r"σ(?!\p{L})", "ς", bare)
+    return mention.lower()
+
+
+def hold_against_plain(rows, got):
+    """Every mention found, nothing else changed, one surrogate an entity, one entity a surrogate, none of them real."""
+    made, real = defaultdict(set), set()
+    for key, text in rows:
+        mentions, between = plain_mentions(text)
+        entities = [(k, plain_entity(k, m)) for k, m in mentions]
+        persons = {e for k, e in entities if k == "name" and " " in e}
+        of = got[key]
+        assert [e.kind for e in of._entities] == [k for k, _ in mentions]
+        if mentions:
+            assert of.text == "".join(a + b for a, b in zip(between, [e.surrogate for e in of._entities] + [""]))
+        for (kind, mention), (_, entity), e in zip(mentions, entities, of._entities):
+            same = [p for p in persons if p.split(" ")[-1] == entity] if kind == "name" and " " not in entity else []
+            real.add((kind, entity))
+            if len(same) == 1:
+                assert plain_entity(kind, e.surrogate) in {s.split(" ")[-1] for k, p in made if (k, p) == (kind, same[0]) for s in made[k, p]} | {None} or (kind, same[0]) not in made
+            else:
+                made[kind, entity].add(plain_entity(kind, e.surrogate))
+    assert all(len(s) == 1 for s in made.values())
+    pairs = [(k, s) for (k, _), (s,) in made.items()]
+    assert len(set(pairs)) == len(pairs) and not set(pairs) & real
+
+
+def test_equal_to_plain_detection_on_all_documents(spark):
+    docs = documents(spark, "sf0.01").select("doc_id", "text")
+    got = {r.doc_id: r for r in P.pseudonymised(docs).collect()}
+    assert sum(len(r._entities) for r in got.values()) > 50
+    hold_against_plain([tuple(r) for r in docs.collect()], got)
+
+
+def test_a_format_that_is_used_up_ends(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(0, " ".join(f"{a}@{b}.co" for a in letters for b in letters))] + [(1 + i, f"call +1 23 {i:02d}") for i in range(100)]
+    got = {r.doc_id: r for r in P.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    made = [e.surrogate for e in got[0]._entities]
+    assert len(set(made)) == 676 and not set(made) & set(rows[0][1].split(" ")) and all(re.fullmatch(r"[a-z]+@[a-z]\.co", m) for m in made)
+    phones = [re.sub(r"\D", "", got[i]._entities[0].surrogate) for i in range(1, 101)]
+    assert len(set(phones)) == 100 and not set(phones) & {f"123{i:04d}"[-6:] for i in range(100)}
+
+
+def test_a_family_name_alone_is_the_person_of_its_text(spark):
+    rows = [(0, "Mr. John Smith met. Then Mr. Smith left, SMITH'S dog, Mr SMITH'S dog."), (1, "Mr. Smith was alone."), (2, "Mary Smith and John Smith saw Mrs. Smith"), (3, "Mr. John Smith")]
+    got = {r.doc_id: r for r in P.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    full, family, again = (e.surrogate for e in got[0]._entities)
+    assert family == "Mr. " + full.split(" ")[-1] and again.lower() == f"mr {full.split(' ')[-1]}'s".lower()
+    assert got[3].text == full and got[2]._entities[1].surrogate == full.removeprefix("Mr. ")
+    other = {got[1]._entities[0].surrogate.split(" ")[-1], got[2]._entities[2].surrogate.split(" ")[-1]}
+    assert len(other) == 1 and full.split(" ")[-1] not in other
+
+
+def test_marked_rows_are_the_only_ones_joined(spark, monkeypatch):
+    rows = [(i, f"Mrs. Xavia Quince{'abcdefghij'[i % 10]} has {i} mails") for i in range(50)] + [(100, "Dr. Xavia Quincea"), (101, "nothing here"), (102, "a@b.example")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = {r.doc_id: r.text for r in P.pseudonymised(docs).collect()}
+    monkeypatch.setattr(P, "FEW", 0)
+    assert {r.doc_id: r.text for r in P.pseudonymised(docs).collect()} == few
+    texts = P.marked(docs)
+    known = P.untold(texts)
+    assert [r.entity for r in known.collect()] == ["xavia quincea"]
+    touched = {r[0] for r in texts.where(P._touched(P._bitmap(known))).select("doc.doc_id").collect()}
+    assert touched == {i for i in range(0, 50, 10)} | {100}
