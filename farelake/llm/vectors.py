@@ -73,7 +73,8 @@ def met(rows: DataFrame, queries: DataFrame, n_blocks: int, open_block: Callable
     blocks = F.sequence(F.lit(0), F.lit(n_blocks - 1)) if blocks is None else blocks
     of_rows = rows.select(block.alias("_block"), F.lit(False).alias("_asks"), F.struct(*rows.columns).alias("_row"), F.lit(None).cast(queries.select(F.struct(*queries.columns).alias("q")).schema["q"].dataType).alias("_query"))
     of_queries = queries.select(F.explode(blocks).alias("_block"), F.lit(True).alias("_asks"), F.lit(None).cast(of_rows.schema["_row"].dataType).alias("_row"), F.struct(*queries.columns).alias("_query"))
-    dealt = of_rows.unionByName(of_queries).repartition(n_blocks, "_block").sortWithinPartitions("_block", "_asks")
+    # by ranges, as hashes would put several blocks into one task and none into others
+    dealt = of_rows.unionByName(of_queries).repartitionByRange(n_blocks, "_block").sortWithinPartitions("_block", "_asks")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, opened = None, [], None

@@ -117,13 +117,13 @@ class Window:
     """Bytes of a file from some place on, read in blocks as they are needed."""
 
     def __init__(self, source: pa.NativeFile, at: int, size: int):
-        self.source, self.start, self.size, self.data = source, at, size, b""
+        self.source, self.start, self.size, self.data = source, at, size, bytearray()
         source.seek(at)
 
     def upto(self, end: int) -> bool:
         """Have the bytes before ``end``; False if the file ends earlier."""
         while self.start + len(self.data) < min(end, self.size):
-            self.data += self.source.read(BLOCK)
+            self.data += self.source.read(BLOCK)  # grows in place
         return self.start + len(self.data) >= end
 
     def find(self, at: int, end: int) -> int:
@@ -181,7 +181,11 @@ def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     for a revisit). A response's payload is held against its recorded digest."""
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start")
     splits = manifest.where("bytes > 0").select("file", "bytes", starts)
-    splits = splits.select("file", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("end"), "bytes").repartition("file", "start")
+    n_splits = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    # rows of splits are tiny: without a number of partitions they would all be merged into one task
+    spark = manifest.sparkSession
+    n_tasks = min(n_splits, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+    splits = splits.select("file", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("end"), "bytes").repartition(n_tasks, "file", "start")
     schema = "file string, at long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, html string"
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

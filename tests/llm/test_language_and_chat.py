@@ -192,6 +192,23 @@ def test_warc_round_trip_at_any_split(spark, split):
     assert sorted(str((r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.html)) for r in rows) == want
 
 
+def test_warc_splits_are_read_by_many_tasks(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    manifest = W.write(pages)
+    splits = sum(-(-r.bytes // 4096) for r in manifest.collect())
+    read = W.read(manifest, 4096)
+    tasks = {r[0] for r in read.selectExpr("spark_partition_id()").distinct().collect()}
+    assert splits > 8 and len(tasks) > min(splits, 8) / 2
+    assert read.count() == pages.count()
+
+
+def test_warc_record_larger_than_many_blocks(spark):
+    text = "".join(map(chr, np.random.default_rng(1).integers(0x4E00, 0x9FFF, 6_000_000)))
+    pages = spark.createDataFrame([(1, "u", "small"), (2, "u", text), (3, "u", "last")], "page_id long, url string, html string")
+    rows = {r.page_id: r.html for r in W.read(W.write(pages.coalesce(1)), 1 << 20).collect()}
+    assert rows == {1: "small", 2: text, 3: "last"}
+
+
 def test_warc_is_plain_gzip_members(spark):
     manifest = W.write(pages(spark).coalesce(1))
     for row in manifest.collect():
