@@ -9,14 +9,20 @@ Out-of-fold predictions are a join of the rows with their fold's coefficients.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farelake.operators import ranks as R
+from farelake.operators import robust as RB
+from farelake.session import table_exists, written_table
 from farelake.functions import geo as G
 from farelake.functions.features import PRICE_FLOOR, SMEARING_FACTOR
 from farelake.functions.stats import regression_metrics
@@ -142,8 +148,26 @@ def global_factor(obs: DataFrame) -> DataFrame:
     return R.quantiles(obs.select((F.col("market_fare") / F.col("hist_pred")).alias("ratio")), [], "ratio", {"factor": 0.5})
 
 
-def candidate_table(obs: DataFrame, feats: list[str], alpha: float = RIDGE_ALPHA) -> DataFrame:
-    """H4-H5: none / global inflation / ridge (LORO mae, rmse, r2 + leave-one-corridor-out mae)."""
+def huber_folds(obs_f: DataFrame, feats: list[str]) -> DataFrame:
+    """Huber fits of all leave-one-route-out and leave-one-corridor-out folds and of all rows, written once."""
+    fits = RB.coefficients(obs_f, ["route", "corridor"], feats, min_rows=MIN_TRAIN_ROWS)
+    return written_table(fits, "huber")
+
+
+def _held_out(of: DataFrame, fits: DataFrame, group_col: str, feats: list[str]) -> DataFrame:
+    """Out-of-fold predictions by the Huber fits of one kind of group."""
+    coefs = fits.filter(F.col("kind") == group_col).drop("kind", "sigma", "iterations")
+    return out_of_fold(of, coefs, group_col, feats)
+
+
+def _candidate_row(oof: DataFrame, loco: DataFrame, name: str, ordinal: int) -> DataFrame:
+    y, p = F.col("market_fare"), F.col("oof_pred")
+    scored = oof.agg(*regression_metrics(y, p)).crossJoin(loco.agg(F.avg(F.abs(y - p)).alias("loco_mae")))
+    return scored.select(F.lit(name).alias("candidate"), F.lit(ordinal).alias("ordinal"), "mae", "rmse", "r2", "loco_mae")
+
+
+def candidate_table(obs: DataFrame, feats: list[str], alpha: float = RIDGE_ALPHA, huber: DataFrame | None = None) -> DataFrame:
+    """H4-H5: none / global inflation / ridge, and huber if its folds are given (LORO mae, rmse, r2 + leave-one-corridor-out mae)."""
     of = with_features(obs)
     y, h = F.col("market_fare"), F.col("hist_pred")
     none = obs.agg(*regression_metrics(y, h)).select(F.lit("none").alias("candidate"), F.lit(0).alias("ordinal"), "mae", "rmse", "r2")
@@ -151,44 +175,111 @@ def candidate_table(obs: DataFrame, feats: list[str], alpha: float = RIDGE_ALPHA
     infl = obs.crossJoin(F.broadcast(fac)).agg(*regression_metrics(y, h * F.col("factor"))).select(
         F.lit("global_inflation").alias("candidate"), F.lit(1).alias("ordinal"), "mae", "rmse", "r2"
     )
-    oof = out_of_fold(of, loro_coefficients(of, "route", feats, alpha), "route", feats)
-    ridge = oof.agg(*regression_metrics(y, F.col("oof_pred")))
-    loco = out_of_fold(of, loro_coefficients(of, "corridor", feats, alpha), "corridor", feats).agg(
-        F.avg(F.abs(y - F.col("oof_pred"))).alias("loco_mae")
-    )
-    ridge = ridge.crossJoin(loco).select(F.lit("ridge").alias("candidate"), F.lit(2).alias("ordinal"), "mae", "rmse", "r2", "loco_mae")
-    return none.unionByName(infl, allowMissingColumns=True).unionByName(ridge, allowMissingColumns=True)
+    folds = {g: out_of_fold(of, loro_coefficients(of, g, feats, alpha), g, feats) for g in ("route", "corridor")}
+    out = none.unionByName(infl, allowMissingColumns=True).unionByName(_candidate_row(folds["route"], folds["corridor"], "ridge", 2), allowMissingColumns=True)
+    if huber is not None:
+        out = out.unionByName(_candidate_row(_held_out(of, huber, "route", feats), _held_out(of, huber, "corridor", feats), "huber", 3))
+    return out
+
+
+# The settings of the tree candidates.
+TREES = {
+    "random_forest": dict(numTrees=50, maxDepth=4, minInstancesPerNode=3, seed=42),
+    "gradient_boosting": dict(maxIter=80, maxDepth=3, stepSize=0.1, minInstancesPerNode=3, seed=42),
+}
+# end of fixed values
+#: Folds of whole groups for the tree candidates: every fold leaves several groups out, so that no prediction saw its group
+#: and the number of fits does not follow the number of groups.
+TREE_FOLDS = 3
+
+
+def fold_of(group_col: str, folds: int = TREE_FOLDS) -> Column:
+    """The fold that holds a group out."""
+    return F.pmod(F.xxhash64(group_col), F.lit(folds)).cast("int")
+
+
+def tree_out_of_fold(obs_f: DataFrame, feats: list[str], names: list[str], group_cols: list[str], folds: int = TREE_FOLDS) -> dict[tuple[str, str], DataFrame]:
+    """(candidate, group column) -> rows with oof_pred. The vectors are written once; fits of all folds run side by side."""
+    vectors = VectorAssembler(inputCols=feats, outputCol="features").transform(obs_f)
+    vectors = written_table(vectors.select("market_fare", "y_log", "features", *group_cols, *(fold_of(g, folds).alias(f"fold_{g}") for g in group_cols)), "vectors")
+    made = {"random_forest": RandomForestRegressor, "gradient_boosting": GBTRegressor}
+
+    def fit(job: tuple[str, str, int]):
+        name, group, fold = job
+        mine = F.col(f"fold_{group}") == fold
+        train = vectors.filter(~mine)
+        if train.limit(MIN_TRAIN_ROWS).count() < MIN_TRAIN_ROWS:
+            return job, None
+        model = made[name](featuresCol="features", labelCol="y_log", predictionCol="_log", **TREES[name]).fit(train)
+        return job, model.transform(vectors.filter(mine)).withColumn("oof_pred", F.exp("_log")).select(*group_cols, "market_fare", "oof_pred")
+
+    jobs = [(n, g, k) for n in names for g in group_cols for k in range(folds)]
+    with ThreadPool(len(jobs)) as pool:  # the driver's waiting, not its work
+        parts = [(job, part) for job, part in pool.map(fit, jobs) if part is not None]
+    out: dict[tuple[str, str], DataFrame] = {}
+    for (name, group, _), part in parts:
+        out[name, group] = part if (name, group) not in out else out[name, group].unionByName(part)
+    return out
+
+
+def tree_candidates(obs: DataFrame, feats: list[str], folds: int = TREE_FOLDS) -> DataFrame:
+    """H5: forest and boosting, each with whole groups of routes (of corridors) held out."""
+    found = tree_out_of_fold(with_features(obs), feats, list(TREES), ["route", "corridor"], folds)
+    rows = [_candidate_row(found[n, "route"], found[n, "corridor"], n, 4 + i) for i, n in enumerate(TREES) if (n, "route") in found and (n, "corridor") in found]
+    return reduce(DataFrame.unionByName, rows)
+
+
+FITTED = ("ridge", "huber", *TREES)
 
 
 def select_calibrator(cands: DataFrame) -> DataFrame:
-    """H6 + H9: ridge if strictly better than none; else global inflation if better than none; else none.
+    """H6 + H9: the fitted candidate with the least LORO MAE, in listed order, if strictly better than none; else global
+    inflation if better than none; else none.
 
     Status ``validated_loro`` iff a fitted candidate won with MAE < 0.85 x none. One row out.
     """
+    fitted = F.col("candidate").isin(*FITTED) & F.col("mae").isNotNull() & ~F.isnan("mae")
     w = cands.groupBy().agg(
         F.max(F.when(F.col("candidate") == "none", F.col("mae"))).alias("mae_none"),
         F.max(F.when(F.col("candidate") == "global_inflation", F.col("mae"))).alias("mae_inflation"),
-        F.max(F.when(F.col("candidate") == "ridge", F.col("mae"))).alias("mae_ridge"),
+        F.min(F.when(fitted, F.struct("mae", "ordinal", "candidate"))).alias("_best"),
     )
-    best = (
-        F.when(F.col("mae_ridge") < F.col("mae_none"), "ridge")
-        .when(F.col("mae_inflation") < F.col("mae_none"), "global_inflation")
-        .otherwise("none")
-    )
-    mae_after = F.when(best == "ridge", F.col("mae_ridge")).when(best == "global_inflation", F.col("mae_inflation")).otherwise(F.col("mae_none"))
-    status = F.when((best == "ridge") & (F.col("mae_ridge") < VALIDATED_RATIO * F.col("mae_none")), "validated_loro").otherwise("experimental")
+    won = F.coalesce(F.col("_best.mae") < F.col("mae_none"), F.lit(False))
+    best = F.when(won, F.col("_best.candidate")).when(F.col("mae_inflation") < F.col("mae_none"), "global_inflation").otherwise("none")
+    mae_after = F.when(won, F.col("_best.mae")).when(best == "global_inflation", F.col("mae_inflation")).otherwise(F.col("mae_none"))
+    status = F.when(won & (F.col("_best.mae") < VALIDATED_RATIO * F.col("mae_none")), "validated_loro").otherwise("experimental")
     return w.select("mae_none", "mae_inflation", best.alias("best_model"), mae_after.alias("mae_after"), status.alias("status"))
 
 
-def calibrator(obs: DataFrame, feats: list[str], alpha: float = RIDGE_ALPHA) -> DataFrame:
-    """1-row calibrator: choice, status, LORO MAE, global factor and final coefficients."""
-    sel = select_calibrator(candidate_table(obs, feats, alpha))
-    coef = fit_all(with_features(obs), feats, alpha).drop("grp", "n_train")
-    out = sel.crossJoin(global_factor(obs)).crossJoin(coef)
+def calibrator(obs: DataFrame, feats: list[str], alpha: float = RIDGE_ALPHA, robust: bool = False) -> DataFrame:
+    """1-row calibrator: choice (huber among them if ``robust``), status, LORO MAE, global factor and final coefficients."""
+    of = with_features(obs)
+    huber = huber_folds(of, feats) if robust else None
+    sel = select_calibrator(candidate_table(obs, feats, alpha, huber))
+    names = [f"b{i}" for i in range(len(feats) + 1)]
+    coef = fit_all(of, feats, alpha).select(F.lit("ridge").alias("candidate"), *names)
+    if robust:
+        coef = coef.unionByName(huber.filter(F.col("kind") == RB.ALL).select(F.lit("huber").alias("candidate"), *names))
+    # the coefficients of the choice; of the ridge where nothing fitted won (they are not used then)
+    wanted = F.when(F.col("best_model") == "huber", "huber").otherwise("ridge")
+    out = sel.crossJoin(global_factor(obs)).join(coef, wanted == F.col("candidate")).drop("candidate")
     missing = [f"b{i + 1}" for i in range(len(feats), len(FULL_FEATURES))]
     for m in missing:
         out = out.withColumn(m, F.lit(0.0))
-    return out.withColumns({"fitted": F.col("best_model") == "ridge", "mae": F.col("mae_after")})
+    out = out.withColumns({"fitted": F.col("best_model").isin("ridge", "huber"), "mae": F.col("mae_after")})
+    return written_table(out, "calibrator")  # one row, read by every branch
+
+
+def save_calibrator(one_row: DataFrame, path: str) -> None:
+    """A7 for the calibrator: its row as a table of its own."""
+    one_row.write.mode("overwrite").parquet(path)
+
+
+def load_calibrator(spark: SparkSession, path: str, fit: Callable[[], DataFrame]) -> DataFrame:
+    """The saved calibrator; where there is none, ``fit`` makes it and it is saved."""
+    if not table_exists(spark, path):
+        save_calibrator(fit(), path)
+    return spark.read.parquet(path)
 
 
 def apply_calibration(hist: Column, distance_km: Column, days_left: Column, cabin: Column) -> Column:

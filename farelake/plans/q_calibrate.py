@@ -96,6 +96,31 @@ def h5_candidate_table(spark, sf):
     return c.select("candidate", "ordinal", F.round("mae", 4).alias("mae"), F.round("loco_mae", 4).alias("loco_mae"))
 
 
+def _rounded_candidates(c):
+    return c.select("candidate", "ordinal", *(F.round(m, 4).alias(m) for m in ("mae", "rmse", "r2", "loco_mae")))
+
+
+@register("h5_candidate_table_robust", sql=None)
+def h5_candidate_table_robust(spark, sf):
+    """None, inflation, ridge and huber on the five features: LORO metrics and leave-one-corridor-out MAE (all folds at once)."""
+    o = _obs(spark, sf)
+    huber = CAL.huber_folds(CAL.with_features(o), CAL.FULL_FEATURES)
+    return _rounded_candidates(CAL.candidate_table(o, CAL.FULL_FEATURES, huber=huber))
+
+
+@register("h5_candidate_trees", sql=None)
+def h5_candidate_trees(spark, sf):
+    """Forest and boosting calibrators with whole groups of routes (corridors) held out: metrics of out-of-fold predictions."""
+    return _rounded_candidates(CAL.tree_candidates(_obs(spark, sf), CAL.FULL_FEATURES))
+
+
+@register("h6_h9_selection_robust", sql=None)
+def h6_h9_selection_robust(spark, sf):
+    """Selection and status among none, inflation, ridge and huber on the five features."""
+    c = CAL.calibrator(_obs(spark, sf), CAL.FULL_FEATURES, robust=True)
+    return c.select("best_model", F.round("mae_after", 4).alias("mae_after"), "status", *(F.round(f"b{i}", 6).alias(f"b{i}") for i in range(6)))
+
+
 @register(
     "h6_h9_selection",
     sql=with_base(

@@ -83,3 +83,10 @@ def table_state(spark: SparkSession, folder: str) -> tuple:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
     return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in store.listStatus(path)))
+
+
+def table_exists(spark: SparkSession, folder: str) -> bool:
+    """Whether a table was written to its end there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
