@@ -3,8 +3,9 @@
 Every split is deterministic: rows are ordered by an md5 key of their content plus a seed
 (reproducible across cluster layouts, unlike ``randomSplit``). "The first n rows" is exact: a histogram
 over the first three hex digits of the key finds the bucket in which the n-th row lies, a second one inside it
-the next three digits, and only the rows with those six digits are ranked. All other rows are labelled by
-comparing their key with the boundary, so no row is joined and none can be duplicated.
+the next three digits, and counts of the keys with those six digits find the boundary key. All other rows are labelled by
+comparing their key with it, so no row is joined and none can be duplicated; copies of the boundary key (a row may be
+repeated in a third of the table) are numbered where they lie.
 """
 
 from __future__ import annotations
@@ -49,9 +50,20 @@ def first_n(df: DataFrame, key: str, take: DataFrame, first: str, rest: str) ->
     edge = _boundary(fine, F.col("_skip")).withColumnsRenamed({"_prefix": "_edge", "_before": "_done"})
     j = df.crossJoin(F.broadcast(edge))  # one row
     sides = j.filter(F.col("_edge").isNull() | (prefix(2) != F.col("_edge"))).withColumn("split", F.when(prefix(2) < F.col("_edge"), first).otherwise(rest))
-    at = j.filter(prefix(2) == F.col("_edge")).withColumn("_rank", F.row_number().over(Window.orderBy(key)))
-    at = at.withColumn("split", F.when(F.col("_done") + F.col("_rank") <= F.col("_take"), first).otherwise(rest)).drop("_rank")
-    return sides.unionByName(at).drop("_edge", "_done", "_take")
+    at = j.filter(prefix(2) == F.col("_edge"))
+    keys = at.groupBy(F.col(key).alias("_prefix"), F.col("_done").alias("_skip"), "_take").agg(F.count(F.lit(1)).alias("_n"))
+    last = _boundary(keys, F.col("_skip")).select(F.col("_prefix").alias("_last"), F.col("_before").alias("_gone"))
+    at = at.crossJoin(F.broadcast(last))  # one row
+    near = at.filter(F.col(key) != F.col("_last")).withColumn("split", F.when(F.col(key) < F.col("_last"), first).otherwise(rest))
+    # copies of the boundary key, however many, are numbered where they lie: counts of tasks come before them
+    copies = at.filter(F.col(key) == F.col("_last")).withColumn("_at", F.monotonically_increasing_id())
+    task = F.shiftright("_at", 33)
+    tasks = copies.groupBy(task.alias("_prefix")).agg(F.count(F.lit(1)).alias("_rows"))  # a row a task
+    tasks = tasks.select("_prefix", (F.sum("_rows").over(Window.orderBy("_prefix")) - F.col("_rows")).alias("_ahead"))
+    rank = F.col("_ahead") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    copies = copies.join(F.broadcast(tasks), task == F.col("_prefix")).withColumn("split", F.when(F.col("_gone") + rank <= F.col("_take"), first).otherwise(rest))
+    out = sides.unionByName(near.drop("_last", "_gone")).unionByName(copies.drop("_last", "_gone", "_at", "_prefix", "_ahead"))
+    return out.drop("_edge", "_done", "_take")
 
 
 def random_holdout(df: DataFrame, test_size: float = TEST_SIZE, seed: int = SEED) -> DataFrame:

@@ -41,6 +41,7 @@ def load_all() -> dict[str, Query]:
         q_features,
         q_splits,
         q_models,
+        q_training,
         q_comparables,
         q_estimate,
         q_calibrate,
