@@ -166,6 +166,7 @@ def bands(priced: DataFrame, terciles: DataFrame) -> DataFrame:
     ).drop("budget_max", "high_min")
 
 
+# Labels and notes of the response.
 CALIB_LABELS = {
     "validated_loro": ("2026 Market Calibrated (LORO-validated)", "Calibrated against market evidence with leave-one-route-out cross-validation."),
     "experimental": ("Experimental market calibration", "Experimental calibration — leave-one-route-out validation did not significantly beat uncalibrated baseline."),
@@ -176,7 +177,8 @@ def response_rows(est: DataFrame, summary: DataFrame) -> DataFrame:
     """J7 + J9: comparable differences and the nested response struct per request."""
     j = est.join(summary.withColumnRenamed("qid", "request_id"), "request_id", "left")
     med = F.col("median")
-    label = F.when(F.col("status") == "validated_loro", CALIB_LABELS["validated_loro"][0]).otherwise(CALIB_LABELS["experimental"][0])
+    label, note = (F.when(F.col("status") == "validated_loro", CALIB_LABELS["validated_loro"][i]).otherwise(CALIB_LABELS["experimental"][i]) for i in (0, 1))
+    echo = {"airline": "airline_n", "source_iata": "src_iata", "destination_iata": "dst_iata", "source_city": "src_resolved_city", "destination_city": "dst_resolved_city", "departure_time": "departure_time_n", "arrival_time": "arrival_time_n", "stops": "stops_n", "class": "class_n", "duration": "duration", "days_left": "days_left"}
     return j.select(
         "request_id",
         "session_id",
@@ -185,9 +187,10 @@ def response_rows(est: DataFrame, summary: DataFrame) -> DataFrame:
             F.lit("INR").alias("currency"),
             F.struct("error_band", "low", "high").alias("expected_price_range"),
             F.struct("raw_model_price", F.col("hist_baseline").alias("smearing_corrected_price")).alias("historical_baseline"),
-            F.struct("macro_adjustment_inr", "inflation_multiplier", F.col("status").alias("validation_status"), label.alias("calibration_label")).alias(
+            F.struct("macro_adjustment_inr", "inflation_multiplier", F.col("status").alias("validation_status"), label.alias("calibration_label"), note.alias("note")).alias(
                 "market_calibration"
             ),
+            F.struct(*(F.col(c).alias(name) for name, c in echo.items())).alias("request"),
             "distance_km",
             "fare_band",
             "out_of_training_distribution",

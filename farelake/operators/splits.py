@@ -51,7 +51,7 @@ def first_n(df: DataFrame, key: str, take: DataFrame, first: str, rest: str) ->
     j = df.crossJoin(F.broadcast(edge))  # one row
     sides = j.filter(F.col("_edge").isNull() | (prefix(2) != F.col("_edge"))).withColumn("split", F.when(prefix(2) < F.col("_edge"), first).otherwise(rest))
     at = j.filter(prefix(2) == F.col("_edge"))
-    keys = at.groupBy(F.col(key).alias("_prefix"), F.col("_done").alias("_skip"), "_take").agg(F.count(F.lit(1)).alias("_n"))
+    keys = at.groupBy(F.substring(key, 1, 32).alias("_prefix"), F.col("_done").alias("_skip"), "_take").agg(F.count(F.lit(1)).alias("_n"))
     last = _boundary(keys, F.col("_skip")).select(F.col("_prefix").alias("_last"), F.col("_before").alias("_gone"))
     at = at.crossJoin(F.broadcast(last))  # one row
     near = at.filter(F.col(key) != F.col("_last")).withColumn("split", F.when(F.col(key) < F.col("_last"), first).otherwise(rest))

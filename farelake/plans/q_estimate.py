@@ -15,6 +15,7 @@ from farelake.plans.oracle_requests import REQUESTS_VALID_SQL, comparables_sql,
 from farelake.plans.q_comparables import comparables, valid_requests
 from farelake.sources.tables import table
 from farelake.plans.registry import register
+from farelake.session import written_table
 from farelake.sources import adapter
 
 
@@ -48,14 +49,29 @@ def j2_normalised_requests(spark, sf):
     )
 
 
-def _estimates(spark, sf, feats=CAL.LOG_HIST_FEATURES):
+def _fitted(spark, sf, feats=CAL.LOG_HIST_FEATURES, robust=False):
+    """What the chain needs of the history, each written once: class coefficients, the calibrator, terciles."""
     f = D.fares(spark, sf)
-    coefs = M.fit_class_loglinear(f)
-    obs = CAL.observation_records(f, coefs)
-    cal = CAL.calibrator(obs, feats)
-    v = valid_requests(spark, sf).filter("valid")
-    priced = EST.price_chain(v, coefs, cal)
-    return EST.bands(priced, P.price_terciles(f))
+    coefs = written_table(M.fit_class_loglinear(f), "coefficients")
+    cal = CAL.calibrator(CAL.observation_records(f, coefs), feats, robust=robust)
+    return coefs, cal, written_table(P.price_terciles(f), "terciles")
+
+
+def _priced(valid, fitted):
+    coefs, cal, terciles = fitted
+    return EST.bands(EST.price_chain(valid, coefs, cal), terciles)
+
+
+def _estimates(spark, sf, feats=CAL.LOG_HIST_FEATURES, robust=False):
+    return _priced(valid_requests(spark, sf).filter("valid"), _fitted(spark, sf, feats, robust))
+
+
+def _responses(valid, fitted, fares):
+    """The whole chain for some validated requests: prices, bands, comparables, the nested response."""
+    valid = written_table(valid.filter("valid"), "valid")
+    queries = EST.comparable_queries(valid)
+    found = CMP.nearest_comparables(queries, fares, k=CMP.PREDICTION_K)
+    return EST.response_rows(_priced(valid, fitted), CMP.summarize(found, queries))
 
 
 _CAL_1D_SQL = observations_sql() + ",\n" + loro_1d_sql("route", "lr") + """,
@@ -135,10 +151,7 @@ def j7_difference_from_comparables(spark, sf):
 @register("j8_estimate_table", sql=None)
 def j8_estimate_table(spark, sf):
     """Batch estimate table: nested response row per valid request (J3-J9); same transform runs per stream micro-batch."""
-    e = _estimates(spark, sf)
-    q, c = comparables(spark, sf)
-    s = CMP.summarize(c, q)
-    return EST.response_rows(e, s)
+    return _responses(valid_requests(spark, sf), _fitted(spark, sf), D.fares(spark, sf))
 
 
 @register("j3_price_chain_full_calibrator", sql=None)
@@ -271,3 +284,50 @@ def j8_stream_request_validation(spark, sf):
 
     out = run_file_stream(spark, sf, "events.parquet", schema, transform, "request-validation")
     return spark.read.parquet(out).select("request_id", "valid", "reasons")
+
+
+@register("j3_price_chain_robust", sql=None)
+def j3_price_chain_robust(spark, sf):
+    """Price chain with the five-feature calibrator chosen among ridge and huber."""
+    e = _estimates(spark, sf, CAL.FULL_FEATURES, robust=True)
+    return e.select("request_id", "hist_baseline", "predicted_price", "low", "high", "fare_band")
+
+
+def stream_estimates(spark, sf, source_dir, glob, base=None):
+    """J8 as a stream: files of events become requests, validated, priced and compared a micro-batch at a time; the output path."""
+    from farelake.streaming.estimates import run_file_stream
+
+    f = D.fares(spark, sf)
+    fitted, cat = _fitted(spark, sf), written_table(EST.catalogue(f), "catalogue")
+    dim, idx = written_table(D.airports(spark, sf), "airports"), written_table(D.name_index(spark, sf), "names")
+    transform = lambda batch: _responses(EST.validate_requests(adapter.requests_from_events(batch), cat, dim, idx), fitted, f)
+    return run_file_stream(spark, source_dir, glob, table(spark, sf, "events").schema, transform, "estimates", base=base)
+
+
+@register("j8_stream_estimate_table", sql=None)
+def j8_stream_estimate_table(spark, sf):
+    """The whole estimate chain as a stream over the events files (availableNow); equals the batch estimate table."""
+    return spark.read.parquet(stream_estimates(spark, sf, sf, "events.parquet")).drop("epoch")
+
+
+def stream_sessions(spark, sf, source_dir, glob, base=None):
+    """J10 as a stream with keyed state; the output path."""
+    from farelake.streaming.estimates import newest_of_stream, run_file_stream
+
+    prepare = lambda events: newest_of_stream(adapter.requests_from_events(events))
+    return run_file_stream(spark, source_dir, glob, table(spark, sf, "events").schema, lambda batch: batch, "sessions", base=base, prepare=prepare)
+
+
+@register(
+    "j10_stream_latest_per_session",
+    sql=with_base(
+        """SELECT session_id, request_id, CAST(position AS INTEGER) AS position FROM (
+  SELECT session_id, request_id, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, request_id DESC) AS position FROM requests)
+WHERE position <= 20"""
+    ),
+)
+def j10_stream_latest_per_session(spark, sf):
+    """Newest 20 requests per session kept in keyed state of a stream over the events files."""
+    from farelake.streaming.estimates import last_lists
+
+    return last_lists(spark, stream_sessions(spark, sf, sf, "events.parquet")).select("session_id", "request_id", "position")
