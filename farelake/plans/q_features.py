@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from farelake.operators import encode as EN
 from farelake.operators import ranks as R
 from farelake.functions import features as FE
 from farelake.operators import models as M
@@ -12,6 +13,7 @@ from farelake.plans import datasets as D
 from farelake.plans.oracle_base import rnd, with_base
 from farelake.plans.q_splits import KEY_SQL
 from farelake.plans.registry import register
+from farelake.session import written_table
 
 NUM = FE.NUMERICAL_CORE
 CAT = FE.CATEGORICAL_WITH_CLASS
@@ -119,33 +121,71 @@ def e9_standardise_stats(spark, sf):
     return wide.selectExpr(f"stack({len(NUM)}, {args}) AS (column, mean, std)")
 
 
-def _apply_sql() -> str:
+def _apply_sql(impute: bool = True) -> str:
     parts = []
     for c in NUM:
+        value = f"coalesce(t.{c}, s.med)" if impute else f"t.{c}"
         parts.append(
-            f"""SELECT '{c}' AS column, {rnd(f"avg(CASE WHEN s.sd = 0 THEN 0.0 ELSE (coalesce(t.{c}, s.med) - s.mu) / s.sd END)", 6)} AS mean_scaled
+            f"""SELECT '{c}' AS column, {rnd(f"avg(CASE WHEN s.sd = 0 THEN 0.0 ELSE ({value} - s.mu) / s.sd END)", 6)} AS mean_scaled
   FROM test t, (SELECT median({c}) AS med, avg({c}) AS mu, stddev_pop({c}) AS sd FROM train) s"""
         )
     return " UNION ALL ".join(parts)
 
 
-@register("e11_preprocess_apply", sql=with_base(_apply_sql(), SPLIT_SQL))
-def e11_preprocess_apply(spark, sf):
-    """Fit median-impute + standardise on train, apply to test (no leakage); mean scaled value per column."""
-    train, test = _train_test(spark, sf)
+def _preprocessed(spark, sf, impute: bool):
+    """Mean scaled value per numeric column of the test part, by statistics of the training part alone."""
+    split = written_table(SP.random_holdout(D.fares(spark, sf).select(*NUM, *[c for c in (*SP.ROW_KEY_COLUMNS, *SP.ROW_KEY_NUMBERS) if c not in NUM])), "split")
+    train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
     stats = train.agg(*[x for c in NUM for x in (F.avg(c).alias(f"mu_{c}"), F.stddev_pop(c).alias(f"sd_{c}"))])
-    medians = R.column_quantiles(train, NUM, {"median": 0.5}).select(*(F.col(f"{c}.median").alias(f"med_{c}") for c in NUM))
-    stats = stats.crossJoin(F.broadcast(medians))
-    j = test.crossJoin(F.broadcast(stats))  # 1-row statistics
-    scaled = {
-        c: F.when(F.col(f"sd_{c}") == 0, F.lit(0.0)).otherwise((F.coalesce(F.col(c), F.col(f"med_{c}")) - F.col(f"mu_{c}")) / F.col(f"sd_{c}"))
-        for c in NUM
-    }
+    if impute:
+        stats = stats.crossJoin(F.broadcast(R.column_quantiles(train, NUM, {"median": 0.5}).select(*(F.col(f"{c}.median").alias(f"med_{c}") for c in NUM))))
+    j = test.crossJoin(F.broadcast(written_table(stats, "scales")))  # one row
+    value = {c: F.coalesce(F.col(c), F.col(f"med_{c}")) if impute else F.col(c) for c in NUM}
+    scaled = {c: F.when(F.col(f"sd_{c}") == 0, F.lit(0.0)).otherwise((value[c] - F.col(f"mu_{c}")) / F.col(f"sd_{c}")) for c in NUM}
     wide = j.agg(*[F.avg(e).alias(c) for c, e in scaled.items()])
     args = ", ".join(f"'{c}', round(`{c}`, 6)" for c in NUM)
     return wide.selectExpr(f"stack({len(NUM)}, {args}) AS (column, mean_scaled)")
 
 
+@register("e11_preprocess_apply", sql=with_base(_apply_sql(), SPLIT_SQL))
+def e11_preprocess_apply(spark, sf):
+    """Fit median-impute + standardise on train, apply to test (no leakage); mean scaled value per column."""
+    return _preprocessed(spark, sf, impute=True)
+
+
+@register("e12_preprocess_without_imputation", sql=with_base(_apply_sql(impute=False), SPLIT_SQL))
+def e12_preprocess_without_imputation(spark, sf):
+    """The legacy preprocessor: standardised as E11 but nothing imputed, so missing values stay missing."""
+    return _preprocessed(spark, sf, impute=False)
+
+
+_DICTIONARY_SQL = """dictionary AS (
+  SELECT ord, col, value, row_number() OVER (ORDER BY ord, value) - 1 AS slot FROM (
+""" + " UNION ALL ".join(f"SELECT DISTINCT {i} AS ord, '{c}' AS col, \"{c}\" AS value FROM train WHERE \"{c}\" IS NOT NULL" for i, c in enumerate(CAT)) + "))"
+
+
+@register("e10_category_dictionary", sql=with_base("SELECT col, value, CAST(slot AS INTEGER) AS slot FROM dictionary", SPLIT_SQL + ",\n" + _DICTIONARY_SQL))
+def e10_category_dictionary(spark, sf):
+    """One-hot dictionary of the training part: a slot for every value of every categorical feature."""
+    train, _ = _train_test(spark, sf)
+    return EN.dictionary(train, CAT)
+
+
+@register(
+    "e10_one_hot_slots",
+    sql=with_base(
+        "SELECT airline, flight, price, duration, "
+        + "concat_ws(',', " + ", ".join(f"CAST((SELECT min(slot) FROM dictionary d WHERE d.col = '{c}' AND d.value = t.\"{c}\") AS VARCHAR)" for c in CAT) + ") AS slots FROM test t",
+        SPLIT_SQL + ",\n" + _DICTIONARY_SQL,
+    ),
+)
+def e10_one_hot_slots(spark, sf):
+    """Sparse one-hot slots of every test row by the training dictionary; a null or unseen value sets none."""
+    train, test = _train_test(spark, sf)
+    coded = EN.one_hot(test, EN.dictionary(train, CAT), CAT)
+    return coded.select("airline", "flight", "price", "duration", F.array_join("slots", ",").alias("slots"))
+
+
 ROUTER_SQL = """coefs AS (
   SELECT class AS model_class, regr_slope(ln(1 + price), distance_km) AS slope, regr_intercept(ln(1 + price), distance_km) AS intercept
   FROM fares WHERE class IN ('Economy', 'Business') GROUP BY class),
