@@ -20,7 +20,14 @@ NUM_COLS = [
 ]
 
 
-@register("c1_shape", sql=None)
+@register(
+    "c1_shape",
+    sql=with_base(
+        "SELECT position, name AS column, dtype, (SELECT count(*) FROM fares) AS rows FROM (VALUES "
+        + ", ".join(f"({i}, '{c}', '{'double' if c in NUM_COLS else 'string'}')" for i, c in enumerate(FARE_COLS))
+        + ") AS v(position, name, dtype)"
+    ),
+)
 def c1_shape(spark, sf):
     """Column names, positions, Spark types and row count (metadata + one count)."""
     return P.shape(D.fares(spark, sf))
