@@ -63,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Seeded selection, recursive decoding and token ids have no SQL form; tests hold run() against a plain version.
+#: Seeded selection, recursive decoding and token ids have no SQL form; tests hold run() against its stages one by one, and the stages against plain versions.
 ORACLE_SQL = None
