@@ -318,3 +318,37 @@ def route_table(obs: DataFrame, feats: list[str], alpha: float = RIDGE_ALPHA) ->
         F.round((F.col("_o") - F.col("_m")) / F.col("_m") * 100, 1).alias("error_pct"),
         F.lit(True).alias("out_of_fold"),
     )
+
+
+def report(obs: DataFrame, feats: list[str], alpha: float = RIDGE_ALPHA) -> DataFrame:
+    """The calibration report as rows (section, item, metric, value, text): counts, choice, candidates, routes."""
+    cands = written_table(candidate_table(obs, feats, alpha), "candidates")
+    counts = obs.agg(
+        F.count("*").alias("observation_count"), F.count_distinct("route").alias("unique_routes"), F.count_distinct("corridor").alias("unique_corridors")
+    )
+    chosen = select_calibrator(cands).crossJoin(F.broadcast(global_factor(obs)))  # one row each
+
+    def rows(df: DataFrame, section: str, item: Column, numbers: list[str], texts: tuple[str, ...] = ()) -> DataFrame:
+        cells = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"), F.lit(None).cast("string").alias("text")) for c in numbers]
+        cells += [F.struct(F.lit(c).alias("metric"), F.lit(None).cast("double").alias("value"), F.col(c).alias("text")) for c in texts]
+        return df.select(F.lit(section).alias("section"), item.alias("item"), F.explode(F.array(*cells)).alias("_c")).select("section", "item", "_c.*")
+
+    none = F.lit("")
+    out = rows(counts, "summary", none, counts.columns)
+    out = out.unionByName(rows(chosen, "choice", none, ["mae_none", "mae_inflation", "mae_after", "factor"], ("best_model", "status")))
+    out = out.unionByName(rows(cands, "candidates", F.col("candidate"), ["mae", "loco_mae"]))
+    routes = route_table(obs, feats, alpha)
+    return out.unionByName(rows(routes, "routes", F.col("route"), ["historical_ml", "calibrated_oof", "market_fare", "error_pct"]))
+
+
+#: Days before departure that the probe grid asks for.
+PROBE_DAYS = (7, 15, 30)
+
+
+def probe_grid(obs: DataFrame, calib: DataFrame, days: tuple[int, ...] = PROBE_DAYS) -> DataFrame:
+    """The calibrator asked for every corridor and cabin at some days before departure: its mean historical fare in, the
+    calibrated one out."""
+    means = obs.groupBy("corridor", "cabin").agg(F.round(F.avg("hist_pred"), 2).alias("hist"), F.avg("distance_km").alias("distance_km"))
+    grid = means.withColumn("days_left", F.explode(F.array(*(F.lit(d) for d in days)))).crossJoin(F.broadcast(calib))  # one row
+    asked = apply_calibration(F.col("hist"), F.col("distance_km"), F.col("days_left").cast("double"), F.col("cabin"))
+    return grid.select("corridor", "cabin", "days_left", "hist", asked.alias("calibrated"))

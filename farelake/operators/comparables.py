@@ -258,7 +258,7 @@ def summarize(comps: DataFrame, queries: DataFrame, qid: str = "request_id") ->
     s = comps.groupBy("qid").agg(
         F.count("*").alias("count"),
         F.round(F.median("price"), 2).alias("median"),
-        F.round(F.avg("price"), 2).alias("mean"),
+        F.round(F.avg(F.col("price").cast("decimal(24,6)")), 2).cast("double").alias("mean"),  # exact, so no order of rows shows
         F.round(F.min("price"), 2).alias("min"),
         F.round(F.max("price"), 2).alias("max"),
         F.bool_and(F.col("match_type") == "exact_route").alias("_all_exact"),

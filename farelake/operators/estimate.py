@@ -206,6 +206,40 @@ def response_rows(est: DataFrame, summary: DataFrame) -> DataFrame:
     )
 
 
+#: Days before departure that the diagnostic grid asks for.
+SCENARIO_DAYS = (2, 7, 15, 30)
+
+
+def scenario_grid(fares: DataFrame, days: tuple[int, ...] = SCENARIO_DAYS) -> DataFrame:
+    """One request per route, routed class and number of days: the route's commonest airline and stops (ties: the first by
+    name), its suggested duration, a morning departure and an evening arrival. Rows without airline or stops do not count."""
+    public = fares.filter(F.col("class").isin(*ROUTED_CLASSES)).dropna(subset=["source_city", "destination_city", "airline", "stops"])
+    flown = public.groupBy("source_city", "destination_city", "class", "airline", "stops").agg(F.count(F.lit(1)).alias("n"), F.max("distance_km").alias("km"))
+    commonest = F.min(F.struct((-F.col("n")).alias("n"), "airline", "stops", "km")).alias("_most")
+    routes = flown.groupBy("source_city", "destination_city", "class").agg(commonest)
+    none = F.lit(None).cast("string")
+    asked = routes.select(
+        "source_city", "destination_city", "class", F.col("_most.airline").alias("airline"), F.col("_most.stops").alias("stops"),
+        none.alias("source_iata"), none.alias("destination_iata"),
+        F.lit("Morning").alias("departure_time"), F.lit("Evening").alias("arrival_time"),
+        G.suggested_duration(F.col("_most.km"), F.col("_most.stops")).alias("duration"),
+        F.explode(F.array(*(F.lit(d) for d in days))).alias("days_left"),
+    )
+    name = F.concat_ws("|", "source_city", "destination_city", "class", F.col("days_left").cast("string"))
+    return asked.withColumns({"request_id": name, "session_id": F.lit(0).cast("long")})
+
+
+def diagnostics(est: DataFrame, summary: DataFrame) -> DataFrame:
+    """Each scenario's estimate beside its comparables, their absolute difference and the reliability tier."""
+    j = est.join(summary.withColumnRenamed("qid", "request_id"), "request_id", "left")
+    return j.select(
+        F.col("src_resolved_city").alias("source_city"), F.col("dst_resolved_city").alias("destination_city"), "distance_km",
+        F.col("airline_n").alias("airline"), F.col("class_n").alias("class"), F.col("stops_n").alias("stops"), "duration", "days_left",
+        "predicted_price", "median", "mean", "min", "max",
+        F.abs(F.round(F.col("predicted_price") - F.col("median"), 2)).alias("difference"), "reliability_tier",
+    )
+
+
 def latest_per_session(events: DataFrame, n: int = 20, session: str = "session_id", ts: str = "ts", tie: str = "request_id") -> DataFrame:
     """Newest n rows per session (row_number over ts desc; planned as WindowGroupLimit)."""
     from pyspark.sql import Window

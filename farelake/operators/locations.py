@@ -14,6 +14,8 @@ from farelake.functions.labels import KNOWN_TRAINING_CITIES, strip_ws
 from farelake.session import written_table
 
 DEFAULT_SEARCH_LIMIT = 8
+#: Longest character run that the search index lists.
+GRAM = 3
 
 
 def airport_dimension(raw: DataFrame) -> DataFrame:
@@ -74,17 +76,39 @@ def _search_score(q: Column) -> Column:
     )
 
 
+def _grams(text: Column, width: Column | int) -> Column:
+    """All runs of ``width`` characters of a text, in order."""
+    width = F.lit(width) if isinstance(width, int) else width
+    places = F.when(F.length(text) >= width, F.sequence(F.lit(1), F.length(text) - width + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.substring(text, i, width))
+
+
+def gram_index(dim: DataFrame) -> DataFrame:
+    """D6 index: iata, gram for every run of 1 to ``GRAM`` characters of the texts that a search looks into (each once)."""
+    texts = F.array_compact(
+        F.concat(F.array("city", "airport", "iata", "state"), F.coalesce(F.split("aliases", r"\|"), F.array().cast("array<string>")))
+    )
+    grams = F.flatten(F.transform(texts, lambda t: F.concat(*(_grams(F.lower(t), n) for n in range(1, GRAM + 1)))))
+    return dim.select("iata", F.explode(F.array_distinct(grams)).alias("gram"))
+
+
 def search(queries: DataFrame, dim: DataFrame, limit: int = DEFAULT_SEARCH_LIMIT, query_col: str = "q") -> DataFrame:
-    """Ranked search for many queries at once; top ``limit`` per query.
+    """Ranked search for many queries at once; top ``limit`` per query. ``dim`` has one row per ``iata``.
 
-    Queries x dimension with the score as join condition, then a
-    per-query ``row_number`` (planned as a partial + final WindowGroupLimit).
+    A text that contains a query contains every gram of it, so each query meets, by an equality join, only the airports
+    listed under its rarest gram; a query with a gram that no airport has meets none. The score then decides, and a
+    per-query ``row_number`` (planned as a partial + final WindowGroupLimit) ranks.
     Order: score, city, file order. Blank queries return nothing.
     """
     qs = queries.select(F.col(query_col).alias("_query")).distinct()
     qs = qs.withColumn("_qk", F.lower(strip_ws(F.col("_query")))).filter(F.length("_qk") >= 1)
-    d = dim
-    scored = qs.join(d, _search_score(F.col("_qk")).isNotNull()).withColumn("score", _search_score(F.col("_qk")))
+    index = gram_index(dim)
+    sizes = index.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    each = qs.withColumn("gram", F.explode(F.array_distinct(_grams(F.col("_qk"), F.least(F.lit(GRAM), F.length("_qk"))))))
+    rarest = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("_rarest")
+    rare = each.join(sizes, "gram", "left").groupBy("_query", "_qk").agg(rarest).filter("_rarest.n > 0")
+    met = rare.select("_query", "_qk", F.col("_rarest.gram").alias("gram")).join(index, "gram").drop("gram")
+    scored = met.join(dim, "iata").withColumn("score", _search_score(F.col("_qk"))).filter(F.col("score").isNotNull())
     w = Window.partitionBy("_query").orderBy("score", "city", "seq")
     ranked = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
     return ranked.select(

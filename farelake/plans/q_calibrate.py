@@ -16,7 +16,7 @@ _OBS = observations_sql()
 _LORO = _OBS + ",\n" + loro_1d_sql("route", "lr") + ",\n" + loro_1d_sql("corridor", "lc")
 
 
-def _obs(spark, sf):
+def observations(spark, sf):
     f = D.fares(spark, sf)
     return CAL.observation_records(f, M.fit_class_loglinear(f))
 
@@ -32,14 +32,14 @@ def _rounded_metrics(df, y, p):
 )
 def h1_observation_records(spark, sf):
     """Observation records: route, corridor, cabin, days, smeared historical prediction, market fare."""
-    o = _obs(spark, sf)
+    o = observations(spark, sf)
     return o.select("route", "corridor", "airline", "cabin", "days_left", F.round("hist_pred", 2).alias("hist_pred"), "distance_km", "market_fare")
 
 
 @register("h2_loro_ridge_1d", sql=with_base(f"SELECT count(*) AS rows, {metrics_sql('market_fare', 'oof_pred')} FROM lr_oof", _LORO))
 def h2_loro_ridge_1d(spark, sf):
     """Leave-one-route-out ridge (one feature): out-of-fold metrics from per-route sufficient statistics."""
-    of = CAL.with_features(_obs(spark, sf))
+    of = CAL.with_features(observations(spark, sf))
     oof = CAL.out_of_fold(of, CAL.loro_coefficients(of, "route", CAL.LOG_HIST_FEATURES), "route", CAL.LOG_HIST_FEATURES)
     return oof.groupBy().agg(F.count("*").alias("rows")).crossJoin(_rounded_metrics(oof, "market_fare", "oof_pred"))
 
@@ -47,7 +47,7 @@ def h2_loro_ridge_1d(spark, sf):
 @register("h2_loco_ridge_1d", sql=with_base(f"SELECT count(*) AS rows, {metrics_sql('market_fare', 'oof_pred')} FROM lc_oof", _LORO))
 def h2_loco_ridge_1d(spark, sf):
     """Leave-one-corridor-out ridge (one feature) out-of-fold metrics."""
-    of = CAL.with_features(_obs(spark, sf))
+    of = CAL.with_features(observations(spark, sf))
     oof = CAL.out_of_fold(of, CAL.loro_coefficients(of, "corridor", CAL.LOG_HIST_FEATURES), "corridor", CAL.LOG_HIST_FEATURES)
     return oof.groupBy().agg(F.count("*").alias("rows")).crossJoin(_rounded_metrics(oof, "market_fare", "oof_pred"))
 
@@ -55,7 +55,7 @@ def h2_loco_ridge_1d(spark, sf):
 @register("h2_loro_ridge_full", sql=None)
 def h2_loro_ridge_full(spark, sf):
     """Leave-one-route-out ridge on the five calibration features (folds solved together in mapInPandas)."""
-    of = CAL.with_features(_obs(spark, sf))
+    of = CAL.with_features(observations(spark, sf))
     oof = CAL.out_of_fold(of, CAL.loro_coefficients(of, "route", CAL.FULL_FEATURES), "route", CAL.FULL_FEATURES)
     return oof.groupBy().agg(F.count("*").alias("rows")).crossJoin(_rounded_metrics(oof, "market_fare", "oof_pred"))
 
@@ -70,7 +70,7 @@ FROM obs o, (SELECT median(market_fare / hist_pred) AS factor FROM obs) f GROUP
 )
 def h3_global_inflation(spark, sf):
     """Global inflation baseline: median market/historical ratio and its MAE."""
-    o = _obs(spark, sf)
+    o = observations(spark, sf)
     fac = CAL.global_factor(o)
     j = o.crossJoin(F.broadcast(fac))
     return j.groupBy("factor").agg(F.round(F.avg(F.abs(F.col("market_fare") - F.col("hist_pred") * F.col("factor"))), 4).alias("mae")).select(
@@ -81,18 +81,18 @@ def h3_global_inflation(spark, sf):
 @register("h4_no_calibration", sql=with_base(f"SELECT {metrics_sql('market_fare', 'hist_pred')} FROM obs", _OBS))
 def h4_no_calibration(spark, sf):
     """Baseline metrics without calibration."""
-    return _rounded_metrics(_obs(spark, sf), "market_fare", "hist_pred")
+    return _rounded_metrics(observations(spark, sf), "market_fare", "hist_pred")
 
 
-_CANDS_SQL = """SELECT 'none' AS candidate, 0 AS ordinal, round(avg(abs(market_fare - hist_pred)), 4) AS mae, CAST(NULL AS DOUBLE) AS loco_mae FROM obs
+CANDIDATES_SQL = """SELECT 'none' AS candidate, 0 AS ordinal, round(avg(abs(market_fare - hist_pred)), 4) AS mae, CAST(NULL AS DOUBLE) AS loco_mae FROM obs
 UNION ALL SELECT 'global_inflation', 1, round(avg(abs(market_fare - hist_pred * factor)), 4), NULL FROM obs, (SELECT median(market_fare / hist_pred) AS factor FROM obs)
 UNION ALL SELECT 'ridge', 2, (SELECT round(avg(abs(market_fare - oof_pred)), 4) FROM lr_oof), (SELECT round(avg(abs(market_fare - oof_pred)), 4) FROM lc_oof)"""
 
 
-@register("h5_candidate_table", sql=with_base(_CANDS_SQL, _LORO))
+@register("h5_candidate_table", sql=with_base(CANDIDATES_SQL, _LORO))
 def h5_candidate_table(spark, sf):
     """Candidate table: none / global inflation / ridge with LORO MAE and leave-one-corridor-out MAE."""
-    c = CAL.candidate_table(_obs(spark, sf), CAL.LOG_HIST_FEATURES)
+    c = CAL.candidate_table(observations(spark, sf), CAL.LOG_HIST_FEATURES)
     return c.select("candidate", "ordinal", F.round("mae", 4).alias("mae"), F.round("loco_mae", 4).alias("loco_mae"))
 
 
@@ -103,7 +103,7 @@ def _rounded_candidates(c):
 @register("h5_candidate_table_robust", sql=None)
 def h5_candidate_table_robust(spark, sf):
     """None, inflation, ridge and huber on the five features: LORO metrics and leave-one-corridor-out MAE (all folds at once)."""
-    o = _obs(spark, sf)
+    o = observations(spark, sf)
     huber = CAL.huber_folds(CAL.with_features(o), CAL.FULL_FEATURES)
     return _rounded_candidates(CAL.candidate_table(o, CAL.FULL_FEATURES, huber=huber))
 
@@ -111,13 +111,13 @@ def h5_candidate_table_robust(spark, sf):
 @register("h5_candidate_trees", sql=None)
 def h5_candidate_trees(spark, sf):
     """Forest and boosting calibrators with whole groups of routes (corridors) held out: metrics of out-of-fold predictions."""
-    return _rounded_candidates(CAL.tree_candidates(_obs(spark, sf), CAL.FULL_FEATURES))
+    return _rounded_candidates(CAL.tree_candidates(observations(spark, sf), CAL.FULL_FEATURES))
 
 
 @register("h6_h9_selection_robust", sql=None)
 def h6_h9_selection_robust(spark, sf):
     """Selection and status among none, inflation, ridge and huber on the five features."""
-    c = CAL.calibrator(_obs(spark, sf), CAL.FULL_FEATURES, robust=True)
+    c = CAL.calibrator(observations(spark, sf), CAL.FULL_FEATURES, robust=True)
     return c.select("best_model", F.round("mae_after", 4).alias("mae_after"), "status", *(F.round(f"b{i}", 6).alias(f"b{i}") for i in range(6)))
 
 
@@ -136,7 +136,7 @@ def h6_h9_selection_robust(spark, sf):
 )
 def h6_h9_selection(spark, sf):
     """Selection (strict improvement, listed order) and validation status (< 0.85 x uncalibrated MAE)."""
-    s = CAL.select_calibrator(CAL.candidate_table(_obs(spark, sf), CAL.LOG_HIST_FEATURES))
+    s = CAL.select_calibrator(CAL.candidate_table(observations(spark, sf), CAL.LOG_HIST_FEATURES))
     return s.select("best_model", F.round("mae_after", 4).alias("mae_after"), "status")
 
 
@@ -150,7 +150,7 @@ def h6_h9_selection(spark, sf):
 )
 def h7_final_fit(spark, sf):
     """Final ridge (one feature) on all observations."""
-    c = CAL.fit_all(CAL.with_features(_obs(spark, sf)), CAL.LOG_HIST_FEATURES)
+    c = CAL.fit_all(CAL.with_features(observations(spark, sf)), CAL.LOG_HIST_FEATURES)
     return c.select(F.round("b0", 6).alias("b0"), F.round("b1", 6).alias("b1"))
 
 
@@ -165,7 +165,7 @@ FROM lr_oof GROUP BY route""",
 )
 def h8_route_table(spark, sf):
     """Per-route validation table of out-of-fold predictions."""
-    return CAL.route_table(_obs(spark, sf), CAL.LOG_HIST_FEATURES)
+    return CAL.route_table(observations(spark, sf), CAL.LOG_HIST_FEATURES)
 
 
 @register(
@@ -177,7 +177,7 @@ def h8_route_table(spark, sf):
 )
 def h10_summary(spark, sf):
     """Observation, route and corridor counts."""
-    o = _obs(spark, sf)
+    o = observations(spark, sf)
     return o.agg(
         F.count("*").alias("observation_count"), F.count_distinct("route").alias("unique_routes"), F.count_distinct("corridor").alias("unique_corridors")
     )
@@ -186,7 +186,7 @@ def h10_summary(spark, sf):
 @register("h12_in_sample_check", sql=None)
 def h12_in_sample_check(spark, sf):
     """In-sample check of the final five-feature ridge: MAE before/after, R², and the 15-day slice."""
-    o = CAL.with_features(_obs(spark, sf))
+    o = CAL.with_features(observations(spark, sf))
     coef = CAL.fit_all(o, CAL.FULL_FEATURES).drop("grp", "n_train")
     p = o.crossJoin(F.broadcast(coef)).withColumn("cal", F.round(F.exp(CAL.linear_log_pred(CAL.FULL_FEATURES)), 2))
     allm = p.agg(

@@ -49,7 +49,7 @@ def j2_normalised_requests(spark, sf):
     )
 
 
-def _fitted(spark, sf, feats=CAL.LOG_HIST_FEATURES, robust=False):
+def fitted_chain(spark, sf, feats=CAL.LOG_HIST_FEATURES, robust=False):
     """What the chain needs of the history, each written once: class coefficients, the calibrator, terciles."""
     f = D.fares(spark, sf)
     coefs = written_table(M.fit_class_loglinear(f), "coefficients")
@@ -57,13 +57,13 @@ def _fitted(spark, sf, feats=CAL.LOG_HIST_FEATURES, robust=False):
     return coefs, cal, written_table(P.price_terciles(f), "terciles")
 
 
-def _priced(valid, fitted):
+def priced(valid, fitted):
     coefs, cal, terciles = fitted
     return EST.bands(EST.price_chain(valid, coefs, cal), terciles)
 
 
 def _estimates(spark, sf, feats=CAL.LOG_HIST_FEATURES, robust=False):
-    return _priced(valid_requests(spark, sf).filter("valid"), _fitted(spark, sf, feats, robust))
+    return priced(valid_requests(spark, sf).filter("valid"), fitted_chain(spark, sf, feats, robust))
 
 
 def _responses(valid, fitted, fares):
@@ -71,10 +71,10 @@ def _responses(valid, fitted, fares):
     valid = written_table(valid.filter("valid"), "valid")
     queries = EST.comparable_queries(valid)
     found = CMP.nearest_comparables(queries, fares, k=CMP.PREDICTION_K)
-    return EST.response_rows(_priced(valid, fitted), CMP.summarize(found, queries))
+    return EST.response_rows(priced(valid, fitted), CMP.summarize(found, queries))
 
 
-_CAL_1D_SQL = observations_sql() + ",\n" + loro_1d_sql("route", "lr") + """,
+CALIBRATOR_SQL = observations_sql() + ",\n" + loro_1d_sql("route", "lr") + """,
 none_m AS (SELECT avg(abs(market_fare - hist_pred)) AS mae_none FROM obs),
 fac AS (SELECT median(market_fare / hist_pred) AS factor FROM obs),
 infl_m AS (SELECT avg(abs(market_fare - hist_pred * factor)) AS mae_inflation FROM obs, fac),
@@ -90,7 +90,7 @@ calib AS (
     (t.sxy - t.n * (t.sx / t.n) * (t.sy / t.n)) / ((t.sxx - t.n * (t.sx / t.n) * (t.sx / t.n)) + 0.5) AS b1
   FROM sel, lr_t t)"""
 
-_EST_SQL = REQUESTS_VALID_SQL + ",\n" + _CAL_1D_SQL + f""",
+_EST_SQL = REQUESTS_VALID_SQL + ",\n" + CALIBRATOR_SQL + f""",
 priced AS (
   SELECT v.request_id, v.class_n, v.distance_km, v.days_left,
     greatest(exp(c.intercept + c.slope * v.distance_km) - 1, 500.0) AS raw_model_price
@@ -151,7 +151,7 @@ def j7_difference_from_comparables(spark, sf):
 @register("j8_estimate_table", sql=None)
 def j8_estimate_table(spark, sf):
     """Batch estimate table: nested response row per valid request (J3-J9); same transform runs per stream micro-batch."""
-    return _responses(valid_requests(spark, sf), _fitted(spark, sf), D.fares(spark, sf))
+    return _responses(valid_requests(spark, sf), fitted_chain(spark, sf), D.fares(spark, sf))
 
 
 @register("j3_price_chain_full_calibrator", sql=None)
@@ -298,7 +298,7 @@ def stream_estimates(spark, sf, source_dir, glob, base=None):
     from farelake.streaming.estimates import run_file_stream
 
     f = D.fares(spark, sf)
-    fitted, cat = _fitted(spark, sf), written_table(EST.catalogue(f), "catalogue")
+    fitted, cat = fitted_chain(spark, sf), written_table(EST.catalogue(f), "catalogue")
     dim, idx = written_table(D.airports(spark, sf), "airports"), written_table(D.name_index(spark, sf), "names")
     transform = lambda batch: _responses(EST.validate_requests(adapter.requests_from_events(batch), cat, dim, idx), fitted, f)
     return run_file_stream(spark, source_dir, glob, table(spark, sf, "events").schema, transform, "estimates", base=base)

@@ -8,6 +8,7 @@ from farelake.operators import profile as P
 from farelake.plans import datasets as D
 from farelake.plans.oracle_base import money_pct, rnd, with_base
 from farelake.plans.registry import register
+from farelake.session import written_table
 
 FARE_COLS = [
     "airline", "flight", "source_city", "departure_time", "stops", "arrival_time", "destination_city", "class",
@@ -72,6 +73,21 @@ def c4_distinct_values(spark, sf):
     return P.distinct_counts(D.fares(spark, sf))
 
 
+@register(
+    "c4_distinct_sketches",
+    sql=with_base(
+        " UNION ALL ".join(f"SELECT '{c}' AS column, count(DISTINCT \"{c}\") AS exact, true AS within_bound FROM fares" for c in FARE_COLS)
+    ),
+)
+def c4_distinct_sketches(spark, sf):
+    """Distinct values estimated from one kept sketch per class and column, merged; held against the exact counts."""
+    f = D.fares(spark, sf)
+    kept = written_table(P.distinct_sketches(f.withColumn("_part", F.col("class")), ["_part"]), "sketches")
+    estimated = P.merged_distinct(kept).select("column", F.col("value").alias("estimate"))
+    exact = P.distinct_counts(f).select("column", F.col("value").alias("exact")).join(estimated, "column")
+    return exact.select("column", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= P.sketch_bound() * F.col("exact")).alias("within_bound"))
+
+
 def _stats_sql(table: str, cols: list[str]) -> str:
     parts = []
     for c in cols:

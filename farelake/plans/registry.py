@@ -46,6 +46,7 @@ def load_all() -> dict[str, Query]:
         q_estimate,
         q_calibrate,
         q_eda,
+        q_reports,
     )
 
     return REGISTRY
