@@ -8,8 +8,10 @@ in any layer maps to a span there: to its own escapes where the layer was escape
 where it was base64 or compressed, and to the characters of its own stretch of text where the run holds more than text.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned one by one; extra columns
-pass through ``redact`` untouched. A compressed layer of more than ``MAX_LAYER_BYTES`` is not read
-into memory; its span is reported as kind ``opaque`` instead, so nothing is passed over in silence.
+pass through ``redact`` untouched. A compressed layer of more than ``MAX_LAYER_BYTES`` is read to its end in pieces that
+overlap, in bounded memory, as all its finds map to one span: the kinds found are reported there. What runs on from
+piece to piece inside it (compressed data, base64) is decoded as it comes. Only a run of escapes longer than the overlap
+inside such a layer is not followed as bytes; the layer is then of kind ``opaque`` too, so nothing is passed over in silence.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that have 24 or more
 MIN_VALUE, MIN_ACCESS = 6, 20
 
+#: The largest layer that is held whole; a larger one is read in pieces, each with the end of the one before.
 MAX_LAYER_BYTES = 16 << 20
+PIECE_BYTES, OVERLAP_BYTES = 4 << 20, 1 << 16
 MIN_BASE64 = 16
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}+\r?\n)+[A-Za-z0-9+/_-]+={0,2}")
@@ -131,7 +135,7 @@ def readable(data: bytes) -> str | None:
 
 def inflate(data: bytes, at: int = 0) -> tuple[bytes, int, bool] | None:
     """What the gzip or zlib data from ``at`` on holds, all members that follow one another together, where it ends and
-    whether its end was met; None if it holds nothing; raises MemoryError if that is more than MAX_LAYER_BYTES."""
+    whether its end was met; None if it holds nothing; raises MemoryError (see ``large_kinds``) if that is more than MAX_LAYER_BYTES."""
     out, size, end, ended = [], 0, at, False
     while m := _MEMBER.match(data, end):
         machine, before, begin = zlib.decompressobj(47), size, m.start(1)
@@ -208,8 +212,11 @@ def _segment(layer: Layer, data: bytes, origin: Origin, plain: bool = True) -> t
             try:
                 got = inflate(data, m.start())
             except MemoryError:
-                spans.append((layer.origin(*origin(m.start(), len(data)))[0], 3, layer.origin(*origin(m.start(), len(data)))[1]))
-                break
+                kinds, end, ended = large_kinds(data, m.start())
+                a, b = layer.origin(*origin(m.start(), end))
+                spans += [(a, kind, b) for kind in sorted(kinds)]
+                done = end if ended else done
+                continue
             if got is None:
                 continue
             if got[2]:
@@ -221,6 +228,125 @@ def _segment(layer: Layer, data: bytes, origin: Origin, plain: bool = True) -> t
     return layers, spans
 
 
+class Inflating:
+    """One gzip or zlib member, chunk by chunk; done when its end, or damage, was met."""
+
+    def __init__(self):
+        self.machine, self.done, self.size = zlib.decompressobj(47), False, 0
+
+    def feed(self, chunk: bytes) -> Iterator[bytes]:
+        try:
+            while chunk and not self.machine.eof:
+                out = self.machine.decompress(chunk, PIECE_BYTES)
+                chunk = self.machine.unconsumed_tail
+                self.size += len(out)
+                yield out
+        except zlib.error:
+            self.done = True
+        self.done |= self.machine.eof
+
+
+class Decoding64:
+    """A base64 run, wrapped or not, from one of its four alignments on, chunk by chunk; done when the run ends."""
+
+    ALPHABET = bytes(sorted(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-\r\n"))
+
+    def __init__(self, skip: int):
+        self.skip, self.rest, self.done = skip, b"", False
+
+    def feed(self, chunk: bytes) -> Iterator[bytes]:
+        run = chunk[: len(chunk) - len(chunk.lstrip(self.ALPHABET))]
+        self.done = len(run) < len(chunk)
+        body = self.rest + run.translate(None, b"\r\n").replace(b"-", b"+").replace(b"_", b"/")
+        if self.skip and body:
+            body, self.skip = body[self.skip :], max(0, self.skip - len(body))
+        whole = len(body) // 4 * 4
+        self.rest = body[whole:]
+        yield base64.b64decode(body[:whole])
+
+
+class Stream:
+    """The kinds found, in any layer, in bytes that come chunk by chunk: each piece is scanned with the end of the one before,
+    equal pieces once. Compressed data and base64 that a piece does not hold whole feed streams of their own."""
+
+    def __init__(self):
+        self.kinds: set[int] = set()
+        self._new, self._tail, self._seen = bytearray(), b"", set()
+        self._open: list[tuple[Inflating | Decoding64, Stream]] = []
+
+    def feed(self, chunk: bytes) -> None:
+        self._new += chunk
+        while len(self._new) >= PIECE_BYTES:
+            self._piece(bytes(self._new[:PIECE_BYTES]))
+            del self._new[:PIECE_BYTES]
+
+    def close(self) -> set[int]:
+        self._piece(bytes(self._new), last=True)
+        for _, child in self._open:
+            self.kinds |= child.close()
+        return self.kinds
+
+    def _piece(self, new: bytes, last: bool = False) -> None:
+        still = []
+        for decoder, child in self._open:
+            for out in decoder.feed(new):
+                child.feed(out)
+            if decoder.done:
+                self.kinds |= child.close()
+            else:
+                still.append((decoder, child))
+        self._open = still
+        piece, before = self._tail + new, len(self._tail)
+        if (key := hashlib.sha1(piece).digest()) not in self._seen:
+            self._seen.add(key)
+            layers, spans = _segment(Layer.root(" "), piece, _whole(0, 1))
+            self.kinds.update(kind for _, kind, _ in spans)
+            for layer in layers:
+                self.kinds.update(kind for _, kind, _ in all_spans(layer.text)[1])
+        if last:
+            return
+        for m in _MAGIC.finditer(piece, max(0, before - 2)):
+            self._go_on(Inflating(), piece[m.start() :])
+        run = piece.rstrip(Decoding64.ALPHABET)
+        if len(piece) - len(run) > OVERLAP_BYTES and not any(isinstance(d, Decoding64) for d, _ in self._open):
+            for skip in range(4):
+                self._go_on(Decoding64(skip), piece[len(run) :])
+        tail = piece[-OVERLAP_BYTES:]
+        if (b"%" in tail or b"\\" in tail or b"&#" in tail) and not re.search(rb"[\x20\n]", tail):
+            self.kinds.add(KINDS.index("opaque"))
+        # an assignment may hold any number of spaces: what stands before them comes along
+        if (lead := piece[: len(piece) - len(tail)]) and lead[-1:] == tail[:1] == b" ":
+            tail = re.sub(rb"\x20+", b" ", lead)[-24:] + tail
+        self._tail = tail
+
+    def _go_on(self, decoder: Inflating | Decoding64, data: bytes) -> None:
+        """Keep the decoder if the data does not end what it reads."""
+        child = None
+        for out in decoder.feed(data):
+            child = child or Stream()
+            child.feed(out)
+        if not decoder.done:
+            self._open.append((decoder, child or Stream()))
+
+
+def large_kinds(data: bytes, at: int) -> tuple[set[int], int, bool]:
+    """Of the gzip or zlib data from ``at`` on, all members together: the kinds found in it, where it ends and whether its end
+    was met."""
+    stream, end, ended = Stream(), at, False
+    while m := _MEMBER.match(data, end):
+        member, begin = Inflating(), m.start(1)
+        while begin < len(data) and not member.done:
+            for out in member.feed(data[begin : begin + FEED_BYTES]):
+                stream.feed(out)
+            begin = min(begin + FEED_BYTES, len(data))
+        if not member.machine.eof:  # damaged or cut off: what was read counts
+            if member.size:
+                end, ended = len(data), False
+            break
+        end, ended = begin - len(member.machine.unused_data), True
+    return stream.close(), end, ended
+
+
 def _whole(a: int, b: int) -> Origin:
     return lambda i, j: (a, b)
 
