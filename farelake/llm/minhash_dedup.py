@@ -3,7 +3,7 @@
 A text's set is its distinct k-word shingles (A-Z folded; a shorter text is one shingle of all its words; a
 text without words has an empty set and is linked with nothing). Steps:
 
-1. One pass over the texts gives each set a 64-bit key, its size and its band hashes. One permutation serves all
+1. One pass over the texts gives each set a 125-bit key, its size and its band hashes. One permutation serves all
    bins: the top bits of a shingle's hash choose the bin, the least hash in the bin is its value. An empty bin
    copies the bin that its own fixed probing sequence meets first (optimal densification).
 2. Equal sets collapse to one *node* before anything is joined, so exact copies never meet each other.
@@ -20,7 +20,7 @@ With 32 bands of 4 values a pair at similarity 0.8 shares no band with probabili
 
 Defined results: null text counts as no words; repeated rows share a node and a component; ``component_id``
 is the smallest non-null key among the rows of the component (null if all are null); extra columns are ignored.
-Two different sets share a node only if their 64-bit keys collide.
+Two different sets share a node only if their 125-bit keys collide (for 1e10 sets a chance of 1e-18).
 """
 
 from __future__ import annotations
@@ -67,12 +67,33 @@ def shingle_sets(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, keys
 
 
+#: A node in Spark: its set's key of 125 bits, which a decimal of 38 digits holds.
+NODE = "decimal(38,0)"
+
+
 def set_keys(rows: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit key of each row's set: sums of remixed members, mixed with the size."""
-    total = np.zeros(len(keys) + 1, np.uint64)
-    np.cumsum(mix(keys ^ np.uint64(0xA0761D6478BD642F)), out=total[1:])
+    """A key of each row's set, as two 64-bit halves (low, high): sums of members remixed in two ways, mixed with the size."""
     at = np.searchsorted(rows, np.arange(n + 1))
-    return mix((total[at[1:]] - total[at[:-1]]) ^ mix(np.diff(at).astype(np.uint64)))
+    size = mix(np.diff(at).astype(np.uint64))
+    out = np.empty((n, 2), np.uint64)
+    for half, salt in enumerate((0xA0761D6478BD642F, 0xE7037ED1A0B428DB)):
+        total = np.zeros(len(keys) + 1, np.uint64)
+        np.cumsum(mix(keys ^ np.uint64(salt)), out=total[1:])
+        out[:, half] = mix((total[at[1:]] - total[at[:-1]]) ^ size)
+    out[:, 1] >>= np.uint64(3)  # below 10 ** 38
+    return out
+
+
+def _as_nodes(halves: np.ndarray, some: np.ndarray) -> pa.Array:
+    """The keys as decimals, null where not ``some``."""
+    valid = pa.py_buffer(np.packbits(some, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(halves), [valid, pa.py_buffer(np.ascontiguousarray(halves).tobytes())])
+
+
+def _halves(nodes: pa.Array) -> np.ndarray:
+    """Decimals without nulls as pairs of 64-bit halves."""
+    whole = np.frombuffer(nodes.buffers()[1], np.uint64).reshape(-1, 2)
+    return whole[nodes.offset : nodes.offset + len(nodes)]
 
 
 def signatures(rows: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
@@ -122,11 +143,11 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
                     "key": batch.column(0).slice(a, n),
                     "stamp": batch.column(2).slice(a, n),
                     "n_shingles": pa.array(size.astype(np.int64)),
-                    "node": pa.array(set_keys(rows, keys, n).view(np.int64), mask=~some),
+                    "node": _as_nodes(set_keys(rows, keys, n), some),
                     "bands": pa.ListArray.from_arrays(pa.array(at), pa.array(bands[some].ravel())),
                 })
 
-    return cols.mapInArrow(sketch, f"key {key_type}, stamp long, n_shingles long, node long, bands array<long>")
+    return cols.mapInArrow(sketch, f"key {key_type}, stamp long, n_shingles long, node {NODE}, bands array<long>")
 
 
 def full_sets(texts_of_nodes: DataFrame, k: int) -> DataFrame:
@@ -137,14 +158,13 @@ def full_sets(texts_of_nodes: DataFrame, k: int) -> DataFrame:
             for a, b, texts in chunks(batch.column(1)):
                 rows, keys = shingle_sets(texts, k)
                 at = np.searchsorted(rows, np.arange(b - a + 1))
-                got = set_keys(rows, keys, b - a).view(np.int64)
-                want = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
-                own = got == want
+                want = batch.column(0).slice(a, b - a)
+                own = (set_keys(rows, keys, b - a) == _halves(want)).all(1)
                 ends = np.concatenate(([0], np.cumsum(np.diff(at)[own]))).astype(np.int32)
                 members = keys[np.repeat(own, np.diff(at))].view(np.int64)
-                yield pa.RecordBatch.from_pydict({"node": pa.array(got[own]), "members": pa.ListArray.from_arrays(pa.array(ends), pa.array(members))})
+                yield pa.RecordBatch.from_pydict({"node": want.filter(pa.array(own)), "members": pa.ListArray.from_arrays(pa.array(ends), pa.array(members))})
 
-    return texts_of_nodes.mapInArrow(make, "node long, members array<long>")
+    return texts_of_nodes.mapInArrow(make, f"node {NODE}, members array<long>")
 
 
 def shared_counts(sets: DataFrame) -> DataFrame:
@@ -169,7 +189,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield batch.select([0, 1]).filter(pa.array(ok))
 
-    return both.mapInArrow(test, "a long, b long")
+    return both.mapInArrow(test, f"a {NODE}, b {NODE}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -282,7 +302,8 @@ def _confirm_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     dealt = blocks.select("bucket", "node", "comp", "block", other).select("bucket", "node", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
 
     def compare(table: pa.Table) -> pa.Table:
-        node, comp, block = (table.column(c).to_numpy() for c in ("node", "comp", "block"))
+        node, block = table.column("node").combine_chunks(), table.column("block").to_numpy()
+        comp = table.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()  # any order serves here
         lists = table.column("members").combine_chunks()
         linked = _linked(lists.offsets.to_numpy(), lists.values.to_numpy(), percent)
         linked &= comp[:, None] < comp[None]
@@ -290,10 +311,10 @@ def _confirm_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
             linked &= block[:, None] != block[None]
         a, b = np.nonzero(linked)
         _, first = np.unique(np.stack((comp[a], comp[b])), axis=1, return_index=True)
-        return pa.table({"a": node[a[first]], "b": node[b[first]]})
+        return pa.table({"a": node.take(pa.array(a[first])), "b": node.take(pa.array(b[first]))})
 
     rows = dealt.join(sets.select("node", "members"), "node")
-    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, f"a {NODE}, b {NODE}")
 
 
 def _linked(at: np.ndarray, shingles: np.ndarray, percent: int, step: int = 2048, rows: int = 512) -> np.ndarray:
