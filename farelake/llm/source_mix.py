@@ -79,7 +79,7 @@ def plan(sized: DataFrame, shard_rows: int = SHARD_ROWS, block: int = BLOCK_WORD
     block), blocks, quota and start."""
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     sources = stored(targets(sizes).withColumn("shards", F.ceil(F.col("rows") / shard_rows)), "sources")
-    dealt = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("place", _shard("key", seed).alias("shard"), "size")
+    dealt = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("place", _shard(seed).alias("shard"), "size")
     shards = dealt.groupBy("place", "shard").agg(F.sum("size").alias("words"))
     length = F.greatest(F.lit(1), F.least(F.lit(block), F.expr(f"words div {MIN_BLOCKS}")))
     shards = shards.withColumn("length", length).withColumn("blocks", F.ceil(F.col("words") / F.col("length")))
@@ -95,8 +95,9 @@ def plan(sized: DataFrame, shard_rows: int = SHARD_ROWS, block: int = BLOCK_WORD
     return sources, stored(given.select("place", "shard", "words", "length", "blocks", "quota", start.alias("start")), "shard_quotas")
 
 
-def _shard(key: str, seed: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.col("shards"))
+def _shard(seed: int) -> Column:
+    """By key and text: an id that many rows have, or rows without one, fall into many shards."""
+    return F.pmod(F.xxhash64("key", "stamp", F.lit(seed)), F.col("shards"))
 
 
 def _before(at: str) -> Column:
@@ -107,15 +108,15 @@ def _before(at: str) -> Column:
     return F.expr(f"{chosen} * length + CASE WHEN ({at}) div length < blocks THEN {here} * (({at}) - ({at}) div length * length) ELSE 0 END")
 
 
-def mixed(rows: DataFrame, sources: DataFrame, quotas: DataFrame, key: str, source: str, size: str, prefix: str = "", seed: int = SEED) -> DataFrame:
-    """``rows`` with source_size, target, taken (words the mix takes of the row, repeats counted) and
+def mixed(rows: DataFrame, sources: DataFrame, quotas: DataFrame, key: str, source: str, size: str, stamp: str, prefix: str = "", seed: int = SEED) -> DataFrame:
+    """``rows`` (``stamp``: a hash of their texts, as in the plan) with source_size, target, taken (words the mix takes of the row, repeats counted) and
     copies (times that the row's first word is taken), each named with ``prefix``."""
     names = rows.columns
     p = lambda name: F.col(f"_row.{name}")
     packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"))
-    packed = packed.select("_row", F.col(f"_row.`{key}`").alias("key"), F.col(f"_row.`{source}`").alias("of"), F.col(f"_row.`{size}`").alias("size"))
-    dealt = packed.join(sources, packed["of"].eqNullSafe(sources["source"])).select("_row", "key", "size", "place", "source_size", "target", _shard("key", seed).alias("shard"))
-    order = Window.partitionBy("place", "shard").orderBy(F.xxhash64("key", F.lit(seed + 1)), "key", "size")
+    packed = packed.select("_row", F.col(f"_row.`{key}`").alias("key"), F.col(f"_row.`{source}`").alias("of"), F.col(f"_row.`{size}`").alias("size"), F.col(f"_row.`{stamp}`").alias("stamp"))
+    dealt = packed.join(sources, packed["of"].eqNullSafe(sources["source"])).select("_row", "key", "size", "stamp", "place", "source_size", "target", _shard(seed).alias("shard"))
+    order = Window.partitionBy("place", "shard").orderBy(F.xxhash64("key", "stamp", F.lit(seed + 1)), "key", "size", "stamp")
     at = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = dealt.withColumn("at", at).join(quotas, ["place", "shard"])
     passes = F.expr("quota div greatest(blocks, 1)")
@@ -128,20 +129,21 @@ def mixed(rows: DataFrame, sources: DataFrame, quotas: DataFrame, key: str, sour
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row per document: key, size, source_size, target, taken, copies."""
-    sized = stored(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size")), "sized")
+    sized = stored(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("stamp")), "sized")
     sources, quotas = plan(sized)
-    out = mixed(sized, sources, quotas, "key", "source", "size")
+    out = mixed(sized, sources, quotas, "key", "source", "size", "stamp")
     return out.select(F.col("key").alias(key), "size", "source_size", "target", "taken", "copies")
 
 
 def resampled(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The documents themselves, each row as often as its first word is taken: whole texts, all columns as they
     are. A source's words then are its target give or take the documents that lie over block edges."""
-    sized = stored(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size")), "sized")
+    sized = stored(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("stamp")), "sized")
     sources, quotas = plan(sized)
     prefix = "_mix_"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix = "_" + prefix
-    rows = mixed(docs.withColumn(f"{prefix}size", word_count(text)), sources, quotas, key, source, f"{prefix}size", prefix)
+    sized_docs = docs.withColumns({f"{prefix}size": word_count(text), f"{prefix}stamp": F.xxhash64(text)})
+    rows = mixed(sized_docs, sources, quotas, key, source, f"{prefix}size", f"{prefix}stamp", prefix)
     repeated = rows.where(F.col(f"{prefix}copies") > 0).withColumn(f"{prefix}n", F.explode(F.sequence(F.lit(1), F.col(f"{prefix}copies"))))
     return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
