@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 from helpers import awkward, documents, nothing
 
 from farelake.llm import minhash_dedup as M, quality_rules as Q
@@ -130,6 +131,22 @@ def test_each_component_of_one_key_keeps_a_row(spark):
     assert got == sorted([(7, "one"), (7, "two"), (7, texts[2]), (7, "none"), (7, ""), (None, "three"), (None, "four")], key=str)
 
 
+def test_set_keys_have_two_halves_and_pass_through_decimals():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 63, 6000).astype(np.uint64)
+    rows = np.sort(rng.integers(0, 500, 6000))
+    halves = M.set_keys(rows, keys, 502)
+    for half in (0, 1):  # either tells sets apart by itself; the two last rows are both empty
+        assert len(np.unique(halves[:501, half])) == 501
+    assert (halves[:, 1] < 1 << 61).all() and (halves[500] == halves[501]).all()
+    swapped = np.lexsort((rng.random(6000), rows))  # the order inside a set does not matter
+    assert (M.set_keys(rows[swapped], keys[swapped], 502) == halves).all()
+    some = np.arange(502) % 5 > 0
+    nodes = M._as_nodes(halves, some)
+    assert nodes.null_count == 101 and int(nodes[1].as_py()) == int(halves[1, 1]) << 64 | int(halves[1, 0])
+    assert (M._halves(nodes.slice(7, 50)) == halves[7:57]).all()
+
+
 def test_small_sets_keep_recall(spark):
     """Five shingles against four: similarity 0.8 with few filled bins."""
     rows = [(i, " ".join(f"{'abcdefghij'[j]}{i // 2}" for j in range(8 - i % 2))) for i in range(400)]

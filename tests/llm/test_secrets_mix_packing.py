@@ -50,10 +50,68 @@ def test_cycles_and_bombs_end():
     quine = bytes.fromhex("1f8b0800000000000003") + b"\x00" * 8  # no valid data: nothing opens
     assert S.all_spans(base64.b64encode(quine).decode())[1] == []
     bomb = base64.b64encode(gzip.compress(b"0" * (S.MAX_LAYER_BYTES + 1))).decode()
-    assert S.all_spans(f"x {bomb}")[1] == [(2, 3, 2 + len(bomb))]
+    assert S.all_spans(f"x {bomb}")[1] == [(2, 2, 2 + len(bomb))]  # read to its end: one run of hex digits
     assert S.all_spans("%25" * 50)[1] == []
 
 
+LINE = b"nothing to see on this line, which is sixty-four bytes long....\n"
+LARGE = 64 << 20
+
+
+def large(at: int, secret: bytes) -> bytes:
+    """64 MiB of harmless lines with ``secret`` at a place."""
+    text = LINE * (LARGE // len(LINE))
+    return text[:at] + b" " + secret + b" " + text[at:]
+
+
+@pytest.mark.parametrize("at", [0, 17 << 20, (32 << 20) - 9, (32 << 20) + 3, LARGE - 64, LARGE])
+def test_layers_of_any_size_are_read(at):
+    assert len(LINE) == 64
+    run = base64.b64encode(gzip.compress(large(at, b"password = hunter2secret"), 1)).decode()
+    text = f"see {run} end"
+    assert S.all_spans(text)[1] == [(4, 0, 4 + len(run))]
+
+
+def test_large_layers_without_finds_and_with_others_behind():
+    clean, small = gzip.compress(large(5, b"word"), 1), gzip.compress(b"token=abcdef123456 " * 3)
+    run = base64.b64encode(clean).decode()
+    assert S.all_spans(run)[1] == []
+    both = base64.b64encode(clean + b"--" + small).decode()  # the scan goes on behind a large layer
+    assert [k for _, k, _ in S.all_spans(both)[1]] == [0]
+
+
+def test_what_runs_from_piece_to_piece_is_decoded(monkeypatch):
+    for name, size in (("MAX_LAYER_BYTES", 1 << 18), ("PIECE_BYTES", 1 << 16), ("OVERLAP_BYTES", 1 << 10)):
+        monkeypatch.setattr(S, name, size)
+    letters = np.frombuffer(b"ghijklmnopqrstuvwxyz GHIJKLMNOPQRSTUVWXYZ", np.uint8)
+    noise = letters[np.random.default_rng(7).integers(0, len(letters), 400_000)].tobytes()
+    inner = gzip.compress(noise + b" AKIA" + b"Q" * 20 + b" ", 1)
+    assert len(inner) > 3 * S.PIECE_BYTES
+    for wrap in (lambda b: b, base64.b64encode, base64.encodebytes):
+        data = gzip.compress(LINE * 999 + wrap(inner) + LINE * 999, 1)
+        kinds, end, ended = S.large_kinds(data, 0)
+        assert 1 in kinds and (end, ended) == (len(data), True)
+    spaces = gzip.compress(LINE + b"token" + b" " * 500_000 + b"=" + b" " * 300_000 + b"abcdef12", 1)
+    assert S.large_kinds(spaces, 0)[0] == {0}
+    assert S.large_kinds(gzip.compress(LINE * 9999 + b"%7" + b"%41" * 9999, 1), 0)[0] == {3}
+    damaged = data[: len(data) - 9]
+    assert S.large_kinds(damaged, 0)[1:] == (len(damaged), False)
+
+
+def test_a_hot_id_falls_into_many_shards_and_reruns_agree(spark):
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"s{i % 2}", "w " * (i % 11) + str(i)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sized = docs.selectExpr("doc_id AS key", "source", "cast(regexp_count(text, '[^ ]+') AS long) AS size", "xxhash64(text) AS stamp")
+    sources, quotas = X.plan(sized, shard_rows=100)
+    shards = X.mixed(sized, sources, quotas, "key", "source", "size", "stamp")
+    hot = sized.where("key = 7").join(sources, "source").select(X._shard(X.SEED).alias("shard")).distinct().count()
+    assert hot == quotas.select("shard").distinct().count() == 15
+    taken = shards.groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert all(abs(r[1] - r[2]) <= 0.02 * r[2] or abs(r[1] - r[2]) <= 2 * X.BLOCK_WORDS for r in taken)
+    first, again = (sorted(map(str, X.resampled(d).collect())) for d in (docs, docs.repartition(7).orderBy("text")))
+    assert first == again
+
+
 @pytest.mark.parametrize("before,after", [("https://x.io/cb/", ""), ("path/", ""), ("auth_", ""), ("log-", "/next"), ("a", "b"), ("x+y_", "-z"), ("key=", "/")])
 @pytest.mark.parametrize("inner", ["base64", "gzip", "zlib"])
 def test_runs_that_touch_other_characters(before, after, inner):
