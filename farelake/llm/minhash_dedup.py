@@ -3,10 +3,11 @@
 A text's set is its distinct k-word shingles (A-Z folded; a shorter text is one shingle of all its words; a
 text without words has an empty set and is linked with nothing). Steps:
 
-1. One pass over the texts gives each set a 125-bit key, its size and its band hashes. One permutation serves all
+1. One pass over the texts gives each set two 64-bit keys, its size and its band hashes. One permutation serves all
    bins: the top bits of a shingle's hash choose the bin, the least hash in the bin is its value. An empty bin
    copies the bin that its own fixed probing sequence meets first (optimal densification).
-2. Equal sets collapse to one *node* before anything is joined, so exact copies never meet each other.
+2. Equal sets collapse to one *node*, named by the first key (or, where the second tells sets with one first key apart,
+   by a hash of both), before anything is joined, so exact copies never meet each other.
 3. Nodes sharing a band bucket are candidates. Shingles that no other candidate has cannot be shared, so a node
    with c shingles that others have too is in no pair with an intersection above c; nodes and pairs that this
    exact bound rules out are dropped before anything is emitted. A bucket of n nodes does not emit its pairs: a
@@ -20,7 +21,7 @@ With 32 bands of 4 values a pair at similarity 0.8 shares no band with probabili
 
 Defined results: null text counts as no words; repeated rows share a node and a component; ``component_id``
 is the smallest non-null key among the rows of the component (null if all are null); extra columns are ignored.
-Two different sets share a node only if their 125-bit keys collide (for 1e10 sets a chance of 1e-18).
+Two different sets share a node only if both their 64-bit keys collide.
 """
 
 from __future__ import annotations
@@ -67,35 +68,18 @@ def shingle_sets(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, keys
 
 
-#: A node in Spark: its set's key of 125 bits, which a decimal of 38 digits holds.
-NODE = "decimal(38,0)"
-
-
 def set_keys(rows: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
-    """A key of each row's set, as two 64-bit halves (low, high): sums of members remixed in two ways, mixed with the size."""
+    """Two 64-bit keys of each row's set: sums of members remixed in two ways, mixed with the size."""
     at = np.searchsorted(rows, np.arange(n + 1))
     size = mix(np.diff(at).astype(np.uint64))
-    out = np.empty((n, 2), np.uint64)
-    for half, salt in enumerate((0xA0761D6478BD642F, 0xE7037ED1A0B428DB)):
+    out = np.empty((2, n), np.uint64)
+    for i, salt in enumerate((0xA0761D6478BD642F, 0xE7037ED1A0B428DB)):
         total = np.zeros(len(keys) + 1, np.uint64)
         np.cumsum(mix(keys ^ np.uint64(salt)), out=total[1:])
-        out[:, half] = mix((total[at[1:]] - total[at[:-1]]) ^ size)
-    out[:, 1] >>= np.uint64(3)  # below 10 ** 38
+        out[i] = mix((total[at[1:]] - total[at[:-1]]) ^ size)
     return out
 
 
-def _as_nodes(halves: np.ndarray, some: np.ndarray) -> pa.Array:
-    """The keys as decimals, null where not ``some``."""
-    valid = pa.py_buffer(np.packbits(some, bitorder="little").tobytes())
-    return pa.Array.from_buffers(pa.decimal128(38, 0), len(halves), [valid, pa.py_buffer(np.ascontiguousarray(halves).tobytes())])
-
-
-def _halves(nodes: pa.Array) -> np.ndarray:
-    """Decimals without nulls as pairs of 64-bit halves."""
-    whole = np.frombuffer(nodes.buffers()[1], np.uint64).reshape(-1, 2)
-    return whole[nodes.offset : nodes.offset + len(nodes)]
-
-
 def signatures(rows: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
     """n x BINS values; rows whose set is empty keep zeros."""
     bins = (keys >> _BIN_SHIFT).astype(np.int64)
@@ -138,33 +122,47 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
                 size = np.bincount(rows, minlength=n)
                 bands = band_hashes(signatures(rows, keys, n)).view(np.int64)
                 some = size > 0
+                node, check = set_keys(rows, keys, n).view(np.int64)
                 at = np.concatenate(([0], np.cumsum(np.where(some, BANDS, 0)))).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({
                     "key": batch.column(0).slice(a, n),
                     "stamp": batch.column(2).slice(a, n),
                     "n_shingles": pa.array(size.astype(np.int64)),
-                    "node": _as_nodes(set_keys(rows, keys, n), some),
+                    "node": pa.array(node, mask=~some),
+                    "check": pa.array(check, mask=~some),
                     "bands": pa.ListArray.from_arrays(pa.array(at), pa.array(bands[some].ravel())),
                 })
 
-    return cols.mapInArrow(sketch, f"key {key_type}, stamp long, n_shingles long, node {NODE}, bands array<long>")
+    return cols.mapInArrow(sketch, f"key {key_type}, stamp long, n_shingles long, node long, check long, bands array<long>")
+
+
+def apart(sig: DataFrame) -> DataFrame:
+    """``sig`` in which sets with one node but different second keys are nodes of their own (as good as never needed, so
+    it is looked up first, on the keys alone)."""
+    seen = sig.where("node is not null").groupBy("node").agg(F.min("check").alias("_least"), F.max("check").alias("_most"))
+    clashes = stored(seen.where("_least <> _most").select("node", "_least"), "clashes")
+    if not clashes.limit(1).count():
+        return sig
+    other = F.coalesce(F.col("check") != F.col("_least"), F.lit(False))
+    named = F.when(other, F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return stored(sig.join(clashes, "node", "left").withColumn("node", named).select(sig.columns), "sketches")
 
 
 def full_sets(texts_of_nodes: DataFrame, k: int) -> DataFrame:
-    """node and its sorted shingle hashes, from (node, text) rows whose text may be another node's."""
+    """node and its sorted shingle hashes, from (node, text, check) rows whose text may be another set's."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in chunks(batch.column(1)):
                 rows, keys = shingle_sets(texts, k)
                 at = np.searchsorted(rows, np.arange(b - a + 1))
-                want = batch.column(0).slice(a, b - a)
-                own = (set_keys(rows, keys, b - a) == _halves(want)).all(1)
+                node, want = (batch.column(i).slice(a, b - a).to_numpy(zero_copy_only=False) for i in (0, 2))
+                own = set_keys(rows, keys, b - a)[1].view(np.int64) == want
                 ends = np.concatenate(([0], np.cumsum(np.diff(at)[own]))).astype(np.int32)
                 members = keys[np.repeat(own, np.diff(at))].view(np.int64)
-                yield pa.RecordBatch.from_pydict({"node": want.filter(pa.array(own)), "members": pa.ListArray.from_arrays(pa.array(ends), pa.array(members))})
+                yield pa.RecordBatch.from_pydict({"node": pa.array(node[own]), "members": pa.ListArray.from_arrays(pa.array(ends), pa.array(members))})
 
-    return texts_of_nodes.mapInArrow(make, f"node {NODE}, members array<long>")
+    return texts_of_nodes.mapInArrow(make, "node long, members array<long>")
 
 
 def shared_counts(sets: DataFrame) -> DataFrame:
@@ -189,7 +187,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield batch.select([0, 1]).filter(pa.array(ok))
 
-    return both.mapInArrow(test, f"a {NODE}, b {NODE}")
+    return both.mapInArrow(test, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -219,7 +217,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 
 def _found(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    sig = stored(sketches(docs, key, text, k), "sketches")
+    sig = apart(stored(sketches(docs, key, text, k), "sketches"))
     nodes = sig.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
@@ -227,11 +225,11 @@ def _found(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFr
 
     labels = None  # (node, comp) of every node that has a link
     if members.limit(1).count():
-        one_row = sig.where("node is not null").groupBy("node").agg(F.min(F.struct("key", "stamp")).alias("r")).select("node", F.col("r.key").alias("_key"), F.col("r.stamp").alias("_stamp"))
+        one_row = sig.where("node is not null").groupBy("node").agg(F.min(F.struct("key", "stamp", "check")).alias("r")).select("node", F.col("r.key").alias("_key"), F.col("r.stamp").alias("_stamp"), F.col("r.check").alias("check"))
         wanted = members.select("node").distinct().join(one_row, "node")
         rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("stamp"))
         texts = rows.join(wanted, rows["key"].eqNullSafe(wanted["_key"]) & (rows["stamp"] == wanted["_stamp"]))
-        sets = stored(full_sets(texts.select("node", "text"), k).groupBy("node").agg(F.first("members").alias("members")), "sets")
+        sets = stored(full_sets(texts.select("node", "text", "check"), k).groupBy("node").agg(F.first("members").alias("members")), "sets")
         common = stored(shared_counts(sets), "shared")
         members = stored(_open(members.join(common, "node"), percent), "members")
         for round_ in range(STAR_ROUNDS):
@@ -302,8 +300,7 @@ def _confirm_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     dealt = blocks.select("bucket", "node", "comp", "block", other).select("bucket", "node", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
 
     def compare(table: pa.Table) -> pa.Table:
-        node, block = table.column("node").combine_chunks(), table.column("block").to_numpy()
-        comp = table.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()  # any order serves here
+        node, comp, block = (table.column(c).to_numpy() for c in ("node", "comp", "block"))
         lists = table.column("members").combine_chunks()
         linked = _linked(lists.offsets.to_numpy(), lists.values.to_numpy(), percent)
         linked &= comp[:, None] < comp[None]
@@ -311,10 +308,10 @@ def _confirm_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
             linked &= block[:, None] != block[None]
         a, b = np.nonzero(linked)
         _, first = np.unique(np.stack((comp[a], comp[b])), axis=1, return_index=True)
-        return pa.table({"a": node.take(pa.array(a[first])), "b": node.take(pa.array(b[first]))})
+        return pa.table({"a": node[a[first]], "b": node[b[first]]})
 
     rows = dealt.join(sets.select("node", "members"), "node")
-    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, f"a {NODE}, b {NODE}")
+    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _linked(at: np.ndarray, shingles: np.ndarray, percent: int, step: int = 2048, rows: int = 512) -> np.ndarray:

@@ -131,20 +131,18 @@ def test_each_component_of_one_key_keeps_a_row(spark):
     assert got == sorted([(7, "one"), (7, "two"), (7, texts[2]), (7, "none"), (7, ""), (None, "three"), (None, "four")], key=str)
 
 
-def test_set_keys_have_two_halves_and_pass_through_decimals():
+def test_two_keys_tell_sets_apart(spark):
     rng = np.random.default_rng(3)
-    keys = rng.integers(0, 1 << 63, 6000).astype(np.uint64)
-    rows = np.sort(rng.integers(0, 500, 6000))
-    halves = M.set_keys(rows, keys, 502)
-    for half in (0, 1):  # either tells sets apart by itself; the two last rows are both empty
-        assert len(np.unique(halves[:501, half])) == 501
-    assert (halves[:, 1] < 1 << 61).all() and (halves[500] == halves[501]).all()
-    swapped = np.lexsort((rng.random(6000), rows))  # the order inside a set does not matter
-    assert (M.set_keys(rows[swapped], keys[swapped], 502) == halves).all()
-    some = np.arange(502) % 5 > 0
-    nodes = M._as_nodes(halves, some)
-    assert nodes.null_count == 101 and int(nodes[1].as_py()) == int(halves[1, 1]) << 64 | int(halves[1, 0])
-    assert (M._halves(nodes.slice(7, 50)) == halves[7:57]).all()
+    keys, rows = rng.integers(0, 1 << 63, 6000).astype(np.uint64), np.sort(rng.integers(0, 500, 6000))
+    both = M.set_keys(rows, keys, 502)
+    for one in both:  # either tells sets apart by itself; the two last rows are both empty
+        assert len(np.unique(one[:501])) == 501 and one[500] == one[501]
+    order = np.lexsort((rng.random(6000), rows))  # the order inside a set does not matter
+    assert (M.set_keys(rows[order], keys[order], 502) == both).all()
+    sig = spark.createDataFrame([(1, 5, 70), (2, 5, 71), (3, 5, 70), (4, 6, 70), (5, None, None)], "key long, node long, check long")
+    node = {r.key: r.node for r in M.apart(sig).collect()}
+    assert node[1] == node[3] == 5 and node[2] not in (5, 6, None) and node[4] == 6 and node[5] is None
+    assert M.apart(sig.where("key <> 2")).collect() == sig.where("key <> 2").collect()
 
 
 def test_small_sets_keep_recall(spark):
