@@ -31,6 +31,8 @@ END_ID = 0
 #: Pieces of text whose ids a task keeps (bounds its memory; a piece beyond is encoded each time).
 KEEP_PIECES = 400_000
 LONGEST_KEPT = 48
+#: Pieces in an output batch, and where they carry their ids (at most 4 KiB each).
+PIECES, PIECES_WITH_IDS = 20_000, 2_048
 #: Beyond Latin letters with marks, general punctuation and plain line ends, texts go to the tokenizer itself.
 _UNCOMMON = re.compile(r"[^\n\r\t\x20-\x7e\u00a1-\u024f\u2010-\u2027]")
 
@@ -126,7 +128,7 @@ def pieces(docs: DataFrame, vocabulary: tuple[str, str], key: str = "doc_id", te
             begin, n = (batch.column(i).to_numpy() for i in (1, 2))
             first, last = begin // length, (begin + n - 1) // length
             count = last - first + 1
-            for a, b in _spans(count):
+            for a, b in _spans(count, PIECES_WITH_IDS if with_ids else PIECES):
                 row = np.repeat(np.arange(a, b), count[a:b])
                 k = np.arange(len(row)) - np.repeat(np.cumsum(count[a:b]) - count[a:b], count[a:b])
                 sequence = first[row] + k
@@ -148,7 +150,7 @@ def pieces(docs: DataFrame, vocabulary: tuple[str, str], key: str = "doc_id", te
     return stream.mapInArrow(cut, T.StructType(fields)).withColumnRenamed("_key", key)
 
 
-def _spans(count: np.ndarray, most: int = 20_000) -> Iterator[tuple[int, int]]:
+def _spans(count: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Runs of rows with about ``most`` pieces together."""
     total, a = np.cumsum(count), 0
     while a < len(count):
