@@ -15,35 +15,45 @@ from farelake.llm.tables import documents, ready, stored
 
 #: Near-duplicates in the pipeline: word shingles of five, similarity of 0.8 or more.
 SHINGLE_WORDS, PERCENT = 5, 80
+#: Bytes of rows that a task hands to Python at once, where the session does not say; a longer row goes alone.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+def _prepared(spark: SparkSession) -> None:
+    """Whole texts go to Python by bytes, not by thousands of rows: a task's memory does not follow their length."""
+    ready(spark)
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
-    ready(spark)
+    _prepared(spark)
     return quality_rules.keep_good(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    ready(spark)
+    _prepared(spark)
     return minhash_dedup.drop_near_duplicates(docs, k=SHINGLE_WORDS, percent=PERCENT)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret, in any layer, is masked; n_chars follows the text."""
-    ready(spark)
+    _prepared(spark)
     return secret_scans.redact(docs)
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that the sources come near their targets."""
-    ready(spark)
+    _prepared(spark)
     return source_mix.resampled(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of full sequences, with their ids."""
-    ready(spark)
+    _prepared(spark)
     return packing.pieces(docs, packing.default_vocabulary(), with_ids=True)
 
 
