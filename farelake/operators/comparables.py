@@ -12,19 +12,22 @@ Exact and scale-safe without comparing every query with every row:
    before the shuffle) bounds the history by its *domain*, not its volume. Equal queries are
    asked once and their answer joined back. Both tables are written once.
 2. *Grid.* Scaled coordinates (km/300, h/2, days/8) are bucketed into unit cells.
-3. *Seed bound.* Each query is joined to its own route and to the cells around its place (moved
+3. *Seed bound.* Each query is joined to the cells around its place on its own route (moved
    to the edge of the occupied grid if it is outside); the k-th best score is an upper bound τ
-   on the final k-th score. Queries that met fewer than k rows look in a wider ring, up to the
-   whole grid.
-4. *Exact candidates.* The bonus of a row is at most 11.3 (same route), 3.3 (reverse route)
-   or 1.3 (any other row), so any other row can only reach τ inside the ball of squared radius
-   τ + 1.3. The query is exploded over the cells that the ball touches, one dimension after the
-   other, each with what the dimensions before leave of the radius. Its own and the reverse
-   route are joined whole (they are bounded by their domain).
+   on the final k-th score. Only queries that met fewer than k rows look at other routes too, and in
+   wider rings, up to the whole grid.
+4. *Exact candidates.* The bonus of a row is at most 11.3 (same route), 3.3 (reverse route),
+   13.3 (both, where source and destination are the same) or 1.3 (any other row), so a row of
+   each kind can only reach τ inside the ball of squared radius τ + that bonus. The query is exploded
+   over the cells that the ball touches, one dimension after the other, each with what the dimensions
+   before leave of the radius, and joined by route and cell, or by cell for other rows. No query meets a whole
+   route; where its own route is dense, no cell of another one is left.
 5. Candidates with a score above τ go at once; ``row_number() <= k`` per query picks the answer.
 
 The exploded (query, cell) rows are dealt by cell and salt to a fixed number of partitions before
-the join, so that neither a small table nor a busy cell decides how many tasks work.
+the join, so that neither a small table nor a busy cell decides how many tasks work. Joins of queries with
+history and with each other are merge joins: tables that are small as files (10 MB of Parquet) may be
+hundreds of MB as a broadcast in the driver.
 """
 
 from __future__ import annotations
@@ -130,9 +133,12 @@ class Grid:
     """The prepared history by cells, and how (query, cell) rows meet it."""
 
     def __init__(self, h: DataFrame):
-        ends = h.agg(*[x for d in "uvw" for x in (F.min(f"c{d}").alias(f"lo_{d}"), F.max(f"c{d}").alias(f"hi_{d}"))]).first()
+        places = {"u": F.col("h_km") / SCALE_KM, "v": F.col("duration") / SCALE_H, "w": F.col("h_days") / SCALE_DAYS}
+        cells = [x for d in "uvw" for x in (F.min(f"c{d}").alias(f"lo_{d}"), F.max(f"c{d}").alias(f"hi_{d}"))]
+        ends = h.agg(*cells, *[x for d, at in places.items() for x in (F.min(at).alias(f"min_{d}"), F.max(at).alias(f"max_{d}"))]).first()
         self.ends = {d: (ends[f"lo_{d}"], ends[f"hi_{d}"]) for d in "uvw"}  # of the occupied cells
-        self.history, spark = h, h.sparkSession
+        self.edges = {d: (ends[f"min_{d}"], ends[f"max_{d}"]) for d in "uvw"}  # of the rows' places
+        spark = h.sparkSession
         self.partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("c_salt")
         self.salted = h.select("*", salts)
@@ -152,31 +158,34 @@ class Grid:
         return q
 
     def ball(self, q: DataFrame, squared: Column) -> DataFrame:
-        """Query rows, one for each cell that has a point within the squared radius."""
+        """Query rows, one for each cell that may have a row within the squared radius.
+
+        A cell at the edge counts only up to the last row's place: a query far outside (days before departure beyond all of
+        history) would else see it as much nearer than any row. Days go first, as most far queries are far there."""
         q = q.withColumn("_left", squared).filter("_left >= 0")
-        for d in "uvw":
+        for d in "wvu":
+            low, high = self.edges[d]
             at, reach = F.col(f"q{d}"), F.least(F.sqrt("_left"), F.lit(1e9))
             q = q.withColumn(f"k_{d}", F.explode(self._range(d, F.floor(at - reach), F.floor(at + reach))))
-            short = F.greatest(F.col(f"k_{d}") - at, at - F.col(f"k_{d}") - 1, F.lit(0.0))
+            short = F.greatest(F.greatest(F.col(f"k_{d}"), F.lit(low)) - at, at - F.least(F.col(f"k_{d}") + 1, F.lit(high)), F.lit(0.0))
             q = q.withColumn("_left", F.col("_left") - short * short).filter("_left >= 0")
         return q.drop("_left")
 
-    def meet(self, cells: DataFrame, other: Column) -> DataFrame:
-        """Scored rows of the queries' cells that ``other`` allows."""
+    def meet(self, cells: DataFrame, other: Column | None = None, route: tuple[str, str] | None = None) -> DataFrame:
+        """Scored rows of the queries' cells that ``other`` allows, or those of a ``route`` (columns of its ends)."""
         cells = cells.withColumn("k_salt", F.pmod(F.xxhash64("qkey"), F.lit(SALTS)).cast("int"))
         keys = {"pool_class": "h_class", "k_u": "cu", "k_v": "cv", "k_w": "cw", "k_salt": "c_salt"}
+        if route:
+            keys |= dict(zip(route, ("h_src", "h_dst")))
         dealt = cells.repartition(self.partitions, *keys)
-        met = dealt.join(self.salted, [F.col(a) == F.col(b) for a, b in keys.items()])
-        return met.filter(other).withColumn("score", _score())
-
-    def route(self, q: DataFrame, src: str, dst: str) -> DataFrame:
-        """Scored rows of a route."""
-        keys = {"pool_class": "h_class", src: "h_src", dst: "h_dst"}
-        return q.join(self.history, [F.col(a) == F.col(b) for a, b in keys.items()]).withColumn("score", _score())
+        met = dealt.join(self.salted.hint("merge"), [F.col(a) == F.col(b) for a, b in keys.items()])
+        return (met if other is None else met.filter(other)).withColumn("score", _score())
 
 
 #: Parts that the queries of a cell are dealt to.
 SALTS = 4
+#: Cells around a query's place in which its first bound is looked for, on its own route.
+OWN_RADIUS = 2
 
 
 def _not_route(src: str, dst: str) -> Column:
@@ -186,17 +195,18 @@ def _not_route(src: str, dst: str) -> Column:
 def _bounds(q: DataFrame, grid: Grid, k: int) -> DataFrame:
     """(qkey, tau): an upper bound on each query's k-th score (none where the pool has fewer than k rows)."""
     widest = max(hi - lo for lo, hi in grid.ends.values()) + 1
-    radius, rest, found = 1, q, None
+    radius, rest, found = 0, q, None
     while True:
-        seeds = grid.route(rest, "q_src", "q_dst").select("qkey", "score")
-        seeds = seeds.unionByName(grid.meet(grid.box(rest, radius), _not_route("q_src", "q_dst")).select("qkey", "score"))
+        seeds = grid.meet(grid.box(rest, max(radius, OWN_RADIUS)), route=("q_src", "q_dst")).select("qkey", "score")
+        if radius:  # first the own route alone
+            seeds = seeds.unionByName(grid.meet(grid.box(rest, radius), _not_route("q_src", "q_dst")).select("qkey", "score"))
         nth = F.row_number().over(Window.partitionBy("qkey").orderBy("score"))
         tau = written_table(seeds.withColumn("_n", nth).filter(F.col("_n") == k).select("qkey", F.col("score").alias("tau")), "bounds")
         found = tau if found is None else found.unionByName(tau)
-        rest = written_table(rest.join(tau, "qkey", "left_anti"), "unbounded")
+        rest = written_table(rest.join(tau.hint("merge"), "qkey", "left_anti"), "unbounded")
         if radius > widest or not rest.limit(1).count():
             return found
-        radius *= 4
+        radius = 4 * radius or 1
 
 
 def nearest_comparables(queries: DataFrame, history: DataFrame, k: int = DEFAULT_K, qid: str = "request_id") -> DataFrame:
@@ -209,18 +219,22 @@ def nearest_comparables(queries: DataFrame, history: DataFrame, k: int = DEFAULT
     same = written_table(same, "queries")
     if not classes:
         return _finish(_topk(_placed(asked.withColumn("qkey", F.lit(0))).join(h, F.lit(False)).withColumn("score", _score()), k))
-    q = _placed(same.join(asked.select(*terms, "pool_class").distinct(), terms))
+    q = _placed(same.join(asked.select(*terms, "pool_class").distinct().hint("merge"), terms))
     q = written_table(q, "placed")
     grid = Grid(h)
     tau = _bounds(q, grid, k)
-    q = q.join(tau, "qkey", "left").withColumn("tau", F.coalesce("tau", F.lit(float("inf"))))
-    found = grid.route(q, "q_src", "q_dst").unionByName(grid.route(q.filter("q_src <> q_dst"), "q_dst", "q_src"))
+    q = q.join(tau.hint("merge"), "qkey", "left").withColumn("tau", F.coalesce("tau", F.lit(float("inf"))))
     # squared distance up to tau + bonus (+1e-6 for scores of six decimals): rows outside can neither beat nor tie
-    near = grid.ball(q, F.col("tau") + MAX_BONUS_OTHER + 1e-6)
-    others = grid.meet(near, _not_route("q_src", "q_dst") & _not_route("q_dst", "q_src"))
+    most = F.col("tau") + MAX_BONUS_OTHER + 1e-6
+    both_ways = F.col("q_src") == F.col("q_dst")
+    own = grid.ball(q, most + BONUS_EXACT + F.when(both_ways, BONUS_REVERSE).otherwise(0.0))
+    reverse = grid.ball(q.filter(~both_ways), most + BONUS_REVERSE)
+    found = grid.meet(own, route=("q_src", "q_dst"))
+    found = found.unionByName(grid.meet(reverse, route=("q_dst", "q_src")).select(found.columns))
+    others = grid.meet(grid.ball(q, most), _not_route("q_src", "q_dst") & _not_route("q_dst", "q_src"))
     top = _topk(found.unionByName(others.select(found.columns)).filter("score <= tau"), k, "qkey")
-    names = asked.select("qid", *terms).distinct().join(same, terms).select("qid", "qkey")
-    return _finish(top.join(names, "qkey"))
+    names = asked.select("qid", *terms).distinct().join(same.hint("merge"), terms).select("qid", "qkey")
+    return _finish(top.join(names.hint("merge"), "qkey"))
 
 
 def _finish(top: DataFrame) -> DataFrame:
