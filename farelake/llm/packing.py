@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +29,12 @@ from farelake.llm.tables import stored
 
 LENGTH = 1024
 END_ID = 0
-#: Pieces of text whose ids a task keeps (bounds its memory; a piece beyond is encoded each time).
-KEEP_PIECES = 400_000
-LONGEST_KEPT = 48
 #: Pieces in an output batch, and where they carry their ids (at most 4 KiB each).
 PIECES, PIECES_WITH_IDS = 20_000, 2_048
 #: Beyond Latin letters with marks, general punctuation and plain line ends, texts go to the tokenizer itself.
 _UNCOMMON = re.compile(r"[^\n\r\t\x20-\x7e\u00a1-\u024f\u2010-\u2027]")
+#: Runs of spaces and line ends that go to the tokenizer, and the length from which texts are searched for them.
+_LONG_GAP, _LONG_TEXT = re.compile(r"[ \n\r\t]{64}"), 20_000
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -47,42 +47,36 @@ def default_vocabulary() -> tuple[str, str]:
 class Encoder:
     """Ids of whole texts by the given vocabulary, as little-endian unsigned 16-bit bytes.
 
-    The vocabulary's pre-tokeniser never lets a token run from a non-space into a space, and gives a single
-    space to the word after it. So a text without two spaces in a row has the ids of its space-led pieces one after
-    the other, and a piece that comes again needs no second encoding. Pieces of common scripts are merged
-    by the same ranks without the tokenizer's bookkeeping; every other text goes to the tokenizer whole.
+    Texts of common scripts are cut by the vocabulary's own pattern and merged by the same ranks, without the tokenizer's
+    bookkeeping. Every other text goes to the tokenizer, which is loaded with the first of them; so does one with a long run
+    of spaces or line ends, which the pattern's search cannot look back over.
     """
 
     def __init__(self, files: tuple[str, str]):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self._whole = Tokenizer.from_file(files[0])
-        self._whole.encode_special_tokens = True
-        if self._whole.get_vocab_size() > 1 << 16:
-            raise ValueError("ids must fit in 16 bits")
+        self._file, self._whole = files[0], None
         with open(files[1], "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        merge = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-        class Led(dict):
-            def __missing__(self, word: str) -> bytes:
-                ids = np.array(merge(" " + word), "<u2").tobytes()
-                if len(self) < KEEP_PIECES and len(word) <= LONGEST_KEPT:
-                    self[word] = ids
-                return ids
-
-        self._led = Led()
+        if max(ranks.values()) >= 1 << 16:
+            raise ValueError("ids must fit in 16 bits")
+        self._merge = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def whole(self, text: str) -> bytes:
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self._file)
+            self._whole.encode_special_tokens = True
+            if self._whole.get_vocab_size() > 1 << 16:
+                raise ValueError("ids must fit in 16 bits")
         return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if "  " in text or _UNCOMMON.search(text):
+        if _UNCOMMON.search(text) or len(text) >= _LONG_TEXT and _LONG_GAP.search(text):
             return self.whole(text)
-        first, *rest = text.split(" ")
-        return self.whole(first) + b"".join(map(self._led.__getitem__, rest))
+        return np.array(array("H", self._merge(text)), "<u2").tobytes()
 
 
 def tokens(docs: DataFrame, vocabulary: tuple[str, str], key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:

@@ -389,3 +389,9 @@ def test_encoder_equals_the_tokenizer(text):
     ids = np.frombuffer(_ENCODERS["own"](text), "<u2").tolist()
     assert ids == _ENCODERS["plain"].encode(text, add_special_tokens=False).ids
     assert json.dumps(ids)
+
+
+def test_encoder_on_long_runs():
+    own, plain = P.Encoder(P.default_vocabulary()), tokenizer()
+    for text in ("a " + "\n" * 1_500_000 + "b", " \n" * 700_000, "a" * 100_000, "a  b " * 1000, "x\n \ty\t z"):
+        assert np.frombuffer(own(text), "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
