@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from farelake.llm.text_arrays import CHUNK_BYTES, Texts, chunks
 
 BUCKETS = 1 << 16
+#: Bytes of texts worked at once, as every chunk has tables of all buckets.
+CHUNK = 4 * CHUNK_BYTES
 SMOOTHING = 0.05
 PENALTY = 0.5
 STEPS = 6
@@ -62,7 +64,7 @@ def counts(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataF
         found: dict[str, np.ndarray] = {}
         for batch in batches:
             names = np.array(batch.column(0).to_pylist(), object)
-            for a, b, texts in chunks(batch.column(1)):
+            for a, b, texts in chunks(batch.column(1), CHUNK):
                 words, buckets = trigrams(texts)
                 size = np.diff(np.concatenate(([0], np.cumsum(words.ends - words.starts)))[words.bounds])
                 name_of = np.repeat(names[a:b], size)
@@ -168,7 +170,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
         m = known.value
         names = np.array([*m.languages, UNKNOWN], object)
         for batch in batches:
-            for a, b, texts in chunks(batch.column(1), max(1 << 14, CHUNK_BYTES * 4 // max(4, len(m.languages)))):
+            for a, b, texts in chunks(batch.column(1), max(1 << 14, CHUNK * 4 // max(4, len(m.languages)))):
                 share = m.shares(texts) if m.languages else np.zeros((b - a, 1))
                 best = share.argmax(1)
                 score = np.where(has_letter(texts), share[np.arange(b - a), best], 0.0)

@@ -1,12 +1,14 @@
 """Quality rules and near-duplicates against plain versions."""
 
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from helpers import awkward, documents, nothing
 
-from farelake.llm import minhash_dedup as M, quality_rules as Q
+from farelake.llm import minhash_dedup as M, quality_rules as Q, text_arrays as TA
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -174,3 +176,21 @@ def test_blocks_are_bounded_by_nodes(spark):
         assert found(spark.createDataFrame(rows, "doc_id long, text string")) == plain_components(rows)
     finally:
         M.STAR_ROUNDS, M.BLOCK_NODES = old
+
+
+def test_memory_of_a_batch_of_texts():
+    words = np.random.default_rng(7).integers(0, 10**6, (2000, 400)).astype(str)
+    column = pa.array([" ".join(w) for w in words])
+    assert column.nbytes > 5 << 20
+    whole = {}
+    for size in (1 << 40, TA.CHUNK_BYTES):  # all at once, then as tasks do it
+        tracemalloc.start()
+        out = []
+        for a, b, texts in TA.chunks(column, size):
+            rows, keys = M.shingle_sets(texts, 4)
+            out.append(M.band_hashes(M.signatures(rows, keys, b - a)))
+        peak = tracemalloc.get_traced_memory()[1] - sum(x.nbytes for x in out)
+        tracemalloc.stop()
+        whole[size] = np.concatenate(out)
+    assert peak < 24 << 20
+    assert (whole[1 << 40] == whole[TA.CHUNK_BYTES]).all()
