@@ -42,3 +42,18 @@ def test_queries_keep_their_methods_compiled(spark):
     load_all()["d1_airport_dimension"].build(spark, SF_SMALL)
     assert spark.conf.get(name) == "9000"
     spark.conf.set(name, old or "8000")
+
+
+def test_fares_are_written_without_sorting_whole_rows(spark):
+    D._FARES.clear()
+    files = D.fares(spark, SF_SMALL).inputFiles()
+    assert files and not any("class=" in f for f in files)  # a table by class would be sorted by it in every task
+
+
+def test_cities_that_differ_are_settled_before_the_array_of_reasons(spark):
+    rows = [("A", "B", 1.0, 2.0), ("A", "A", 1.0, 2.0), (None, "A", 1.0, 2.0), (None, None, 1.0, 2.0), ("A", "B", None, 2.0), ("A", "B", 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "source_city string, destination_city string, duration double, price double")
+    kept = df.filter(C.is_valid())
+    assert sorted(map(str, kept.collect())) == sorted(map(str, df.filter(F.size(C.rejection_reasons(df)) == 0).collect())) and kept.count() == 3
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "OR" in plan and plan.index("NOT coalesce((source_city") < plan.index("size(")  # the left side of OR comes first
