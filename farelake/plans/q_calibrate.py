@@ -186,20 +186,5 @@ def h10_summary(spark, sf):
 
 @register("h12_in_sample_check", sql=None)
 def h12_in_sample_check(spark, sf):
-    """In-sample check of the final five-feature ridge: MAE before/after, R², and the 15-day slice."""
-    o = CAL.with_features(observations(spark, sf))
-    coef = CAL.fit_all(o, CAL.FULL_FEATURES).drop("grp", "n_train")
-    p = o.crossJoin(F.broadcast(coef)).withColumn("cal", F.round(F.exp(CAL.linear_log_pred(CAL.FULL_FEATURES)), 2))
-    allm = p.agg(
-        F.lit("all").alias("slice"),
-        F.count("*").alias("rows"),
-        F.round(F.avg(F.abs(F.col("market_fare") - F.col("hist_pred"))), 2).alias("mae_before"),
-        F.round(F.avg(F.abs(F.col("market_fare") - F.col("cal"))), 2).alias("mae_after"),
-    )
-    d15 = p.filter(F.col("days_left") == 15).agg(
-        F.lit("days_15").alias("slice"),
-        F.count("*").alias("rows"),
-        F.round(F.avg(F.abs(F.col("market_fare") - F.col("hist_pred"))), 2).alias("mae_before"),
-        F.round(F.avg(F.abs(F.col("market_fare") - F.col("cal"))), 2).alias("mae_after"),
-    )
-    return allm.unionByName(d15)
+    """In-sample check of the final five-feature ridge: MAE before/after, R², mean residual, the 15-day slice and each of its rows."""
+    return CAL.in_sample_check(observations(spark, sf), CAL.FULL_FEATURES)
